@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from stemma.llm.encode import encode_documents
 from stemma.llm.lookalikes import lookalike_pairs, name_classes
+from stemma.llm.mix import mix_shares, mix_sources
 from stemma.llm.seen import seen_arrivals
 from stemma.runtime import table
 
@@ -25,7 +27,19 @@ def p4_report(spark: SparkSession, folder: str) -> DataFrame:
     return seen_arrivals(table(spark, folder, "entries"), table(spark, folder, "arrivals")).report()
 
 
-QUERIES = {q.__name__: q for q in (p2_found, p2_canonical, p4_found, p4_report)}
+def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return encode_documents(table(spark, folder, "documents"))
+
+
+def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mix_sources(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mix_shares(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+
+
+QUERIES = {q.__name__: q for q in (p2_found, p2_canonical, p4_found, p4_report, p7_ids, p8_mix, p8_shares)}
 
 SQL = {
     "p4_found": """
