@@ -7,6 +7,8 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,5 +53,22 @@ def _remove(path: str) -> None:
         shutil.rmtree(path[len("file://"):], ignore_errors=True)
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the workers, once a context, so that they need no copy of their own."""
+    context = spark.sparkContext
+    if getattr(context, "_stemma_shipped", False):
+        return
+    package = Path(__file__).parent
+    folder = tempfile.mkdtemp(prefix="stemma-code-")  # only the driver reads it; Spark distributes the file
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = os.path.join(folder, "stemma.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    context.addPyFile(archive)
+    context._stemma_shipped = True
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
