@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from stemma.llm.encode import encode_documents
+from stemma.llm.languages import detect_languages, label_faults
 from stemma.llm.lookalikes import lookalike_pairs, name_classes
 from stemma.llm.mix import mix_shares, mix_sources
 from stemma.llm.seen import seen_arrivals
@@ -39,7 +40,15 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mix_shares(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
 
 
-QUERIES = {q.__name__: q for q in (p2_found, p2_canonical, p4_found, p4_report, p7_ids, p8_mix, p8_shares)}
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return label_faults(table(spark, folder, "documents"), table(spark, folder, "lang_samples"))
+
+
+def p9_languages(spark: SparkSession, folder: str) -> DataFrame:
+    return detect_languages(table(spark, folder, "documents"), table(spark, folder, "lang_samples"))
+
+
+QUERIES = {q.__name__: q for q in (p2_found, p2_canonical, p4_found, p4_report, p7_ids, p8_mix, p8_shares, p9_found, p9_languages)}
 
 SQL = {
     "p4_found": """
