@@ -153,7 +153,7 @@ def reconcile(spark: SparkSession, entries: DataFrame, folder: str, store: BlobS
                     out["ok"].append(ok)
                 yield pa.RecordBatch.from_pydict(out)
 
-        for r in todo.join(contents, "digest").select("type", "path", "content").mapInArrow(run, "type string, ok boolean").groupBy("type").agg(F.count_if("ok").alias("ok"), F.count_if("not ok").alias("bad")).collect():
+        for r in todo.join(contents, "digest").select("type", "path", "content").mapInArrow(run, "type string, ok boolean").groupBy("type").agg(F.count_if("ok").alias("ok"), F.count_if(F.expr("not ok")).alias("bad")).collect():
             done["created" if r.type == "create" else "updated"] += r.ok
             done["errors"] += r.bad
     for op in each(["remove"], ["path"]):

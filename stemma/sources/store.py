@@ -102,9 +102,9 @@ class BlobStore:
 
         self.get(todo).mapInArrow(run, "n long").agg(F.sum("n")).first()
         counts = state.agg(
-            F.count_if("stored and not there").alias("copied"),
+            F.count_if(F.expr("stored and not there")).alias("copied"),
             F.coalesce(F.sum(F.when(F.col("there"), F.col("n")).when(F.col("stored"), F.col("n") - 1)), F.lit(0)).alias("skipped"),
-            F.count_if("not stored and not there").alias("missing"),
+            F.count_if(F.expr("not stored and not there")).alias("missing"),
         )
         result = spark.createDataFrame(counts.collect(), counts.schema)
         state.unpersist()
