@@ -86,7 +86,7 @@ def escape_field(safe: Column) -> Column:
 
 
 def unescape_field(text: Column) -> Column:
-    return F.regexp_replace(text, r'\\([ "\[\]])', "$1")
+    return F.regexp_replace(text, r'(\\\\)|\\([ "\[\]])', "$1$2")
 
 
 _PRINTABLE = r"\p{L}\p{M}\p{N}\p{P}\p{S}\p{Zs}"

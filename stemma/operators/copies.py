@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stemma.runtime import written
+from stemma.runtime import prepare, written
 
 _PRESENT = "_present"
 
@@ -41,6 +41,7 @@ def _bucket(spec: CopySpec, n_buckets: int) -> Column:
 
 
 def _both(left: DataFrame, right: DataFrame) -> DataFrame:
+    prepare(left.sparkSession)
     return left.withColumn("_side", F.lit(1)).unionByName(right.withColumn("_side", F.lit(-1)))
 
 

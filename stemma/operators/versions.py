@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from stemma.functions.modes import S_IFLNK, S_IFMT, canonical_mode, whole_seconds
 from stemma.operators.manifest import with_implied
-from stemma.runtime import written
+from stemma.runtime import prepare, written
 from stemma.schema import ATTRIBUTES, ancestors, conflict_path, entry_name, parent_path, path_depth
 
 KEY = ("manifest_id", "path")
@@ -21,6 +21,7 @@ KEY = ("manifest_id", "path")
 def beside(**versions: DataFrame) -> DataFrame:
     """(manifest_id, path, one struct a version): null where a version lacks the path."""
     tagged = None
+    prepare(next(iter(versions.values())).sparkSession)
     for name, rows in versions.items():
         r = rows.where(F.col("path").isNotNull()).select(*KEY, F.struct(*ATTRIBUTES).alias("_row"), F.coalesce("ord", F.lit(-(2**62))).alias("_ord"), F.lit(name).alias("_version"))
         tagged = r if tagged is None else tagged.unionByName(r)

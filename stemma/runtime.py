@@ -35,6 +35,17 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + _local_root[0]
 
 
+def prepare(spark: SparkSession) -> None:
+    """Session settings that right results need.
+
+    Spark 4.1 lets a union keep the partitioning its inputs were planned with, and then leaves out the
+    shuffle of an aggregate above it. If AQE turns a join below into another one at run time, the inputs
+    no longer have that partitioning and a key's rows stay apart, which gives wrong groups. Off, such an
+    aggregate has its shuffle, by all its keys, which also keeps a frequent join key from being one task.
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a parquet table in the shared folder and read back.
 
@@ -42,6 +53,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     where several later steps must see the same ones.
     """
     spark = df.sparkSession
+    prepare(spark)
     path = os.path.join(shared_folder(spark), "stemma", f"{name}-{uuid.uuid4().hex}")
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, path)
@@ -55,6 +67,7 @@ def _remove(path: str) -> None:
 
 def ship(spark: SparkSession) -> None:
     """Sends this package to the workers, once a context, so that they need no copy of their own."""
+    prepare(spark)
     context = spark.sparkContext
     if getattr(context, "_stemma_shipped", False):
         return

@@ -23,10 +23,10 @@ _EPOCH = dt.datetime(1970, 1, 1, tzinfo=_UTC)
 # File types by letter, as in mode strings; regular files get no type bit.
 _TYPES = {"-": 0, "d": 0o040000, "l": 0o120000, "p": 0o010000, "s": 0o140000, "b": 0o060000, "c": 0o020000}
 
-# A name ends after its slash, or before a blank that a link, an ID or a lone dash follows.
-_STOP = r" (?:c4.|-(?: |$))"
-_NAME = r'(?P<name>(?:\\[ "\[\]]|(?! (?:-> |<- |<> |->[1-9])|' + _STOP + r")[^/])*/?)"
-_TARGET = r'(?:\\[ "]|(?!' + _STOP + r").)*"
+# A name ends after its slash, or before the blanks that a link, an ID or a lone dash follows.
+_STOP = r" +(?:c4.|-(?: |$))"
+_NAME = r'(?P<name>(?:\\[ "\[\]\\]|(?! +(?:-> |<- |<> |->[1-9])|' + _STOP + r")[^/])*/?)"
+_TARGET = r'(?:\\[ "\\]|(?!' + _STOP + r").)*"
 _FLOW = r"(?:(?!" + _STOP + r").)*"
 _HEAD = r"(?P<mode>-(?= )|.{10}) (?P<ts>[-0](?= )|[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9:]{8}(?:Z|[+-][0-9:]{5})|(?:\S+ +){4}\S+) +(?P<size>-|[0-9,]+) *" + _NAME + " *"
 _LINK_OF_SYMLINK = rf"(?:-> *(?P<target>{_TARGET}))?"
@@ -70,7 +70,8 @@ def _null_epoch(t: dt.datetime) -> dt.datetime | None:
 
 
 def _plain(field: str, marks: str) -> str:
-    return re.sub(rf"\\([{marks}])", r"\1", field)
+    """Field escapes resolved; an escaped backslash stays as it is for the name's own decoding."""
+    return re.sub(rf"(\\\\)|\\([{marks}])", lambda m: m[1] or m[2], field)
 
 
 def entry_of(line: str) -> dict:

@@ -117,8 +117,8 @@ class BlobStore:
         from stemma.functions.ident import try_digest
 
         rows = files.where(name.rlike("^c4[1-9A-HJ-NP-Za-km-z]{88}$")).select(try_digest(name).alias("named"), "content")
-        checked = rows.withColumn("true", digest_of(identified_bytes("content")))
-        good = checked.where("named <=> true")
+        checked = rows.withColumn("own", digest_of(identified_bytes("content")))
+        good = checked.where("named <=> own")
         n_good, n_all = good.count(), checked.count()
         copied = self.put(good.select("content")).count()
         return self.spark.createDataFrame([(copied, n_good - copied, n_all - n_good)], "copied long, skipped long, rejected long")
