@@ -23,6 +23,8 @@ from stemma.llm.kneser_ney import CharModels
 
 #: Bounds of what the models are fitted on: labelled sentences (lang_samples holds 300) and labelled posts.
 MAX_SAMPLES, MAX_POSTS = 20_000, 5_000
+#: Least confidence in a sentence of one or two words, which is mostly a name.
+SURE = 0.6
 # Other spellings of the labels, by ISO 639-1 code.
 SPELLINGS = {
     "de": ("deu", "ger", "german"), "en": ("eng", "english"), "es": ("spa", "spanish"), "fr": ("fra", "fre", "french"), "it": ("ita", "italian"),
@@ -220,7 +222,8 @@ class Detector:
         low = cost[np.arange(len(best)), best]
         share = 1 / np.exp(-4 * (cost - low[:, None]) / self.scale).sum(1)
         long = np.array([t.count(" ") >= 2 for t in sentences])
-        return np.where(low <= np.where(long, self.limit, self.short_limit), best, -1), low, share
+        known = np.where(long, low <= self.limit, (low <= self.short_limit) & (share >= SURE))
+        return np.where(known, best, -1), low, share
 
 
 def languages_of_posts(batch_ids: list, texts: list[str | None], detector: Detector) -> dict[str, list]:

@@ -86,7 +86,7 @@ def name_classes(entries: DataFrame) -> DataFrame:
     """
     spark = entries.sparkSession
     rows = entries.where("name is not null and path is not null").select("manifest_id", "parent", "path", "name")
-    # control characters are no letters of a collation: they keep a class of their own
+    # ASCII control characters differ but don't count in a collation: forms with them are compared as they are
     plain = ~F.col("name").rlike(r"[^\x00-\x7F]") & (F.col("path") == F.concat(F.coalesce("parent", F.lit("")), "name"))
     odd = rows.where(~F.coalesce(plain, F.lit(False))).distinct()
     odd = written(odd.mapInArrow(_folded_batches, "manifest_id string, parent string, path string, name string, form string"), "forms")
@@ -97,7 +97,7 @@ def name_classes(entries: DataFrame) -> DataFrame:
     members = odd.unionByName(ascii_rows)
     return spark.sql(
         r"""
-        with m as (select *, regexp_replace(form, '[^\\x00-\\x1F\\x7F]', '') as controls from {members}),
+        with m as (select *, case when form rlike '[\\x00-\\x1F\\x7F]' then form else '' end as controls from {members}),
         c as (
           select manifest_id, parent, collate(form, 'UNICODE') as class_form, controls,
                  min(struct(name rlike '[^\\x00-\\x7F]' as odd, form, name)).name as canonical
