@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from stemma.llm.kneser_ney import CharModels
 
 #: Bounds of what the models are fitted on: labelled sentences (lang_samples holds 300) and labelled posts.
-MAX_SAMPLES, MAX_POSTS = 20_000, 5_000
+MAX_SAMPLES, MAX_POSTS = 20_000, 12_000
 #: Least confidence in a sentence of one or two words, which is mostly a name.
 SURE = 0.6
 # Other spellings of the labels, by ISO 639-1 code.
@@ -58,19 +58,27 @@ def normal(text: str) -> str:
     return " ".join(_NO_LETTER.sub(" ", text).split())
 
 
-def plain(text: str) -> str:
-    """Latin letters without their accents; of Cyrillic only ё becomes е."""
-    out = []
-    for ch in text:
-        if ch in PLAIN:
-            out.append(PLAIN[ch])
-        elif ch == "ё":
-            out.append("е")
+class _Plain(dict):
+    """Translation of single characters, filled as they are met."""
+
+    def __missing__(self, code: int) -> str:
+        ch = chr(code)
+        if ch == "ё":
+            out = "е"
         elif "Ѐ" <= ch <= "ӿ":
-            out.append(ch)
+            out = ch
         else:
-            out.append("".join(x for x in unicodedata.normalize("NFD", ch) if not unicodedata.combining(x)))
-    return "".join(out)
+            out = PLAIN.get(ch) or "".join(x for x in unicodedata.normalize("NFD", ch) if not unicodedata.combining(x))
+        self[code] = out
+        return out
+
+
+_PLAIN = _Plain()
+
+
+def plain(text: str) -> str:
+    """Latin letters without their accents; of Cyrillic only ё becomes е."""
+    return text.translate(_PLAIN)
 
 
 def spellings(text: str) -> set[str]:
@@ -133,17 +141,16 @@ def label_language(label: str | None) -> str | None:
 class Detector:
     """Models and rejection limits, fitted on sentences by language."""
 
-    def __init__(self, own: dict[str, list[str]], folds: int = 3, short_slack: float = 1.25, slack: float = 1.9):
+    def __init__(self, own: dict[str, list[str]], calibrate: bool = True, held_out: int = 5, short_slack: float = 1.25, slack: float = 2.8):
         own = {lang: sorted(set(ts)) for lang, ts in own.items() if ts}
         expand = lambda ts: sorted({v for t in ts for v in spellings(t)})
         self.own = own
         self.models = CharModels({lang: expand(ts) for lang, ts in own.items()})
         right, margins, costs = 0, [], []
-        for k in range(folds):
-            held = [(lang, t) for lang, ts in own.items() for i, t in enumerate(ts) if i % folds == k]
-            rest = {lang: [t for i, t in enumerate(ts) if i % folds != k] for lang, ts in own.items()}
-            if not held or not all(rest.values()):
-                continue
+        # calibrated on every held_out-th sentence of each language with models of the other ones
+        held = [(lang, t) for lang, ts in own.items() for i, t in enumerate(ts) if i % held_out == 0]
+        rest = {lang: [t for i, t in enumerate(ts) if i % held_out] for lang, ts in own.items()}
+        if calibrate and held and all(rest.values()):
             m = CharModels({lang: expand(ts) for lang, ts in rest.items()})
             s = -m.scores([t for _, t in held]) / np.array([[len(t) + 1] for _, t in held])
             truth = np.array([m.codes.index(lang) for lang, _ in held])
@@ -170,44 +177,42 @@ class Detector:
         for lang, text in samples:
             own.setdefault(lang, []).append(" ".join(sentences_of(text)))
         base = {lang: [t for t in ts if t] for lang, ts in own.items()}
-        detector = cls(base)
-        for _ in range(rounds if posts else 0):
-            more = detector._learnt(posts)
-            detector = cls({lang: ts + more.get(lang, []) for lang, ts in base.items()})
+        rounds = rounds if posts else 0
+        read = [([[s for s in sentences_of(b) if s.count(" ") >= 2] for b in blocks_of(text or "")], label_language(label)) for text, label in posts]
+        detector = cls(base, calibrate=not rounds)
+        for k in range(rounds):
+            more = detector._learnt(read)
+            detector = cls({lang: ts + more.get(lang, []) for lang, ts in base.items()}, calibrate=k == rounds - 1)
         return detector
 
-    def _learnt(self, posts) -> dict[str, list[str]]:
-        found: dict[str, list[str]] = {}
+    def _learnt(self, posts: list[tuple[list[list[str]], str]]) -> dict[str, list[str]]:
+        """Sentences by language. posts: (blocks of sentences, language of the label)."""
+        found: dict[str, set[str]] = {lang: set() for lang in self.models.codes}
         labels: dict[str, Counter] = {}
-        for text, label in posts:
-            lang = label_language(label)
-            if lang not in self.models.codes:
-                continue
-            blocks = [sentences_of(b) for b in blocks_of(text or "")]
-            flat = [(k, s) for k, ss in enumerate(blocks) for s in ss if s.count(" ") >= 2]
-            if not flat:
+        distinct = sorted({s for blocks, _ in posts for block in blocks for s in block})
+        best = dict(zip(distinct, [self.models.codes[j] for j in self.models.scores(distinct).argmax(1)])) if distinct else {}
+        words = {s: s.count(" ") + 1 for s in distinct}
+        for blocks, lang in posts:
+            if lang not in found:
                 continue
-            for s in {s for _, s in flat}:
+            for s in {s for block in blocks for s in block}:
                 labels.setdefault(s, Counter())[lang] += 1
-            j = self.models.codes.index(lang)
-            cost = -self.models.scores([s for _, s in flat]) / np.array([[len(s) + 1] for _, s in flat])
-            best = cost.argmin(1)
-            words = np.array([s.count(" ") + 1 for _, s in flat])
-            in_block = np.array([k for k, _ in flat])
-            if words[best == j].sum() <= 0.6 * words.sum():
+            own = [sum(words[s] for s in block if best[s] == lang) for block in blocks]
+            every = [sum(words[s] for s in block) for block in blocks]
+            if sum(own) <= 0.6 * sum(every):
                 continue
-            for n, (k, s) in enumerate(flat):
-                rest = (in_block == k) & (np.arange(len(flat)) != n)
-                if best[n] == j or words[rest & (best == j)].sum() > 0.6 * max(1, words[rest].sum()):
-                    found.setdefault(lang, []).append(s)
+            for block, o, e in zip(blocks, own, every):
+                for s in block:
+                    rest_own, rest = o - words[s] * (best[s] == lang), e - words[s]
+                    if best[s] == lang or rest_own > 0.6 * max(1, rest):
+                        found[lang].add(s)
         for s, by in labels.items():
             (lang, n), total = by.most_common(1)[0], sum(by.values())
-            if total >= 3 and n >= 0.7 * total:
-                found.setdefault(lang, []).append(s)
-                for other in found:
-                    if other != lang and s in (own := found[other]):
-                        found[other] = [x for x in own if x != s]
-        return found
+            if total >= 3 and n >= 0.8 * total:
+                for other in found.values():
+                    other.discard(s)
+                found[lang].add(s)
+        return {lang: sorted(ss) for lang, ss in found.items()}
 
     def judge(self, sentences: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(language index or -1, cross entropy per character, confidence) of each sentence.
