@@ -267,7 +267,10 @@ def fitted(documents: DataFrame, samples: DataFrame, max_samples: int = MAX_SAMP
     rows = samples.where("lang is not null and text is not null").select("lang", "text").distinct()
     sentences = [(r.lang, r.text) for r in rows.orderBy(F.xxhash64("text"), "text", "lang").limit(max_samples).collect()]
     posts = documents.where("text is not null and lang is not null and length(text) < 20000").select("doc_id", "text", "lang")
-    taken = posts.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_posts).collect()
+    # drawn by hash before the sort, so that tasks don't each send the driver max_posts rows
+    n = max(1, posts.count())
+    share = F.lit(min(1_000_000, -(-1_200_000 * max_posts // n)))
+    taken = posts.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_posts).collect()
     return Detector.of_samples(sentences, [(r.text, r.lang) for r in taken])
 
 
