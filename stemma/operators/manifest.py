@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from stemma.functions.fmt import human_size, tree_key
 from stemma.functions.modes import S_IFDIR, S_IFLNK, S_IFMT
+from stemma.runtime import written
 from stemma.schema import ancestors, display_path, entry_name, known_digest, latest, parent_path, path_depth
 
 # --- navigation
@@ -185,19 +186,27 @@ def sort_entries(entries: DataFrame) -> DataFrame:
     return latest(entries).orderBy("manifest_id", tree_key(F.col("path")))
 
 
-def ranked(entries: DataFrame) -> DataFrame:
-    """(manifest_id, path, rank): place of each path in its manifest's tree order, from 1.
+def numbered(rows: DataFrame, key: Column, *groups: str) -> DataFrame:
+    """Rows with ``rank``, their place by key within each group, from 1.
 
-    Slices of a manifest are the parent directories' subtrees by first component; they are numbered
-    alone and offset by the sizes of those before, so no manifest is sorted in one task unless it
-    has a single top directory.
+    Rows are range-partitioned by group and key and numbered within each partition; partitions are
+    offset by the counts of those before them, which are as few rows as there are partitions. So no
+    group, not even that of all rows, is sorted in one task. The partitioned rows are written first, as
+    ranges are drawn from a sample.
     """
-    rows = latest(entries.select("manifest_id", "path", "ord")).withColumn("key", tree_key(F.col("path"))).withColumn("slice", F.element_at("key", 1))
-    sizes = rows.groupBy("manifest_id", "slice").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("manifest_id").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("manifest_id", "slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inner = Window.partitionBy("manifest_id", "slice").orderBy("key")
-    return rows.withColumn("_i", F.row_number().over(inner)).join(sizes, ["manifest_id", "slice"]).select("manifest_id", "path", (F.col("_before") + F.col("_i")).alias("rank"))
+    placed = rows.withColumn("_key", key).repartitionByRange(*groups, "_key").withColumn("_part", F.spark_partition_id())
+    placed = written(placed, "ranges")
+    sizes = placed.groupBy(*groups, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(*groups, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inner = Window.partitionBy(*groups, "_part").orderBy("_key")
+    return placed.withColumn("_i", F.row_number().over(inner)).join(sizes, [*groups, "_part"]).withColumn("rank", F.col("_before") + F.col("_i")).drop("_key", "_part", "_i", "_before")
+
+
+def ranked(entries: DataFrame) -> DataFrame:
+    """(manifest_id, path, rank): place of each path in its manifest's tree order, from 1."""
+    rows = latest(entries.select("manifest_id", "path", "ord")).where("manifest_id is not null").select("manifest_id", "path")
+    return numbered(rows, tree_key(F.col("path")), "manifest_id")
 
 
 # --- combining

@@ -1,7 +1,8 @@
 """Directory sizes, times and IDs from the bottom up.
 
-One round per depth, deepest first. A round reads only the rows of its depth, aggregates them by
-parent and is written to the shared folder, so plans stay short and a lost executor costs one round.
+Files are aggregated by parent once, for all depths together. What goes round by round, deepest
+directories first, is the directories alone; each round is written to the shared folder, so plans stay
+short and a lost executor costs one round.
 """
 
 from __future__ import annotations
@@ -27,6 +28,24 @@ def _line_bytes(digest: Column) -> Column:
     return F.octet_length(line_without_id()) + 1 + F.when(known_digest(digest), 90).otherwise(1) + 1
 
 
+def _split(entries: DataFrame, name: str) -> tuple[DataFrame, DataFrame, int]:
+    """Files and directories, one row a path, with columns _dir and _depth; the greatest depth. Written
+    by both, so that a round reads its rows only."""
+    rows = latest(entries.where(F.col("depth").isNotNull()))
+    rows = written(rows.withColumns({"_dir": F.col("path").endswith("/"), "_depth": F.col("depth")}), name, ("_dir", "_depth"))
+    return rows.where("not _dir"), rows.where("_dir"), _levels(rows)
+
+
+def _sums(children: DataFrame) -> DataFrame:
+    """What a directory needs of its children, by the directory's path."""
+    return children.groupBy("manifest_id", F.col("parent").alias("path")).agg(
+        F.count(F.lit(1)).alias("_n"), F.count("size").alias("_sizes"), F.count("ts").alias("_times"), F.sum("size").alias("_size"), F.sum(_line_bytes(F.col("digest"))).alias("_bytes"), F.max("ts").alias("_ts")
+    )
+
+
+_SUMS = ("_n", "_sizes", "_times", "_size", "_bytes", "_ts")
+
+
 def roll_up(entries: DataFrame, empty_size_zero: bool = True) -> DataFrame:
     """Rows (one a path) with null sizes and times of directories filled from their children.
 
@@ -35,30 +54,31 @@ def roll_up(entries: DataFrame, empty_size_zero: bool = True) -> DataFrame:
     empty_size_zero=False) and no time. Directories keep what they have. Child directories whose IDs
     aren't known yet count with a dash for the ID, as sizes are filled before IDs.
     """
-    rows = latest(entries.where(F.col("depth").isNotNull()))
-    rows = written(rows.withColumn("_dir", F.col("path").endswith("/")), "rollup")
+    files, dirs, deepest = _split(entries, "rollup")
+    # files without a parent column are top rows and belong to no directory
+    dirs = written(dirs.join(_sums(files.where("parent is not null")), ["manifest_id", "path"], "left"), "rollup", ("_dir", "_depth"))
     done, below = [], None
-    for depth in range(_levels(rows), -1, -1):
-        here = rows.where(F.col("depth") == depth)
-        if below is not None:
-            sums = below.groupBy("manifest_id", F.col("parent").alias("path")).agg(
-                F.when(F.count("size") == F.count(F.lit(1)), F.sum("size") + F.sum(_line_bytes(F.col("digest")))).alias("_size"),
-                F.when(F.count("ts") == F.count(F.lit(1)), F.max("ts")).alias("_ts"),
-                F.count(F.lit(1)).alias("_n"),
-            )
-            here = here.join(sums, ["manifest_id", "path"], "left")
+    for depth in range(deepest, -1, -1):
+        here = dirs.where(F.col("_depth") == depth)
+        if below is None:
+            here = here.withColumns({f"{c}_d": F.lit(None).cast(here.schema[c].dataType) for c in _SUMS})
         else:
-            here = here.withColumns({"_size": F.lit(None).cast("long"), "_ts": F.lit(None).cast("timestamp"), "_n": F.lit(None).cast("long")})
-        empty = F.lit(0) if empty_size_zero else F.lit(None).cast("long")
-        size = F.when(F.col("_n").isNull(), empty).otherwise(F.col("_size"))
-        fill = F.col("_dir")
-        here = here.withColumn("size", F.when(fill, F.coalesce("size", size)).otherwise(F.col("size"))).withColumn("ts", F.when(fill, F.coalesce("ts", "_ts")).otherwise(F.col("ts")))
-        below = written(here.drop("_size", "_ts", "_n"), "rollup")
+            own = _sums(below.where("parent is not null"))
+            here = here.join(own.select("manifest_id", "path", *[F.col(c).alias(f"{c}_d") for c in _SUMS]), ["manifest_id", "path"], "left")
+        both = {c: F.coalesce(F.col(c), F.lit(0)) + F.coalesce(F.col(f"{c}_d"), F.lit(0)) for c in _SUMS[:5]}
+        size = F.when(both["_n"] == 0, F.lit(0) if empty_size_zero else F.lit(None).cast("long")).when(both["_sizes"] == both["_n"], both["_size"] + both["_bytes"])
+        ts = F.when(both["_times"] == both["_n"], F.greatest("_ts", "_ts_d"))
+        here = here.withColumns({"size": F.coalesce("size", size), "ts": F.coalesce("ts", ts)})
+        below = written(here.drop(*_SUMS, *[f"{c}_d" for c in _SUMS]), "rollup")
         done.append(below)
-    out = done[0]
-    for d in done[1:]:
+    return _all(files, done)
+
+
+def _all(files: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    out = files
+    for d in levels:
         out = out.unionByName(d)
-    return out.drop("_dir")
+    return out.drop("_dir", "_depth")
 
 
 def _with_line(rows: DataFrame) -> DataFrame:
@@ -71,23 +91,18 @@ def directory_ids(entries: DataFrame) -> DataFrame:
     """Rows with every directory's digest: the hash of its children's canonical lines, files first, in
     natural order; that of nothing for an empty directory. Sizes and times as they are (see roll_up).
     """
-    rows = written(latest(entries.where(F.col("depth").isNotNull())), "dirids")
+    files, dirs, deepest = _split(entries, "dirids")
     done, below = [], None
-    for depth in range(_levels(rows), -1, -1):
-        here = rows.where(F.col("depth") == depth)
-        here = here.withColumn("digest", F.when(F.col("path").endswith("/"), F.lit(None).cast("binary")).otherwise(F.col("digest")))
+    for depth in range(deepest, -1, -1):
+        here = dirs.where(F.col("_depth") == depth).drop("digest")
+        children = files.where((F.col("_depth") == depth + 1) & F.col("parent").isNotNull())
         if below is not None:
-            ids = streamed_sha512(_with_line(below.where("parent is not null")), ["manifest_id", "parent"], ["_dir", "_key"], "_line")
-            here = here.join(ids.select("manifest_id", F.col("parent").alias("path"), F.col("digest").alias("_id")), ["manifest_id", "path"], "left")
-        else:
-            here = here.withColumn("_id", F.lit(None).cast("binary"))
-        own = F.coalesce("_id", digest_of(F.lit("")))
-        below = written(here.withColumn("digest", F.when(F.col("path").endswith("/"), own).otherwise(F.col("digest"))).drop("_id"), "dirids")
+            children = children.unionByName(below.where("parent is not null"))
+        ids = streamed_sha512(_with_line(children), ["manifest_id", "parent"], ["_dir", "_key"], "_line")
+        here = here.join(ids.select("manifest_id", F.col("parent").alias("path"), F.col("digest").alias("_id")), ["manifest_id", "path"], "left")
+        below = written(here.withColumn("digest", F.coalesce("_id", digest_of(F.lit("")))).drop("_id"), "dirids")
         done.append(below)
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
+    return _all(files, done)
 
 
 def manifest_ids(entries: DataFrame) -> DataFrame:

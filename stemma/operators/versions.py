@@ -10,10 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stemma.functions.ident import id_text
 from stemma.functions.modes import S_IFLNK, S_IFMT, canonical_mode, whole_seconds
 from stemma.operators.manifest import with_implied
+from stemma.operators.rollup import manifest_ids
 from stemma.runtime import prepare, written
 from stemma.schema import ATTRIBUTES, ancestors, conflict_path, entry_name, parent_path, path_depth
+from stemma.sources.codec import entry_lines
 
 KEY = ("manifest_id", "path")
 
@@ -109,9 +112,10 @@ def apply_patch(base: DataFrame, patch_rows: DataFrame) -> DataFrame:
     """Base rows with a patch applied: identical rows go, other ones replace or join.
 
     A directory whose own row is removed takes everything below with it, patch rows included: each path
-    is matched with the removed directories among its ancestors, an equality join.
+    is matched with the removed directories among its ancestors, an equality join. Context rows of patch
+    texts (see patch_lines) change nothing.
     """
-    b = beside(base=base, patch=patch_rows.withColumn("ord", F.lit(0).cast("long")))
+    b = beside(base=base, patch=patch_rows.where(~is_context()).withColumn("ord", F.lit(0).cast("long")))
     dropped = F.col("base").isNotNull() & F.col("patch").isNotNull() & identical_entries("base", "patch")
     b = written(b.withColumn("_drop", dropped), "patch")
     gone = b.where(F.col("_drop") & F.col("path").endswith("/")).select("manifest_id", F.col("path").alias("_gone"))
@@ -130,6 +134,32 @@ def _rows(keyed: DataFrame) -> DataFrame:
     )
 
 
+def is_context() -> Column:
+    """A directory row with an ungrouped hard link, which no real directory has: it only places the rows
+    below it in a patch text."""
+    return F.col("path").endswith("/") & (F.coalesce(F.col("hard_link"), F.lit(0)) == -1)
+
+
+def patch_lines(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(manifest_id, key, line): a patch's text, by key. The first line is the ID of the old version.
+
+    Unchanged directories above changed rows are given as context rows, so that the text decodes to the
+    right paths.
+    """
+    p = written(patch(old, new), "patch")
+    above = p.select("manifest_id", F.explode(ancestors(F.col("path"))).alias("path")).distinct().join(p.select(*KEY), list(KEY), "left_anti")
+    context = above.select(*KEY, entry_name(F.col("path")).alias("name"), F.lit(True).alias("is_dir"), F.lit(-1).alias("hard_link"))
+    rows = p.unionByName(context, allowMissingColumns=True).withColumns({"section_idx": F.lit(0), "ord": F.lit(0).cast("long"), "depth": path_depth(F.col("path")), "parent": parent_path(F.col("path"))})
+    lines = entry_lines(rows).select("manifest_id", "key", "line")
+    first = manifest_ids(old).select("manifest_id", F.lit(None).cast(lines.schema["key"].dataType).alias("key"), id_text("digest").alias("line"))
+    return lines.unionByName(first)
+
+
+def patch_text(old: DataFrame, new: DataFrame) -> str:
+    """Patch text of one manifest on the driver; appended to the old version's text it makes a chain."""
+    return "".join(r.line + "\n" for r in patch_lines(old, new).orderBy(F.col("key").asc_nulls_first()).select("line").toLocalIterator())
+
+
 def sections(entries: DataFrame) -> list[int]:
     return sorted(r[0] for r in entries.select("section_idx").distinct().collect())
 

@@ -46,16 +46,16 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """``df`` written as a parquet table in the shared folder and read back.
 
     Cuts the lineage so that a lost executor costs a re-read, not a re-run, and fixes the rows
-    where several later steps must see the same ones.
+    where several later steps must see the same ones. partition_by: columns that later steps filter by.
     """
     spark = df.sparkSession
     prepare(spark)
     path = os.path.join(shared_folder(spark), "stemma", f"{name}-{uuid.uuid4().hex}")
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
     atexit.register(_remove, path)
     return spark.read.schema(df.schema).parquet(path)
 

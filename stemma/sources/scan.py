@@ -115,3 +115,22 @@ def scan(spark: SparkSession, path: str, manifest_id: str | None = None, compute
         F.lit(0).alias("hard_link"), F.lit("").alias("flow_direction"), F.lit(None).cast("string").alias("flow_target"), F.lit(False).alias("is_sequence"), F.lit(None).cast("string").alias("pattern"),
     )
     return scan_metadata(full) if compute_ids else full
+
+
+def identify_files(spark: SparkSession, files: list[str], tasks: int | None = None) -> DataFrame:
+    """(file, digest) of files by name; null for one that can't be read. Large files are read in pieces."""
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"file": b.column(0), "digest": pa.array([digest_of_file(f) for f in b.column(0).to_pylist()], pa.binary())})
+
+    named = spark.createDataFrame([(os.path.realpath(f),) for f in files], "file string")
+    return named.repartition(tasks or max(1, min(len(files), spark.sparkContext.defaultParallelism))).mapInArrow(run, "file string, digest binary")
+
+
+def verify_file(file: str, expected: bytes) -> bool:
+    """Whether a file's content has an ID; a file that isn't there raises."""
+    if not os.path.exists(file):
+        raise FileNotFoundError(file)
+    return digest_of_file(file) == expected

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import configparser
 import os
+import shlex
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -110,6 +111,21 @@ class BlobStore:
         state.unpersist()
         return result
 
+    def extraction_script(self, entries: DataFrame) -> str:
+        """Shell script that copies a bundle's contents to the paths of a manifest, for use without this package."""
+        from stemma.functions.ident import id_text
+        from stemma.operators.manifest import is_dir
+
+        rows = entries.select(F.col("path"), is_dir().alias("dir"), F.when(F.col("digest").isNotNull(), id_text("digest")).alias("id")).orderBy("path")
+        lines = ["#!/bin/sh", "set -e", 'from=$(dirname "$0")', 'to=${1:-.}']
+        for r in rows.toLocalIterator():
+            target = '"$to"/' + shlex.quote(r.path)
+            if r.dir:
+                lines.append(f"mkdir -p {target}")
+            elif r.id:
+                lines += [f'mkdir -p "$(dirname {target})"', f'cp "$from"/{r.id} {target}']
+        return "\n".join(lines) + "\n"
+
     def ingest(self, folder: str) -> DataFrame:
         """Adds files named by ID whose content has that ID; returns (copied, skipped, rejected)."""
         files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)

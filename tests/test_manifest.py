@@ -13,6 +13,7 @@ from stemma.functions import ident
 from stemma.functions.base58 import parse_id
 from stemma.operators import manifest as M
 from stemma.operators import rollup, validate, versions
+from stemma.sources import codec
 from stemma.sources.codec import canonical_text_line, decode, entries_of, natural_order
 
 T0 = "2025-06-15T12:00:00Z"
@@ -186,6 +187,21 @@ def test_chain(spark):
     assert [tuple(r)[1:] for r in versions.log_chain(e).orderBy("index").collect()] == [(1, 2, 0, 0, True, 2), (2, 0, 1, 1, False, 1), (3, 1, 0, 0, False, 2)]
 
 
+@pytest.mark.parametrize("seed", [3, 4])
+def test_patch_texts(spark, seed):
+    from tests.test_codec import random_text
+
+    rng = random.Random(seed)
+    for old_text, new_text in ((random_text(rng), random_text(rng)), (SAMPLE, SAMPLE.replace("main.go", "main2.go") + f("top"))):
+        old, new = one(spark, old_text), one(spark, new_text)
+        text = versions.patch_text(old, new)
+        base = "".join(r.line + "\n" for r in codec.entry_lines(old).orderBy("key").collect())
+        chain = one(spark, base + text)
+        assert text.splitlines()[0] == rollup.manifest_ids(old).select(ident.id_text("digest").alias("t")).first().t
+        cols = ["path", "mode", "ts", "size", "digest", "hard_link"]
+        assert sorted(map(str, versions.resolve_chain(chain).select(cols).collect())) == sorted(map(str, new.select(cols).collect()))
+
+
 LATE = "2025-07-01T00:00:00Z"
 MERGES = [
     (f("a"), f("a") + f("b", "2"), f("a") + f("c", "3"), ["a", "b", "c"], []),

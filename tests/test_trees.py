@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from stemma.functions.base58 import id_text
 from stemma.operators import trees
-from stemma.sources.scan import scan
+from stemma.sources.scan import identify_files, scan, verify_file
 from stemma.sources.store import BlobStore, ContentNotFound, open_store
 from stemma.workspace import Workspace
 
@@ -103,6 +103,26 @@ def test_bundles(spark, tmp_path):
     assert (counts.copied, counts.skipped, counts.missing) == (6, 1, 1)
 
 
+def test_files_by_name(spark, tmp_path):
+    root = build(tmp_path / "t", FILES)
+    got = {os.path.basename(r.file): r.digest and bytes(r.digest) for r in identify_files(spark, [str(root / "readme.txt"), str(root / "none")]).collect()}
+    assert got == {"readme.txt": sha(b"Hello world"), "none": None}
+    assert verify_file(str(root / "readme.txt"), sha(b"Hello world")) and not verify_file(str(root / "data.bin"), sha(b""))
+    with pytest.raises(FileNotFoundError):
+        verify_file(str(root / "none"), sha(b""))
+
+
+def test_extraction_script(spark, tmp_path):
+    root = build(tmp_path / "t", {"a b/it's": b"1", "c": b"2"})
+    m = scan(spark, str(root)).cache()
+    s = BlobStore(spark, "file://" + str(tmp_path / "store"))
+    s.put(contents(spark, b"1", b"2"))
+    s.export(m.where("not is_dir"), str(tmp_path / "bundle"))
+    (tmp_path / "bundle/extract.sh").write_text(s.extraction_script(m))
+    subprocess.run(["sh", str(tmp_path / "bundle/extract.sh"), str(tmp_path / "out")], check=True, timeout=60)
+    assert (tmp_path / "out/a b/it's").read_bytes() == b"1" and (tmp_path / "out/c").read_bytes() == b"2"
+
+
 def test_reconcile(spark, tmp_path):
     a, b = build(tmp_path / "a", FILES), build(tmp_path / "b", {"readme.txt": b"old", "src/main.py": b"main", "junk/x/y": b"j", ".stemma.json": b"{}"})
     m = scan(spark, str(a)).cache()
