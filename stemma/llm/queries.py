@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stemma.llm.encode import encode_documents
 from stemma.llm.languages import detect_languages, label_faults
-from stemma.llm.lookalikes import lookalike_pairs, name_classes
+from stemma.llm.lookalikes import ARMENIAN, CYRILLIC, GREEK, lookalike_pairs, name_classes
 from stemma.llm.mix import mix_shares, mix_sources
 from stemma.llm.seen import seen_arrivals
 from stemma.runtime import table
@@ -50,10 +50,27 @@ def p9_languages(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {q.__name__: q for q in (p2_found, p2_canonical, p4_found, p4_report, p7_ids, p8_mix, p8_shares, p9_found, p9_languages)}
 
+# Look-alike names in plain SQL: single characters by translation tables, then NFC.
+_WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
+_NARROW = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F))
+_LETTERS = CYRILLIC | GREEK | ARMENIAN
+_FROM, _TO = "".join(_LETTERS), "".join(_LETTERS.values())
+_FORM = f"translate(replace(replace(name, 'ё', 'е' || chr(776)), 'Ё', 'Е' || chr(776)), '{_WIDE}', '{_NARROW.replace(chr(39), chr(39) * 2)}')"
+for _joined, _parts in (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl")):
+    _FORM = f"replace({_FORM}, '{_joined}', '{_parts}')"
+_FORM = f"nfc_normalize(translate(regexp_replace(regexp_replace({_FORM}, '[\\p{{Cf}}]', '', 'g'), '[\\p{{Zs}}]', ' ', 'g'), '{_FROM}', '{_TO}'))"
+
 SQL = {
+    "p2_found": f"""
+with e as (select distinct manifest_id, coalesce(parent, chr(0)) as parent, path, name from entries where name is not null and path is not null),
+f as (select *, {_FORM} as form from e),
+odd as (select * from f where form in (select form from f where not regexp_full_match(name, '[\\x00-\\x7F]*')))
+select a.manifest_id, a.path as path_lo, b.path as path_hi from odd a join odd b
+  on a.manifest_id = b.manifest_id and a.parent = b.parent and a.form = b.form and a.path < b.path
+""",
     "p4_found": """
 with a as (select arrival_id, actual, min(arrival_id) over (partition by actual) as first from arrivals
            where actual is not null and actual <> unhex(repeat('00', 64)))
 select arrival_id from a where first < arrival_id or actual in (select digest from entries where digest is not null)
 """,
-}
+}
\ No newline at end of file
