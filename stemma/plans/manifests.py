@@ -20,11 +20,19 @@ from stemma.sources import codec
 QUERIES, SQL = {}, {}
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, hexed: tuple[str, ...] = ()):
+    """Registers a query. hexed: binary columns, which leave as hexadecimal text so that they compare anywhere."""
+
     def add(f):
-        QUERIES[f.__name__] = f
+        def run(spark, folder):
+            df = f(spark, folder)
+            return df.withColumns({c: ident.hex_text(F.col(c)) for c in hexed}) if hexed else df
+
+        run.__doc__ = f.__doc__
+        QUERIES[f.__name__] = run
         if sql:
-            SQL[f.__name__] = sql.replace("{LAST}", LAST).replace("{MLAST}", LAST.replace("entries", "mirror_entries")).replace("{PAIRS}", PAIRS).replace("{DIFF}", DIFF)
+            outer = f"select * replace ({', '.join(f'lower(hex({c})) as {c}' for c in hexed)}) from ({sql})" if hexed else sql
+            SQL[f.__name__] = outer.replace("{LAST}", LAST).replace("{MLAST}", LAST.replace("entries", "mirror_entries")).replace("{PAIRS}", PAIRS).replace("{DIFF}", DIFF)
         return f
 
     return add
@@ -121,13 +129,13 @@ def digest_order(spark, folder):
     return _entries(spark, folder).agg(F.count_if(ident.is_nil(d)).alias("nil"), F.count_if(d.isNull()).alias("none"), ident.hex_text(F.min(d)).alias("least"), ident.hex_text(F.max(d)).alias("greatest"))
 
 
-@query()
+@query(hexed=("tree_digest",))
 def manifest_set_identity(spark, folder):
     """Set identity of each manifest's digests."""
     return ident.set_identity(_entries(spark, folder).select("manifest_id", "digest"), "manifest_id")
 
 
-@query()
+@query(hexed=("digest",))
 def manifest_identity(spark, folder):
     return rollup.manifest_ids(_entries(spark, folder))
 
@@ -220,7 +228,7 @@ _DUP = """select manifest_id, digest, count(*) as copies, arg_min(path, {'o': or
   from entries where digest is not null and digest <> unhex(repeat('00', 64)) group by manifest_id, digest having count(*) > 1"""
 
 
-@query(_DUP)
+@query(_DUP, hexed=("digest",))
 def duplicates(spark, folder):
     return M.duplicates(_entries(spark, folder))
 
@@ -230,13 +238,13 @@ def wasted_bytes(spark, folder):
     return M.duplicates(_entries(spark, folder)).groupBy("manifest_id").agg(F.sum("wasted").alias("wasted"))
 
 
-@query("select digest, count(*) as copies, min(path) as path from entries where digest is not null and digest <> unhex(repeat('00', 64)) group by digest order by copies desc, digest limit 20")
+@query("select digest, count(*) as copies, min(path) as path from entries where digest is not null and digest <> unhex(repeat('00', 64)) group by digest order by copies desc, digest limit 20", hexed=("digest",))
 def top_duplicates(spark, folder):
     g = _entries(spark, folder).where(known_digest(F.col("digest"))).groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min("path").alias("path"))
     return g.orderBy(F.desc("copies"), "digest").limit(20)
 
 
-@query(f"select e.manifest_id, e.path, e.ord, g.copies, e.digest from entries e join ({_DUP}) g on e.manifest_id = g.manifest_id and e.digest = g.digest")
+@query(f"select e.manifest_id, e.path, e.ord, g.copies, e.digest from entries e join ({_DUP}) g on e.manifest_id = g.manifest_id and e.digest = g.digest", hexed=("digest",))
 def duplicate_paths_by_id(spark, folder):
     return M.duplicate_paths(_entries(spark, folder))
 
@@ -306,7 +314,7 @@ def patch_rows(spark, folder):
     return versions.patch(old, new).select("manifest_id", "path", "size")
 
 
-@query("select p.manifest_id, e.path, e.size, e.digest from {PAIRS} p join {LAST} e on e.manifest_id = p.manifest_id")
+@query("select p.manifest_id, e.path, e.size, e.digest from {PAIRS} p join {LAST} e on e.manifest_id = p.manifest_id", hexed=("digest",))
 def apply_patch(spark, folder):
     """A patch of consecutive listings, applied to the earlier one, gives the later one."""
     new, old = _versions(spark, folder)
@@ -323,7 +331,7 @@ def _chain(spark, folder):
     return written(part(base, 0).unionByName(part(versions.patch(old, mid), 1)).unionByName(part(versions.patch(mid, new), 2)), "chain")
 
 
-@query("select p.manifest_id, e.path, e.size, e.digest from {PAIRS} p join {LAST} e on e.manifest_id = p.manifest_id where p.prev2 is not null")
+@query("select p.manifest_id, e.path, e.size, e.digest from {PAIRS} p join {LAST} e on e.manifest_id = p.manifest_id where p.prev2 is not null", hexed=("digest",))
 def resolve_chain(spark, folder):
     return versions.resolve_chain(_chain(spark, folder)).select("manifest_id", "path", "size", "digest")
 
@@ -402,7 +410,7 @@ def under_prefix(spark, folder):
 
 @query("""with a as (select distinct digest, path from entries where digest is not null and digest <> unhex(repeat('00', 64)) and manifest_id in (select manifest_id from manifests where mirrored)),
   b as (select digest, min(path) as path, count(*) as n from entries where digest is not null and digest <> unhex(repeat('00', 64)) and manifest_id not in (select manifest_id from manifests where mirrored) group by digest)
-  select a.digest, min(a.path) as path_a, count(*) as paths_a, min(b.path) as path_b, min(b.n) as rows_b from a join b on a.digest = b.digest group by a.digest""")
+  select a.digest, min(a.path) as path_a, count(*) as paths_a, min(b.path) as path_b, min(b.n) as rows_b from a join b on a.digest = b.digest group by a.digest""", hexed=("digest",))
 def leakage(spark, folder):
     """Content of mirrored manifests that others hold as well."""
     m = table(spark, folder, "manifests").where("mirrored").select("manifest_id").distinct()
@@ -412,14 +420,14 @@ def leakage(spark, folder):
     return a.join(b, "digest")
 
 
-@query("select distinct digest from entries where digest is not null intersect select distinct digest from mirror_entries where digest is not null")
+@query("select distinct digest from entries where digest is not null intersect select distinct digest from mirror_entries where digest is not null", hexed=("digest",))
 def intersect_by_content(spark, folder):
     d = lambda t: table(spark, folder, t).where("digest is not null").select("digest")
     return d("entries").intersect(d("mirror_entries"))
 
 
 @query("""select coalesce(e.manifest_id, a.manifest_id) as manifest_id, coalesce(e.path, a.path) as path, case when a.path is null then 'missing' when e.path is null then 'extra' when e.digest is not distinct from a.digest then 'ok' else 'corrupt' end as status, e.digest as expected, a.digest as actual
-  from (select * from {LAST} where digest is not null and path not like '%/' and manifest_id in (select manifest_id from manifests where mirrored)) e full outer join (select * from {MLAST} where path not like '%/' and manifest_id in (select manifest_id from manifests where mirrored)) a on e.manifest_id = a.manifest_id and e.path = a.path""")
+  from (select * from {LAST} where digest is not null and path not like '%/' and manifest_id in (select manifest_id from manifests where mirrored)) e full outer join (select * from {MLAST} where path not like '%/' and manifest_id in (select manifest_id from manifests where mirrored)) a on e.manifest_id = a.manifest_id and e.path = a.path""", hexed=("expected", "actual"))
 def verify_report(spark, folder):
     """Files of the mirrored manifests against the second place."""
     m = table(spark, folder, "manifests").where("mirrored").select("manifest_id").distinct()
@@ -449,7 +457,7 @@ def reconcile_plan(spark, folder):
     return plan.select(F.substring_index("path", ":", 1).alias("manifest_id"), F.expr("substring(path, instr(path, ':') + 1)").alias("path"), "type")
 
 
-@query("select distinct digest from entries where digest is not null and digest <> unhex(repeat('00', 64)) and digest not in (select actual from arrivals where actual is not null)")
+@query("select distinct digest from entries where digest is not null and digest <> unhex(repeat('00', 64)) and digest not in (select actual from arrivals where actual is not null)", hexed=("digest",))
 def store_missing(spark, folder):
     return trees.store_missing(_entries(spark, folder), table(spark, folder, "arrivals").where("actual is not null").select(F.col("actual").alias("digest")))
 
@@ -562,7 +570,7 @@ def format_line(spark, folder):
     return lines.agg(F.count("line").alias("lines"), F.count_if(F.col("line").rlike(" c4[1-9A-HJ-NP-Za-km-z]{88}$")).alias("with_id"))
 
 
-@query("select manifest_id, path, coalesce(mode, 0) & 4095 as permissions, epoch(date_trunc('second', ts))::bigint as seconds, size, digest, target from {LAST}")
+@query("select manifest_id, path, coalesce(mode, 0) & 4095 as permissions, epoch(date_trunc('second', ts))::bigint as seconds, size, digest, target from {LAST}", hexed=("digest",))
 def encode_roundtrip(spark, folder):
     """Every entry written as its line and read back."""
     ids = F.when(known_digest(F.col("digest")), ident.id_text("digest"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from stemma.functions.base58 import ALPHABET, MAX_ID
 from stemma.operators.copies import compare_mirrors, verify_report
 from stemma.operators.lines import load_lines, rejected
 from stemma.operators.snapshots import snapshot_changes
@@ -81,3 +82,22 @@ select manifest_id, count(*) filter (where difference = 'missing') as missing, c
   count(distinct path) filter (where difference not in ('missing', 'extra')) as corrupt
 from ({SQL["p1_found"]}) group by manifest_id
 """
+
+# The line format in plain SQL: escaped pairs are marked with chr(1) (an escaped blank becomes chr(1), chr(2)),
+# so that fields are what stands between the blanks left.
+_B58 = f"[{ALPHABET}]"
+_ID_OK = f"(regexp_full_match({{x}}, 'c4{_B58}{{{{88}}}}') and {{x}} <= '{MAX_ID}')"
+_TS_SHAPE = "[0-9]{4}-[0-9]{2}-[0-9]{2}T([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9](Z|[+-]([01][0-9]|2[0-3]):[0-5][0-9])"
+SQL["p3_found"] = f"""
+with r as (select line_id, ltrim(line, ' ') as rest from raw_lines where line is not null),
+c as (select * from r where rest <> '' and not (regexp_full_match(rest, '(c4{_B58}{{88}})+')
+  and len(list_filter(range(0, length(rest) // 90), lambda i: substr(rest, i * 90 + 1, 90) > '{MAX_ID}')) = 0)),
+m as (select line_id, string_split(replace(regexp_replace(rest, '\\\\(.)', chr(1) || '\\1', 'gs'), chr(1) || ' ', chr(1) || chr(2)), ' ') as f from c),
+p as (select line_id, f, len(f) = 5 or (len(f) = 7 and f[5] = '->') as ok, f[len(f)] as id, case when len(f) = 7 then [f[4], f[6]] else [f[4]] end as names from m)
+select line_id, 'columns' as reason from p where not ok
+union all select line_id, 'quoting' from p where ok and len(list_filter(names, lambda n: not regexp_full_match(n, '([^"\\\\' || chr(1) || ']|' || chr(1) || '[' || chr(2) || '"\\[\\]\\\\0tnr])+', 's'))) > 0
+union all select line_id, 'mode' from p where ok and not regexp_full_match(f[1], '-|[-dlbcps][-rwxstST]{{9}}')
+union all select line_id, 'ts' from p where ok and f[2] not in ('-', '0') and not (regexp_full_match(f[2], '{_TS_SHAPE}') and substr(f[2], 1, 4) <> '0000' and try_cast(substr(f[2], 1, 10) as date) is not null)
+union all select line_id, 'size' from p where ok and f[3] <> '-' and not (regexp_full_match(f[3], '[0-9]+|[0-9]{{1,3}}(,[0-9]{{3}})+') and coalesce(try_cast(replace(f[3], ',', '') as hugeint) < 9223372036854775808, false))
+union all select line_id, 'c4id' from p where ok and id <> '-' and not {_ID_OK.format(x="id")}
+"""
