@@ -158,7 +158,8 @@ def token_counts(documents: DataFrame, folder: str = TOKENIZER_DIR) -> DataFrame
     def run(batches):
         enc = encoding(ranks.value)
         for b in batches:
-            ids = enc.encode_ordinary_batch([t or "" for t in b.column(2).to_pylist()], num_threads=1)
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "source": b.column(1), "n_tokens": pa.array([len(x) for x in ids], pa.int64())})
+            texts = b.column(2).to_pylist()
+            n = [len(ids) for lo in range(0, len(texts), 100) for ids in enc.encode_ordinary_batch([t or "" for t in texts[lo : lo + 100]], num_threads=1)]
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "source": b.column(1), "n_tokens": pa.array(n, pa.int64())})
 
     return documents.select("doc_id", "source", "text").mapInArrow(run, "doc_id long, source string, n_tokens long")

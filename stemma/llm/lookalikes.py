@@ -80,12 +80,12 @@ def name_classes(entries: DataFrame) -> DataFrame:
 
     A class is the paths of one manifest and parent whose names look the same. The canonical name is
     the member that is ASCII if there is one, else the first in code-point order of its folded form
-    and then of itself. Repeated rows count once; null names and paths are left out; a null parent
+    and then of itself. Repeated rows count once; null names, paths and manifests are left out; a null parent
     is one parent. ASCII names differ from each other, so only those equal to the folded form of
     some other name take part in the grouping.
     """
     spark = entries.sparkSession
-    rows = entries.where("name is not null and path is not null").select("manifest_id", "parent", "path", "name")
+    rows = entries.where("manifest_id is not null and name is not null and path is not null").select("manifest_id", "parent", "path", "name")
     # ASCII control characters differ but don't count in a collation: forms with them are compared as they are
     plain = ~F.col("name").rlike(r"[^\x00-\x7F]") & (F.col("path") == F.concat(F.coalesce("parent", F.lit("")), "name"))
     odd = rows.where(~F.coalesce(plain, F.lit(False))).distinct()
@@ -104,7 +104,7 @@ def name_classes(entries: DataFrame) -> DataFrame:
           from m group by manifest_id, parent, collate(form, 'UNICODE'), controls having count(distinct path) > 1
         )
         select m.manifest_id, m.parent, m.path, m.name, c.canonical
-        from m join c on m.manifest_id <=> c.manifest_id and m.parent <=> c.parent
+        from m join c on m.manifest_id = c.manifest_id and m.parent <=> c.parent
                      and collate(m.form, 'UNICODE') = c.class_form and m.controls = c.controls
         """,
         members=members,
@@ -116,5 +116,5 @@ def lookalike_pairs(entries: DataFrame) -> DataFrame:
     m = written(name_classes(entries), "classes")
     a = m.select(F.col("manifest_id"), F.col("parent"), F.col("canonical"), F.col("path").alias("path_lo"))
     b = m.select(F.col("manifest_id").alias("m2"), F.col("parent").alias("p2"), F.col("canonical").alias("c2"), F.col("path").alias("path_hi"))
-    on = F.col("manifest_id").eqNullSafe(F.col("m2")) & F.col("parent").eqNullSafe(F.col("p2")) & (F.col("canonical") == F.col("c2")) & (F.col("path_lo") < F.col("path_hi"))
+    on = (F.col("manifest_id") == F.col("m2")) & F.col("parent").eqNullSafe(F.col("p2")) & (F.col("canonical") == F.col("c2")) & (F.col("path_lo") < F.col("path_hi"))
     return a.join(b, on).select("manifest_id", "path_lo", "path_hi")

@@ -45,7 +45,7 @@ def test_edges(spark):
     long = "a" * 100_000
     rows = [("m", None, None), ("m", None, ""), ("m", None, long), ("m", None, long[:-1] + "а"), (None, None, "а"), (None, None, "a"), ("m", "d/", "x"), ("m", "d/", "x")]
     got = lookalike_pairs(frame(spark, rows)).collect()
-    assert [(r.manifest_id, len(r.path_lo)) for r in got] in ([("m", 100_000)], [("m", 100_000), (None, 1)], [(None, 1), ("m", 100_000)])
+    assert [(r.manifest_id, len(r.path_lo)) for r in got] == [("m", 100_000)]
     assert lookalike_pairs(frame(spark, rows).limit(0)).count() == 0
     odd = spark.createDataFrame([("m", "d/", "p1", "x", "", ""), ("m", "d/", "p2", "x", "", "")], COLS)  # paths that aren't parent and name
     assert [tuple(r) for r in lookalike_pairs(odd).collect()] == [("m", "p1", "p2")]
