@@ -143,8 +143,11 @@ def duplicates(entries: DataFrame, files_only: bool = False) -> DataFrame:
 
 
 def duplicate_paths(entries: DataFrame, files_only: bool = False) -> DataFrame:
-    """(manifest_id, digest, path, copies): every path of the duplicates, as rows instead of lists."""
-    groups = duplicates(entries, files_only).select("manifest_id", "digest", "copies")
+    """(manifest_id, digest, path, copies): every path of the duplicates, as rows instead of lists.
+
+    The groups are written, so that the join is one of plain shuffles and AQE splits a frequent ID's rows.
+    """
+    groups = written(duplicates(entries, files_only).select("manifest_id", "digest", "copies"), "groups")
     rows = entries.where(known_digest(F.col("digest"))).select("manifest_id", "digest", "path", "ord")
     return rows.join(groups, ["manifest_id", "digest"])
 

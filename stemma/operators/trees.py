@@ -79,8 +79,8 @@ def reconcile_plan(target: DataFrame, present: DataFrame, stored: DataFrame | No
     p = present.select("path", F.coalesce("is_dir", F.lit(False)).alias("p_dir"), F.col("digest").alias("p_digest"), F.lit(True).alias("_p"))
     b = t.join(p, "path", "full_outer")
     if stored is not None:
-        # distinct digests are joined, so content shared by many paths doesn't skew the join by path
-        lacking = target.where("digest is not null").select("digest").distinct().join(stored.select("digest").distinct(), "digest", "left_anti")
+        # one row a digest, written, so that AQE can split the rows of content that many paths share
+        lacking = written(target.where("digest is not null").select("digest").distinct().join(stored.select("digest").distinct(), "digest", "left_anti"), "lacking")
         b = b.join(lacking.select(F.col("digest").alias("t_digest"), F.lit(True).alias("_lacking")), "t_digest", "left")
     else:
         b = b.withColumn("_lacking", F.lit(None).cast("boolean"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stemma.functions.modes import S_IFDIR, S_IFMT
+from stemma.runtime import written
 
 ERROR, WARNING = "error", "warning"
 # The file types a mode may have (0: none given).
@@ -43,9 +44,9 @@ def row_issues(entries: DataFrame) -> DataFrame:
 
 def duplicate_path_issues(entries: DataFrame) -> DataFrame:
     """Each row of a path after its manifest's first. A path of any frequency stays in rows: the firsts
-    are found map-side and joined back."""
+    are found map-side, written and joined back, which lets AQE split a frequent path."""
     rows = entries.where(F.col("path").isNotNull()).select("manifest_id", "path", "ord")
-    first = rows.groupBy("manifest_id", "path").agg(F.min("ord").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    first = written(rows.groupBy("manifest_id", "path").agg(F.min("ord").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1"), "firsts")
     again = rows.join(first, ["manifest_id", "path"]).where("ord > _first")
     return again.select("manifest_id", (F.col("ord") + 1).alias("line"), F.lit(ERROR).alias("severity"), F.lit("path_duplicate").alias("code"), F.lit("the path stands in an earlier row").alias("message"))
 

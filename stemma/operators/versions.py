@@ -86,12 +86,15 @@ def renames(changes: DataFrame, consume: bool = True) -> DataFrame:
     """(manifest_id, old_path, new_path): removed rows met again, by ID, among the added ones.
 
     Of several removed rows with an ID the last one counts. With consume it goes to the first added row
-    of that ID only, else to each of them.
+    of that ID only, else to each of them; then the removed rows, one an ID, are written, so that AQE
+    splits a frequent ID's added rows.
     """
     gone = changes.where((F.col("status") == "removed") & F.col("old.digest").isNotNull()).groupBy("manifest_id", F.col("old.digest").alias("digest")).agg(F.max("path").alias("old_path"))
     new = changes.where((F.col("status") == "added") & F.col("new.digest").isNotNull()).select("manifest_id", F.col("new.digest").alias("digest"), F.col("path").alias("new_path"))
     if consume:
         new = new.groupBy("manifest_id", "digest").agg(F.min("new_path").alias("new_path"))
+    else:
+        gone = written(gone, "gone")
     return gone.join(new, ["manifest_id", "digest"]).select("manifest_id", "old_path", "new_path")
 
 

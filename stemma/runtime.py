@@ -13,6 +13,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _local_root: list[str] = []
+_tables: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -56,10 +57,19 @@ def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Dat
     prepare(spark)
     path = os.path.join(shared_folder(spark), "stemma", f"{name}-{uuid.uuid4().hex}")
     df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
+    _tables.append(path)
     atexit.register(_remove, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Deletes the tables this process wrote to the shared folder. Frames made from them can't be read any
+    more. At the end of the process those on a local or mounted file system go by themselves."""
+    while _tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_tables.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _remove(path: str) -> None:
     if path.startswith("file://"):
         shutil.rmtree(path[len("file://"):], ignore_errors=True)
