@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
 # Fixed values of the identifier format.
@@ -36,17 +38,45 @@ def encode_digests(raw: np.ndarray) -> np.ndarray:
     return out
 
 
+def decode_texts(text: np.ndarray) -> np.ndarray:
+    """(n, 90) uint8 text of valid IDs -> (n, 64) uint8 digests: the inverse, by 32-bit limbs times 58**5."""
+    n = len(text)
+    digits = _VALUES[text[:, 2:]].astype(np.uint64)
+    limbs = np.zeros((n, 16), dtype=np.uint64)
+    at = 0
+    for width in (3, *[5] * 17):
+        carry = np.zeros(n, dtype=np.uint64)
+        for i in range(at, at + width):
+            carry = carry * np.uint64(58) + digits[:, i]
+        at += width
+        for i in range(15, -1, -1):
+            both = limbs[:, i] * np.uint64(58**width) + carry
+            limbs[:, i], carry = both & np.uint64(0xFFFFFFFF), both >> np.uint64(32)
+    return limbs.astype(">u4").view(np.uint8).reshape(n, 64)
+
+
 def id_text(digest: bytes) -> str:
     return encode_digests(np.frombuffer(digest, dtype=np.uint8).reshape(1, 64))[0].tobytes().decode()
 
 
 #: The largest valid ID. Digits sort as their ASCII letters, so IDs compare as text.
 MAX_ID = id_text(b"\xff" * 64)
-_DIGIT_SET = frozenset(ALPHABET)
+_SHAPE = re.compile(f"{PREFIX}[{ALPHABET}]{{{DIGITS}}}")
 
 
 def is_id(s: str) -> bool:
-    return len(s) == LENGTH and s.startswith(PREFIX) and s <= MAX_ID and all(ch in _DIGIT_SET for ch in s[2:])
+    return bool(_SHAPE.fullmatch(s)) and s <= MAX_ID
+
+
+def digests_of(texts: list[str | None]) -> list[bytes | None]:
+    """Digests of many ID texts at once; None for None and for what is no ID."""
+    at = [i for i, s in enumerate(texts) if s is not None and is_id(s)]
+    out: list[bytes | None] = [None] * len(texts)
+    if at:
+        raw = decode_texts(np.frombuffer("".join([texts[i] for i in at]).encode(), dtype=np.uint8).reshape(-1, LENGTH)).tobytes()
+        for k, i in enumerate(at):
+            out[i] = raw[64 * k : 64 * k + 64]
+    return out
 
 
 def parse_id(s: str) -> bytes:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stemma.functions.base58 import encode_digests, parse_id
+from stemma.functions.base58 import digests_of, encode_digests, parse_id
 from stemma.runtime import written
 from stemma.schema import NIL
 
@@ -36,20 +36,18 @@ def id_text(digest: pd.Series) -> pd.Series:
 @F.pandas_udf(T.BinaryType())
 def try_digest(text: pd.Series) -> pd.Series:
     """Digest of ID text, null where the text is no ID."""
-
-    def one(s):
-        try:
-            return None if s is None else parse_id(s)
-        except ValueError:
-            return None
-
-    return text.map(one)
+    return pd.Series(digests_of([s if isinstance(s, str) else None for s in text]), dtype=object)
 
 
 @F.pandas_udf(T.BinaryType())
 def id_digest(text: pd.Series) -> pd.Series:
     """Digest of ID text; text that is no ID fails the query."""
-    return text.map(lambda s: None if s is None else parse_id(s))
+    texts = [s if isinstance(s, str) else None for s in text]
+    out = digests_of(texts)
+    for s, d in zip(texts, out):
+        if d is None and s is not None:
+            parse_id(s)  # says what is wrong
+    return pd.Series(out, dtype=object)
 
 
 def hex_text(digest: Column) -> Column:

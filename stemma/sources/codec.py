@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stemma.functions.base58 import LENGTH, id_text as text_of_id, is_id, parse_id
+from stemma.functions.base58 import LENGTH, digests_of, id_text as text_of_id, is_id, parse_id
 from stemma.functions.fmt import SEQUENCE, comma_size, format_mode, format_name, format_pretty_ts, format_target, line_without_id, tree_key
 from stemma.functions.ident import id_text
 from stemma.functions.names import raw_name
@@ -74,8 +74,15 @@ def _plain(field: str, marks: str) -> str:
     return re.sub(rf"(\\\\)|\\([{marks}])", lambda m: m[1] or m[2], field)
 
 
-def entry_of(line: str) -> dict:
-    """Fields of an entry line without its indentation; ValueError if it is none."""
+def _checked(text: str) -> str:
+    if not is_id(text):
+        parse_id(text)  # raises with the reason
+    return text
+
+
+def entry_of(line: str, read_id=parse_id) -> dict:
+    """Fields of an entry line without its indentation; ValueError if it is none. read_id: what becomes of
+    the ID's text."""
     m = (_SYMLINK_LINE if line.startswith("l") else _LINE).fullmatch(line)
     if not m or not m["name"]:
         raise ValueError("no entry line")
@@ -86,13 +93,13 @@ def entry_of(line: str) -> dict:
     name = raw_name(_plain(raw, r' "\[\]'))
     sequence = bool(re.search(SEQUENCE, re.sub(r"\\.", "", raw, flags=re.S)))
     return {
-        "name": name, "is_dir": name.endswith("/"), "mode": mode_of(g["mode"]), "ts": time_of(g["ts"]), "size": size, "digest": parse_id(rest) if rest.startswith("c4") else None,
+        "name": name, "is_dir": name.endswith("/"), "mode": mode_of(g["mode"]), "ts": time_of(g["ts"]), "size": size, "digest": read_id(rest) if rest.startswith("c4") else None,
         "target": raw_name(_plain(g["target"], ' "')) if g.get("target") else None, "hard_link": int(g["group"]) if g.get("group") else -1 if g.get("bare") is not None else 0,
         "flow_direction": flow, "flow_target": where, "is_sequence": sequence, "pattern": name if sequence else None,
     }
 
 
-def entries_of(text: str) -> Iterator[tuple[str, dict]]:
+def entries_of(text: str, read_id=parse_id) -> Iterator[tuple[str, dict]]:
     """("entry", row), ("base", {digest}) and ("list", {text, digests}) of a manifest text, in order.
 
     Patch sections are numbered from 1, the base is 0; a section starts at a line that is one ID.
@@ -123,7 +130,7 @@ def entries_of(text: str) -> Iterator[tuple[str, dict]]:
             bare = line.lstrip(" ")
             indent = len(line) - len(bare)
             width = width or indent
-            row = entry_of(bare)
+            row = entry_of(bare, read_id)
             depth = min(indent // width if width else 0, len(stack))
             del stack[depth:]
             parent = "".join(stack)
@@ -149,23 +156,33 @@ def decode(texts: DataFrame, errors: str = "fail") -> DataFrame:
     no rows. Texts are read line by line; rows leave in batches, so a task holds one text.
     """
 
+    def batch(rows):
+        for row, digest in zip(rows, digests_of([r["digest"] for r in rows])):
+            row["digest"] = digest
+        return pa.RecordBatch.from_pylist(rows, schema=_ENTRY_ARROW)
+
     def run(batches):
+        ready = []
         for b in batches:
             for manifest_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 rows = []
                 try:
-                    for kind, row in entries_of(text or ""):
+                    for kind, row in entries_of(text or "", _checked):
                         if kind == "entry":
                             rows.append(row | {"manifest_id": manifest_id})
                             if errors == "fail" and len(rows) >= 10_000:
-                                yield pa.RecordBatch.from_pylist(rows, schema=_ENTRY_ARROW)
+                                yield batch(rows)
                                 rows = []
                 except BadManifest as e:
                     if errors == "fail":
                         raise BadManifest(f"{manifest_id}, {e}") from e
                     continue
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=_ENTRY_ARROW)
+                ready += rows
+                if len(ready) >= 10_000:
+                    yield batch(ready)
+                    ready = []
+        if ready:
+            yield batch(ready)
 
     return texts.select("manifest_id", "text").mapInArrow(run, ENTRY)
 

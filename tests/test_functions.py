@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stemma.functions import fmt, ident, names
-from stemma.functions.base58 import MAX_ID, id_text, is_id, parse_id
+from stemma.functions.base58 import MAX_ID, digests_of, id_text, is_id, parse_id
 from stemma.functions.bitmaps import OrdinalBitmap
 from stemma.schema import NIL, ancestors, conflict_path, display_path, entry_name, parent_path, path_depth
 from stemma.sources.codec import _mode_text, _printable, mode_of, name_field, natural_order
@@ -30,6 +30,8 @@ def test_ids_round_trip_and_reject():
     rng = random.Random(1)
     for raw in [NIL, b"\xff" * 64, *[rng.randbytes(64) for _ in range(50)]]:
         assert parse_id(id_text(raw)) == raw and is_id(id_text(raw))
+    many = [NIL, b"\xff" * 64, *[rng.randbytes(64) for _ in range(300)]]
+    assert digests_of([None, *map(id_text, many), "no", "c4" + "z" * 88]) == [None, *many, None, None]
     for bad in ("", "c4" + "1" * 87, "x4" + "1" * 88, "c4" + "0" * 88, "c4" + "z" * 88, MAX_ID[:-1] + "z"):
         assert not is_id(bad)
         with pytest.raises(ValueError):
