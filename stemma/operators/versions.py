@@ -104,11 +104,16 @@ def renames(changes: DataFrame, consume: bool = True) -> DataFrame:
 def patch(old: DataFrame, new: DataFrame) -> DataFrame:
     """(manifest_id, path, attributes): rows of a patch from old to new.
 
-    A new or changed path with its new row, a removed one with its old row once more.
+    A new or changed path with its new row, a removed one with its old row once more. A directory whose
+    row is gone while paths below it are still listed is not removed, as that would take them along; the
+    patched version keeps its row.
     """
     b = beside(old=old, new=new)
     changed = F.col("old").isNull() | F.col("new").isNull() | ~identical_entries("old", "new")
-    return b.where(changed).select(*KEY, F.coalesce("new", "old").alias("_r")).select(*KEY, "_r.*")
+    parents = new.select("manifest_id", parent_path(F.col("path")).alias("path")).where("path is not null").distinct()
+    implied = parents.select("manifest_id", F.explode(F.concat(F.array("path"), ancestors(F.col("path")))).alias("path")).distinct()
+    b = b.where(changed).join(implied.withColumn("_implied", F.lit(True)), list(KEY), "left").where("new is not null or _implied is null")
+    return b.select(*KEY, F.coalesce("new", "old").alias("_r")).select(*KEY, "_r.*")
 
 
 def apply_patch(base: DataFrame, patch_rows: DataFrame) -> DataFrame:

@@ -308,15 +308,23 @@ _IDENT = " and ".join(
 _BESIDE = "from (select p.manifest_id as mid, e.* from {PAIRS} p join {LAST} e on e.manifest_id = p.manifest_id) n full outer join (select p.manifest_id as mid, e.* from {PAIRS} p join {LAST} e on e.manifest_id = p.prev) o on n.mid = o.mid and n.path = o.path"
 
 
-@query(f"select coalesce(n.mid, o.mid) as manifest_id, coalesce(n.path, o.path) as path, case when n.path is null then o.size else n.size end as size {_BESIDE} where n.path is null or o.path is null or not ({_IDENT})")
+# A directory whose row is gone while paths below it are listed.
+_KEPT = "{o}.path like '%/' and exists (select 1 from {LAST} x where x.manifest_id = {o}.mid and starts_with(x.path, {o}.path))"
+
+
+@query(f"select coalesce(n.mid, o.mid) as manifest_id, coalesce(n.path, o.path) as path, case when n.path is null then o.size else n.size end as size {_BESIDE} where n.path is null and not ({_KEPT.replace("{o}", "o")}) or o.path is null or n.path is not null and not ({_IDENT})")
 def patch_rows(spark, folder):
     new, old = _versions(spark, folder)
     return versions.patch(old, new).select("manifest_id", "path", "size")
 
 
-@query("select p.manifest_id, e.path, e.size, e.digest from {PAIRS} p join {LAST} e on e.manifest_id = p.manifest_id", hexed=("digest",))
+@query(
+    "select p.manifest_id, e.path, e.size, e.digest from {PAIRS} p join {LAST} e on e.manifest_id = p.manifest_id"
+    f" union all select o.mid, o.path, o.size, o.digest {_BESIDE} where n.path is null and {_KEPT.replace('{o}', 'o')}", hexed=("digest",)
+)
 def apply_patch(spark, folder):
-    """A patch of consecutive listings, applied to the earlier one, gives the later one."""
+    """A patch of consecutive listings, applied to the earlier one, gives the later one and the directories
+    that it lists paths below but not themselves."""
     new, old = _versions(spark, folder)
     patch = versions.patch(old, new)
     return versions.apply_patch(old, patch).select("manifest_id", "path", "size", "digest")
@@ -331,20 +339,31 @@ def _chain(spark, folder):
     return written(part(base, 0).unionByName(part(versions.patch(old, mid), 1)).unionByName(part(versions.patch(mid, new), 2)), "chain")
 
 
-@query("select p.manifest_id, e.path, e.size, e.digest from {PAIRS} p join {LAST} e on e.manifest_id = p.manifest_id where p.prev2 is not null", hexed=("digest",))
+# The three states of a chain: o0, o1, o2 are the listings; k1, k2 directories that stay because paths below
+# them are listed; g2 the directories that go, with all below; s1, s2 the states after each patch.
+_STATES = """with p as (select * from {PAIRS} where prev2 is not null),
+o0 as (select p.manifest_id as mid, e.* from p join {LAST} e on e.manifest_id = p.prev2), o1 as (select p.manifest_id as mid, e.* from p join {LAST} e on e.manifest_id = p.prev), o2 as (select p.manifest_id as mid, e.* from p join {LAST} e on e.manifest_id = p.manifest_id),
+d1 as (select * from o0 where path like '%/' and not exists (select 1 from o1 where o1.mid = o0.mid and o1.path = o0.path)), k1 as (select * from d1 where exists (select 1 from o1 where o1.mid = d1.mid and starts_with(o1.path, d1.path))),
+d2 as (select * from o1 where path like '%/' and not exists (select 1 from o2 where o2.mid = o1.mid and o2.path = o1.path)), k2 as (select * from d2 where exists (select 1 from o2 where o2.mid = d2.mid and starts_with(o2.path, d2.path))),
+g2 as (select * from d2 where not exists (select 1 from o2 where o2.mid = d2.mid and starts_with(o2.path, d2.path))),
+s1 as (select * from o1 union all select * from k1),
+s2 as (select * from o2 union all select * from k2 union all select * from k1 where not exists (select 1 from o2 where o2.mid = k1.mid and o2.path = k1.path) and not exists (select 1 from g2 where g2.mid = k1.mid and starts_with(k1.path, g2.path)))
+"""
+
+
+@query(_STATES + "select mid as manifest_id, path, size, digest from s2", hexed=("digest",))
 def resolve_chain(spark, folder):
     return versions.resolve_chain(_chain(spark, folder)).select("manifest_id", "path", "size", "digest")
 
 
-_COUNT = "(select manifest_id, count(*) as n from {LAST} group by manifest_id)"
-_STEP = f"(select coalesce(n.mid, o.mid) as mid, count(*) filter (where o.path is null) as added, count(*) filter (where n.path is null) as removed, count(*) filter (where n.path is not null and o.path is not null and not ({_IDENT})) as modified {_BESIDE} group by all)"
+def _log_step(index: int, old: str, new: str) -> str:
+    return (
+        f" union all select coalesce(n.mid, o.mid), {index}, count(*) filter (where o.path is null), count(*) filter (where n.path is null), count(*) filter (where n.path is not null and o.path is not null and not ({_IDENT})), false, count(n.path)"
+        f" from {new} n full outer join {old} o on n.mid = o.mid and n.path = o.path group by all"
+    )
 
 
-@query(
-    f"select p.manifest_id, 1 as index, c.n as added, 0 as removed, 0 as modified, true as is_base, c.n as entry_count from {{PAIRS}} p join {_COUNT} c on c.manifest_id = p.prev2"
-    f" union all select p.manifest_id, 2, s.added, s.removed, s.modified, false, c.n from {{PAIRS}} p join {_STEP} s on s.mid = p.prev join {_COUNT} c on c.manifest_id = p.prev where p.prev2 is not null"
-    f" union all select p.manifest_id, 3, s.added, s.removed, s.modified, false, c.n from {{PAIRS}} p join {_STEP} s on s.mid = p.manifest_id join {_COUNT} c on c.manifest_id = p.manifest_id where p.prev2 is not null"
-)
+@query(_STATES + "select mid as manifest_id, 1 as index, count(*) as added, 0 as removed, 0 as modified, true as is_base, count(*) as entry_count from o0 group by mid" + _log_step(2, "o0", "s1") + _log_step(3, "s1", "s2"))
 def log_chain(spark, folder):
     return versions.log_chain(_chain(spark, folder))
 

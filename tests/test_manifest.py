@@ -166,6 +166,12 @@ def test_patches(spark):
     assert paths(versions.apply_patch(old, p.limit(0))) == paths(old)
 
 
+def test_patch_keeps_what_lies_below_a_lost_directory_row(spark):
+    old, new = one(spark, "drwxr-xr-x - - d/ -\n" + f("x", indent=2) + f("y", indent=2)), one(spark, "drwxr-xr-x - - d/ -\n" + f("x", indent=2)).where("path <> 'd/'")
+    assert paths(versions.patch(old, new)) == ["d/y"]
+    assert paths(versions.apply_patch(old, versions.patch(old, new))) == ["d/", "d/x"]
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_patch_round_trip(spark, seed):
     from tests.test_codec import random_text
