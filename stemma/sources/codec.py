@@ -399,7 +399,19 @@ def canonicalized(content: bytes, limit: int = 10_000_000) -> bytes | None:
     return "".join("  " * r["depth"] + canonical_text_line(r) + "\n" for r in rows).encode()
 
 
+#: From this size on, content counts as a manifest only if its file is named so.
+SNIFF = 10_000_000
+
+
+def identified(content: bytes, file: str | None = None) -> bytes:
+    """Content as it is identified: canonical if it is a manifest, else itself. A file without the ending
+    is looked into below SNIFF only; content of no known file is, whatever its size."""
+    if isinstance(file, str) and not file.endswith(".c4m") and len(content) >= SNIFF:
+        return content
+    return canonicalized(content, limit=len(content)) or content
+
+
 @F.pandas_udf(T.BinaryType())
-def identified_bytes(content):
-    """Content as it is identified: canonical if it is a manifest, else itself."""
-    return content.map(lambda c: None if c is None else canonicalized(c) or c)
+def identified_bytes(content, file):
+    """identified() of columns."""
+    return content.combine(file, lambda c, f: None if c is None else identified(c, f))

@@ -14,20 +14,17 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from stemma.operators.rollup import scan_metadata
 
 FORMAT = "stemma_scan"
-#: Up to this size a file is read at once, to see whether it is a manifest.
-SNIFF = 10_000_000
 SCHEMA = "path string, name string, parent string, depth int, is_dir boolean, mode int, ts timestamp, size long, digest binary, target string, file string"
 
 
 def digest_of_file(file: str) -> bytes | None:
     """Digest of a file's content, canonical if it is a manifest; None if it can't be read."""
-    from stemma.sources.codec import canonicalized
+    from stemma.sources.codec import SNIFF, identified
 
     try:
         with open(file, "rb") as f:
             if file.endswith(".c4m") or os.fstat(f.fileno()).st_size < SNIFF:
-                content = f.read()
-                return hashlib.sha512(canonicalized(content, limit=len(content)) or content).digest()
+                return hashlib.sha512(identified(f.read(), file)).digest()
             return hashlib.file_digest(f, "sha512").digest()
     except OSError:
         return None

@@ -47,11 +47,13 @@ class BlobStore:
     def put(self, contents: DataFrame) -> DataFrame:
         """Adds the contents (content) that the store lacks; returns (digest, size) of the added ones.
 
-        Manifests are stored in canonical form. Repeated contents are added once. Null isn't content.
+        Manifests are stored in canonical form. Repeated contents are added once. Null isn't content. A column
+        path names the files, so that contents get the digests that scan gives them.
         """
         from stemma.runtime import written
 
-        rows = contents.where("content is not null").select(identified_bytes("content").alias("content"))
+        path = F.col("path") if "path" in contents.columns else F.lit(None).cast("string")
+        rows = contents.where("content is not null").select(identified_bytes("content", path).alias("content"))
         rows = rows.withColumn("digest", digest_of(F.col("content"))).withColumn("prefix", F.lower(F.hex(F.substring("digest", 1, 1))))
         # written first, so that what is reported is what was added
         new = written(rows.dropDuplicates(["digest"]).join(self.digests(), ["prefix", "digest"], "left_anti"), "put")
@@ -132,11 +134,13 @@ class BlobStore:
         name = F.regexp_extract("path", "([^/]+)$", 1)
         from stemma.functions.ident import try_digest
 
-        rows = files.where(name.rlike("^c4[1-9A-HJ-NP-Za-km-z]{88}$")).select(try_digest(name).alias("named"), "content")
-        checked = rows.withColumn("own", digest_of(identified_bytes("content")))
+        rows = files.where(name.rlike("^c4[1-9A-HJ-NP-Za-km-z]{88}$")).select(try_digest(name).alias("named"), "content", "path")
+        # named by its bytes as they are: a file without the ending; else the file it was can have had it
+        rows = rows.withColumn("path", F.when(digest_of(F.col("content")) == F.col("named"), F.col("path")))
+        checked = rows.withColumn("own", digest_of(identified_bytes("content", "path")))
         good = checked.where("named <=> own")
         n_good, n_all = good.count(), checked.count()
-        copied = self.put(good.select("content")).count()
+        copied = self.put(good.select("content", "path")).count()
         return self.spark.createDataFrame([(copied, n_good - copied, n_all - n_good)], "copied long, skipped long, rejected long")
 
 

@@ -36,4 +36,4 @@ def changes_by_window(entries: DataFrame, width: str = "1 hour", late: str = "1
 def fill_store(spark: SparkSession, folder: str, store: BlobStore, checkpoint: str) -> StreamingQuery:
     """Adds files as they appear in a folder to the store. A repeated batch adds nothing, as put is idempotent."""
     files = spark.readStream.format("binaryFile").schema(_BINARY).option("recursiveFileLookup", "true").load(folder)
-    return files.select("content").writeStream.foreachBatch(lambda df, _: store.put(df)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return files.select("content", "path").writeStream.foreachBatch(lambda df, _: store.put(df)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -59,7 +59,7 @@ class Workspace:
         if store_content and self.store:
             files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load("file://" + self.folder)
             shown = files.where(~F.substring("path", len("file:" + self.folder) + 2, 2**31 - 1).rlike(r"(^|/)\."))
-            self.store.put(shown.select("content"))
+            self.store.put(shown.select("content", "path"))
         return scan(self.spark, self.folder, manifest_id="current")
 
     def reset(self) -> dict:

@@ -12,6 +12,7 @@ from stemma.functions.base58 import id_text
 from stemma.operators import trees
 from stemma.sources.scan import identify_files, scan, verify_file
 from stemma.sources.store import BlobStore, ContentNotFound, open_store
+from stemma.streaming.incremental import fill_store
 from stemma.workspace import Workspace
 
 REPO = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -180,3 +181,28 @@ def test_command_line(tmp_path):
     r = run("diff", str(m), str(root))
     assert r.returncode == 0 and {"~ a", "+ e"} <= set(r.stdout.splitlines())
     assert run("verify", str(m), str(root)).returncode == 1
+
+
+def test_large_manifests_have_one_digest(spark, tmp_path):
+    large = b"- - 2 b -\n" + b" " * 10_000_000 + b"\n- - 1 a -\n"  # not canonical, above the size that is looked into
+    canonical = b"- - 1 a -\n- - 2 b -\n"
+    w = Workspace(spark, str(tmp_path / "w"), BlobStore(spark, "file://" + str(tmp_path / "store")))
+    build(tmp_path / "w", {"big.c4m": large, "big.txt": large, "edge.txt": b"- - 3 c -" + b" " * 9_999_980 + b"\n- - 1 a -\n"})
+    listed = w.snapshot().cache()
+    digests = {r.path: bytes(r.digest) for r in listed.collect()}
+    assert digests["big.c4m"] == sha(canonical) and digests["big.txt"] == sha(large) and os.path.getsize(tmp_path / "w/edge.txt") == 10_000_000
+    assert w.store.missing(listed).count() == 0
+    assert w.store.get_one(digests["big.c4m"]) == canonical and w.store.get_one(digests["big.txt"]) == large
+    out = tmp_path / "bundle"
+    assert tuple(w.store.export(listed, str(out)).first()) == (3, 0, 0)
+    t = BlobStore(spark, "file://" + str(tmp_path / "other"))
+    assert tuple(t.ingest(str(out)).first()) == (3, 0, 0) and t.missing(listed).count() == 0
+    (out / id_text(sha(canonical))).write_bytes(large)  # the file as it was, under its ID
+    u = BlobStore(spark, "file://" + str(tmp_path / "third"))
+    assert tuple(u.ingest(str(out)).first()) == (3, 0, 0) and u.get_one(sha(canonical)) == canonical
+    s = BlobStore(spark, "file://" + str(tmp_path / "unnamed"))
+    s.put(contents(spark, large))
+    assert s.has(sha(canonical))
+    v = BlobStore(spark, "file://" + str(tmp_path / "streamed"))
+    fill_store(spark, str(tmp_path / "w"), v, str(tmp_path / "state")).awaitTermination(120)
+    assert v.missing(listed).count() == 0
