@@ -27,9 +27,13 @@ def append_entries(entries: DataFrame, table: str, checkpoint: str) -> Streaming
     return entries.writeStream.format("parquet").option("path", table).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def changes_by_window(entries: DataFrame, width: str = "1 hour", late: str = "1 day") -> DataFrame:
-    """Running (window, files, bytes) by modification time; rows later than ``late`` no longer count."""
-    rows = entries.where("ts is not null and not is_dir").withWatermark("ts", late)
+def changes_by_window(entries: DataFrame, width: str = "1 hour") -> DataFrame:
+    """Running (window, files, bytes) by modification time, for update and complete mode.
+
+    Listings bring times of any age, so there is no watermark: every row counts, and the state has one row
+    a window that occurs. No window is ever final, so append mode is an error.
+    """
+    rows = entries.where("ts is not null and not is_dir")
     return rows.groupBy(F.window("ts", width)).agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
 
 

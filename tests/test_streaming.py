@@ -29,3 +29,18 @@ def test_arriving_contents(spark, tmp_path):
     for _ in range(2):
         fill_store(spark, str(inbox), s, str(tmp_path / "state")).awaitTermination(120)
     assert s.digests().count() == 1
+
+
+def test_old_times_in_later_batches_count(spark, tmp_path):
+    inbox, state = tmp_path / "in", str(tmp_path / "state")
+    inbox.mkdir()
+    got = {}
+
+    def keep(df, _):
+        got.update({str(r.window.start): (r.files, r.bytes) for r in df.collect()})
+
+    # newest and a future time first, then times of months before, one in a window that has been counted
+    for i, text in enumerate(("- 2022-08-01T00:10:00Z 5 x -\n- 2099-01-01T00:00:00Z 1 f -\n- 2020-09-01T03:00:00Z 2 w -\n", "- 2020-09-01T03:10:00Z 7 y -\n- 2021-01-01T00:10:00Z 8 z -\n", "- 2021-01-01T00:20:00Z 9 z -\n")):
+        (inbox / f"m{i}.c4m").write_text(text)
+        changes_by_window(arriving_entries(spark, str(inbox))).writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination(120)
+    assert got == {"2022-08-01 00:00:00": (1, 5), "2099-01-01 00:00:00": (1, 1), "2020-09-01 03:00:00": (2, 9), "2021-01-01 00:00:00": (2, 17)}
