@@ -6,6 +6,11 @@ one. ``mirror_entries`` stands for a second place.
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +18,7 @@ from stemma.functions import fmt, ident, names
 from stemma.operators import manifest as M
 from stemma.operators import rollup, trees, validate, versions
 from stemma.operators.snapshots import listings
-from stemma.runtime import table, written
+from stemma.runtime import shared_folder, table, written
 from stemma.schema import conflict_path, entry_name, known_digest, latest, path_depth
 from stemma.sources import codec
 
@@ -589,15 +594,34 @@ def format_line(spark, folder):
     return lines.agg(F.count("line").alias("lines"), F.count_if(F.col("line").rlike(" c4[1-9A-HJ-NP-Za-km-z]{88}$")).alias("with_id"))
 
 
+def _read_back(spark, folder):
+    """Rows of every manifest written as a whole text and decoded again.
+
+    Directories that paths imply but a listing lacks are written too, as a text has no other way to place
+    what is below them, and are left out again of what is read.
+    """
+    e = _entries(spark, folder).drop("parent", "is_dir", "pattern")  # no part of a line
+    implied = written(M.implied_directories(e), "implied")
+    place = os.path.join(shared_folder(spark).removeprefix("file://"), "stemma", f"texts-{uuid.uuid4().hex}")
+    atexit.register(shutil.rmtree, place, ignore_errors=True)
+    added = implied.select("manifest_id", "path", entry_name(F.col("path")).alias("name"), path_depth(F.col("path")).alias("depth"))
+    codec.write_texts(e.unionByName(added, allowMissingColumns=True), place).agg(F.sum("lines")).first()
+    return codec.decode(codec.read_texts(spark, "file://" + place)).join(implied, ["manifest_id", "path"], "left_anti")
+
+
 @query("select manifest_id, path, coalesce(mode, 0) & 4095 as permissions, epoch(date_trunc('second', ts))::bigint as seconds, size, digest, target from {LAST}", hexed=("digest",))
 def encode_roundtrip(spark, folder):
-    """Every entry written as its line and read back."""
-    ids = F.when(known_digest(F.col("digest")), ident.id_text("digest"))
-    rows = latest(_entries(spark, folder))
-    lines = rows.select("manifest_id", "path", fmt.canonical_line(ids).alias("line"))
-    one = lines.select(F.concat("manifest_id", F.lit(":"), "path").alias("manifest_id"), F.col("line").alias("text"))
-    back = codec.decode(one)
-    return back.select(
-        F.substring_index("manifest_id", ":", 1).alias("manifest_id"), F.expr("substring(manifest_id, instr(manifest_id, ':') + 1)").alias("path"), F.coalesce("mode", F.lit(0)).bitwiseAND(F.lit(0o7777)).alias("permissions"),
-        F.unix_seconds("ts").alias("seconds"), "size", "digest", "target",
+    """Every manifest written as a whole text and read back."""
+    return _read_back(spark, folder).select(
+        "manifest_id", "path", F.coalesce("mode", F.lit(0)).bitwiseAND(F.lit(0o7777)).alias("permissions"), F.unix_seconds("ts").alias("seconds"), "size", "digest", "target",
     )
+
+
+@query(
+    "select manifest_id, path, parent, name, depth, is_dir, case when (mode & 61440) = 32768 then nullif(mode & 4095, 0) else nullif(mode, 0) end as mode,"
+    " epoch(date_trunc('second', ts))::bigint as seconds, size, digest, target from {LAST}",
+    hexed=("digest",),
+)
+def manifest_roundtrip(spark, folder):
+    """As encode_roundtrip, with the places of the rows and their full modes; a text has no regular-file bit."""
+    return _read_back(spark, folder).select("manifest_id", "path", "parent", "name", "depth", "is_dir", "mode", F.unix_seconds("ts").alias("seconds"), "size", "digest", "target")

@@ -298,7 +298,8 @@ def write_texts(entries: DataFrame, folder: str, pretty: bool = False) -> DataFr
             yield close()
 
     os.makedirs(folder, exist_ok=True)
-    return lines.repartition("manifest_id").sortWithinPartitions("manifest_id", "key").select("manifest_id", "line").mapInArrow(run, "manifest_id string, file string, lines long, bytes long")
+    placed = lines.select("manifest_id", "path", "line").repartition("manifest_id")  # a path is far shorter than its key
+    return placed.sortWithinPartitions("manifest_id", tree_key(F.col("path"))).select("manifest_id", "line").mapInArrow(run, "manifest_id string, file string, lines long, bytes long")
 
 
 def read_texts(spark, path: str) -> DataFrame:

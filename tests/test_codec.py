@@ -136,3 +136,19 @@ def test_empty(spark):
     assert decode(texts(spark, ("m", ""), ("n", None))).count() == 0
     assert decode(texts(spark, ("m", "x")).limit(0)).count() == 0
     assert codec.entry_lines(decode(texts(spark, ("m", "")))).count() == 0
+
+
+def test_round_trip_of_whole_manifests(spark, tmp_path, monkeypatch):
+    from stemma.plans.manifests import QUERIES
+
+    text = f"drwxr-xr-x {TS} - d/ -\n  drwx------ {TS} - e\\ \\[1\\]/ -\n    -rwsr-x--T {TS} 5 x10 {ID}\n    lrwxrwxrwx {TS} 1 x9 -> t\\ t -\n  prw-r--r-- - 0 p -\n- - - z -\n"
+    rows = decode(texts(spark, ("m", text), ("n", "- - - z -\n"))).where("path <> 'd/'")  # d/ is implied only
+    rows = rows.unionByName(rows.where("path = 'z'").withColumn("ord", F.lit(-1).cast("long")).withColumn("mode", F.lit(0o100600)))
+    rows.orderBy(F.desc("path")).write.parquet(str(tmp_path / "entries.parquet"))
+    want = {("m", "d/e [1]/", "d/", 1, 0o40700), ("m", "d/e [1]/x10", "d/e [1]/", 2, 0o5750), ("m", "d/e [1]/x9", "d/e [1]/", 2, 0o120777), ("m", "d/p", "d/", 1, 0o10644), ("m", "z", None, 0, None), ("n", "z", None, 0, None)}
+    assert sorted(map(str, QUERIES["manifest_roundtrip"](spark, str(tmp_path)).select("manifest_id", "path", "parent", "depth", "mode").collect())) == sorted(f"Row(manifest_id={m!r}, path={p!r}, parent={q!r}, depth={d}, mode={o})" for m, p, q, d, o in want)
+    paths = lambda: {(r.manifest_id, r.path) for r in QUERIES["encode_roundtrip"](spark, str(tmp_path)).collect()}
+    assert paths() == {w[:2] for w in want}
+    lines = codec.entry_lines
+    monkeypatch.setattr(codec, "entry_lines", lambda entries: lines(entries).withColumn("line", F.ltrim("line")))
+    assert paths() != {w[:2] for w in want}  # a writer that loses the indentation shows
