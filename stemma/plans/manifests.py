@@ -87,34 +87,6 @@ def _changes(spark: SparkSession, folder: str) -> DataFrame:
 
 # --- identity
 
-# Published identifiers of short contents and of sets of them.
-GOLDEN = {
-    "": "c459dsjfscH38cYeXXYogktxf4Cd9ibshE3BHUo6a58hBXmRQdZrAkZzsWcbWtDg5oQstpDuni4Hirj75GEmTc1sFT",
-    "foo": "c45xZeXwMSpqXjpDumcHMA6mhoAmGHkUo7r9WmN2UgSEQzj9KjgseaQdkEJ11fGb5S1WEENcV3q8RFWwEeVpC7Fjk2",
-    "bar": "c45KgBYEvEE7Yfv16JAgnUT29bon2WsYAiBFZvnKNJiQR8kya2tRtEdfD6vi8bjvmmDDrepEGmkNvk88M8NWdeV9ig",
-}
-GOLDEN_SETS = {
-    "foo,bar": "c458j3otjXhCWJGZxbxvbf2BuFaRknZkCBQwUWJAQRZFKxuU9zpUpVQxPqYwGHuK56e7aJZSYE1fNsHZ8WtNDfq3hK",
-    "foo,bar,baz": "c42To6i5r7uwfJUt7p2JY9XKTUYqyCCGQCip3ujctUXzwYMMiSZmRKwm657ninwK41uZ5RRVCUjgHXcNzD3TAGqUey",
-}
-
-
-def _values(golden: dict) -> str:
-    return "select * from (values " + ", ".join(f"('{k}', '{v}')" for k, v in golden.items()) + ") t(content, id)"
-
-
-@query(_values(GOLDEN))
-def identify_golden(spark, folder):
-    c = spark.createDataFrame([(k,) for k in GOLDEN], "content string")
-    return c.select("content", ident.id_text(ident.digest_of(F.col("content"))).alias("id"))
-
-
-@query(_values(GOLDEN_SETS))
-def tree_id_golden(spark, folder):
-    c = spark.createDataFrame([(k,) for k in GOLDEN_SETS], "content string")
-    members = c.select("content", F.explode(F.split("content", ",")).alias("m")).select("content", ident.digest_of(F.col("m")).alias("digest"))
-    return ident.set_identity(members, "content").select("content", ident.id_text("tree_digest").alias("id"))
-
 @query()
 def identify_contents(spark, folder):
     """ID of every document's text."""

@@ -126,3 +126,35 @@ def test_bitmaps():
         assert x.andnot(y).ordinals().tolist() == sorted(a - b)
         assert (x & y).ordinals().tolist() == sorted(a & b)
         assert len(x) == len(a)
+
+
+# Published identifiers of short contents and of sets of them.
+GOLDEN_IDS = {
+    "": "c459dsjfscH38cYeXXYogktxf4Cd9ibshE3BHUo6a58hBXmRQdZrAkZzsWcbWtDg5oQstpDuni4Hirj75GEmTc1sFT",
+    "foo": "c45xZeXwMSpqXjpDumcHMA6mhoAmGHkUo7r9WmN2UgSEQzj9KjgseaQdkEJ11fGb5S1WEENcV3q8RFWwEeVpC7Fjk2",
+    "bar": "c45KgBYEvEE7Yfv16JAgnUT29bon2WsYAiBFZvnKNJiQR8kya2tRtEdfD6vi8bjvmmDDrepEGmkNvk88M8NWdeV9ig",
+}
+GOLDEN_SETS = {
+    "foo,bar": "c458j3otjXhCWJGZxbxvbf2BuFaRknZkCBQwUWJAQRZFKxuU9zpUpVQxPqYwGHuK56e7aJZSYE1fNsHZ8WtNDfq3hK",
+    "foo,bar,baz": "c42To6i5r7uwfJUt7p2JY9XKTUYqyCCGQCip3ujctUXzwYMMiSZmRKwm657ninwK41uZ5RRVCUjgHXcNzD3TAGqUey",
+}
+
+
+def test_identity_queries_over_tables(spark, tmp_path):
+    import hashlib
+
+    from stemma.functions.base58 import id_text
+    from stemma.plans.manifests import QUERIES
+
+    assert not {"identify_golden", "tree_id_golden"} & QUERIES.keys()  # they read no table
+    sha = lambda b: hashlib.sha512(b).digest()
+    texts = [*GOLDEN_IDS, None, "é\n", "x" * 5000]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.id for r in QUERIES["identify_contents"](spark, str(tmp_path)).collect()}
+    assert got == {i: id_text(sha((t or "").encode())) for i, t in enumerate(texts)}
+    assert {t: got[i] for i, t in enumerate(texts[:3])} == GOLDEN_IDS
+    # members in any order, repeated, null
+    rows = [(m, sha(x.encode())) for m in GOLDEN_SETS for x in [*reversed(m.split(",")), "foo"]] + [("foo,bar", None)]
+    spark.createDataFrame([(m, d and bytearray(d)) for m, d in rows], "manifest_id string, digest binary").write.parquet(str(tmp_path / "entries.parquet"))
+    sets = {r.manifest_id: id_text(bytes.fromhex(r.tree_digest)) for r in QUERIES["manifest_set_identity"](spark, str(tmp_path)).collect()}
+    assert sets == GOLDEN_SETS
