@@ -6,20 +6,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from stemma.sources.codec import decode
+from stemma.sources.codec import decode, decode_errors
 from stemma.sources.store import BlobStore
 
 _BINARY = "path string, modificationTime timestamp, length long, content binary"
 
 
+def _arriving_texts(spark: SparkSession, folder: str, files_per_batch: int) -> DataFrame:
+    files = spark.readStream.format("binaryFile").schema(_BINARY).option("pathGlobFilter", "*.c4m").option("maxFilesPerTrigger", files_per_batch).load(folder)
+    return files.select(F.regexp_extract("path", r"([^/]+)\.c4m$", 1).alias("manifest_id"), F.decode("content", "UTF-8").alias("text"))
+
+
 def arriving_entries(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
-    """Streaming entry rows of manifest files as they appear in a folder; bad files are left out.
+    """Streaming entry rows of manifest files as they appear in a folder; bad files are left out, and are
+    the rows of arriving_errors.
 
     Each file is read once; its name without the ending is the manifest's.
     """
-    files = spark.readStream.format("binaryFile").schema(_BINARY).option("pathGlobFilter", "*.c4m").option("maxFilesPerTrigger", files_per_batch).load(folder)
-    text = files.select(F.regexp_extract("path", r"([^/]+)\.c4m$", 1).alias("manifest_id"), F.decode("content", "UTF-8").alias("text"))
-    return decode(text, errors="skip")
+    return decode(_arriving_texts(spark, folder, files_per_batch), errors="skip")
+
+
+def arriving_errors(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
+    """Streaming (manifest_id, message) of the files that arriving_entries leaves out."""
+    return decode_errors(_arriving_texts(spark, folder, files_per_batch))
+
+
+def append_manifests(spark: SparkSession, folder: str, table: str, errors: str, checkpoint: str) -> list[StreamingQuery]:
+    """Appends arriving entries to one parquet folder and the names and messages of bad files to another,
+    each exactly once, so that every file with an entry or a fault gives rows in one of them."""
+    return [append_entries(arriving_entries(spark, folder), table, checkpoint + "/entries"), append_entries(arriving_errors(spark, folder), errors, checkpoint + "/errors")]
 
 
 def append_entries(entries: DataFrame, table: str, checkpoint: str) -> StreamingQuery:

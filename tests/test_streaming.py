@@ -44,3 +44,18 @@ def test_old_times_in_later_batches_count(spark, tmp_path):
         (inbox / f"m{i}.c4m").write_text(text)
         changes_by_window(arriving_entries(spark, str(inbox))).writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination(120)
     assert got == {"2022-08-01 00:00:00": (1, 5), "2099-01-01 00:00:00": (1, 1), "2020-09-01 03:00:00": (2, 9), "2021-01-01 00:00:00": (2, 17)}
+
+
+def test_bad_files_are_recorded(spark, tmp_path):
+    from stemma.streaming.incremental import append_manifests
+
+    inbox, table, bad = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "bad")
+    inbox.mkdir()
+    (inbox / "good.c4m").write_text("- - 1 a -\n")
+    (inbox / "broken.c4m").write_text("- - 1 a -\n- - 2 b -\nnonsense\n")
+    for name in ("late", "later"):
+        for q in append_manifests(spark, str(inbox), table, bad, str(tmp_path / "state")):
+            q.awaitTermination(120)
+        (inbox / f"{name}.c4m").write_text("@directive\n")
+    assert [(r.manifest_id, r.path) for r in spark.read.parquet(table).collect()] == [("good", "a")]
+    assert sorted((r.manifest_id, r.message[:7]) for r in spark.read.parquet(bad).collect()) == [("broken", "line 3:"), ("late", "line 1:")]
