@@ -142,10 +142,11 @@ def convert(stamps: np.ndarray, place: dict[str, tuple[int, int]], site_zone: np
         valid &= np.isin(chars[:, place["z"][0]], [ord("Z"), ord("z")])
         utc = local
     else:
-        zone = site_zone
+        zone, called = site_zone, None
         for key in ("abbr", "abbr2"):
             if key in place:
                 letters, which = _texts(chars, place[key])
+                called = letters[which]
                 zone = np.where(np.isin(letters, UTC_LETTERS)[which], "UTC", site_zone)
         for key in ("region", "region2"):
             if key in place:
@@ -154,7 +155,7 @@ def convert(stamps: np.ndarray, place: dict[str, tuple[int, int]], site_zone: np
         utc = np.zeros(n, np.int64)
         for name in np.unique(zone):
             rows = zone == name
-            got = zones.local_to_utc(local[rows], str(name)) if name else None
+            got = zones.local_to_utc(local[rows], str(name), None if called is None else called[rows]) if name else None
             if got is None:
                 valid &= ~rows
             else:
@@ -170,7 +171,8 @@ def normalise_stamps(stamps: DataFrame, sites: DataFrame) -> DataFrame:
     """(stamp_id, utc_us) of each stamp that denotes an instant; the others are left out.
 
     Null, empty and unreadable stamps, stamps without a zone at a site of unknown zone or at a site
-    that isn't listed denote none. Repeated records each give their row.
+    that isn't listed denote none. Repeated records each give their row. Zone letters mean the site's
+    zone; in a repeated hour they choose the reading that has this name, without them the first holds.
     """
     version = zones.tz_version()
 

@@ -101,3 +101,47 @@ union all select line_id, 'ts' from p where ok and f[2] not in ('-', '0') and no
 union all select line_id, 'size' from p where ok and f[3] <> '-' and not (regexp_full_match(f[3], '[0-9]+|[0-9]{{1,3}}(,[0-9]{{3}})+') and coalesce(try_cast(replace(f[3], ',', '') as hugeint) < 9223372036854775808, false))
 union all select line_id, 'c4id' from p where ok and id <> '-' and not {_ID_OK.format(x="id")}
 """
+
+# Stamps in plain SQL: one pattern a notation, with the same named parts; then one conversion for all.
+_CLOCK = "([0-9]{1,2}):([0-9]{2})(?::([0-9]{2})(?:[.,]([0-9]+))?)?"
+_ZONE = "( ?[+-][0-9]{2}:?[0-9]{2}| ?[A-Za-z]| [A-Za-z]{2,5}| ?\\[[A-Za-z]{2,5}\\]| [A-Za-z]+(?:[/_+-][A-Za-z0-9]+)+| ?\\[[A-Za-z]+(?:[/_+-][A-Za-z0-9]+)+\\])?"
+_STAMPS = {  # pattern: its parts in order
+    **{f"([0-9]{{4}}){sep}([0-9]{{2}}){sep}([0-9]{{2}})(?:[Tt ]{_CLOCK}{_ZONE})?": "y mo d h mi s f z" for sep in ("-", "/", "[.]")},
+    f"([0-9]{{1,2}})/([0-9]{{1,2}})/([0-9]{{4}})(?: {_CLOCK}(?: ?([AaPp][Mm]))?)?": "mo d y h mi s f ap",
+    f"([0-9]{{1,2}})[.]([0-9]{{1,2}})[.]([0-9]{{4}})(?: {_CLOCK}{_ZONE})?": "d mo y h mi s f z",
+    f"(?:[A-Za-z]+, ?)?([0-9]{{1,2}})[ -]([A-Za-z]{{3,9}})[ -]([0-9]{{4}})(?: {_CLOCK}{_ZONE})?": "d mo y h mi s f z",
+    f"([A-Za-z]{{3,9}}) {{1,2}}([0-9]{{1,2}}),? {_CLOCK} ([0-9]{{4}}){_ZONE}": "mo d h mi s f y z",
+    f"[A-Za-z]{{3}} ([A-Za-z]{{3,9}}) {{1,2}}([0-9]{{1,2}}) {_CLOCK}{_ZONE} ([0-9]{{4}})": "mo d h mi s f z y",
+    f"([A-Za-z]{{3,9}}) {{1,2}}([0-9]{{1,2}}), ([0-9]{{4}})(?: {_CLOCK}{_ZONE})?": "mo d y h mi s f z",
+    f"([0-9]{{4}})([0-9]{{2}})([0-9]{{2}})(?:[Tt ]([0-9]{{2}})([0-9]{{2}})(?:([0-9]{{2}})(?:[.,]([0-9]+))?)?{_ZONE})?": "y mo d h mi s f z",
+    "([0-9]{4})([0-9]{2})([0-9]{2})([0-9]{2})([0-9]{2})(?:([0-9]{2})([0-9]*))?": "y mo d h mi s f",
+}
+_PARTS = ("y", "mo", "d", "h", "mi", "s", "f", "z", "ap")
+
+
+def _notation(pattern: str, parts: str) -> str:
+    given = {k: i + 1 for i, k in enumerate(parts.split())}
+    cols = ", ".join(f"regexp_extract(t, '^(?:{pattern})$', {given[k]}) as {k}" if k in given else f"'' as {k}" for k in _PARTS)
+    return f"select stamp_id, tz, {cols} from r where regexp_full_match(t, '{pattern}') and not regexp_full_match(t, '[0-9]{{10}}|[0-9]{{13}}|[0-9]{{16}}')"
+
+
+_MONTHS = "['jan','feb','mar','apr','may','jun','jul','aug','sep','oct','nov','dec']"
+SQL["p5_found"] = f"""
+with r as (select s.stamp_id, regexp_replace(s.stamp, '^\\s+|\\s+$', '', 'g') as t, z.tz from scan_stamps s left join (select site_id, min(tz) as tz from sites group by site_id) z on s.site_id = z.site_id where s.stamp is not null),
+n as ({" union all ".join(_notation(p, k) for p, k in _STAMPS.items())}),
+a as (select *, case when regexp_matches(mo, '^[0-9]') then mo::int else list_position({_MONTHS}, lower(mo[1:3])) end as m, trim(replace(replace(z, '[', ' '), ']', ' ')) as zone,
+  case lower(ap) when 'am' then h::int % 12 when 'pm' then h::int % 12 + 12 else try_cast(nullif(h, '') as int) end as hour from n),
+b as (select *, try_cast(y || '-' || lpad(m::varchar, 2, '0') || '-' || lpad(d, 2, '0') as date) as day, coalesce(hour, 0) * 3600 + coalesce(try_cast(nullif(mi, '') as int), 0) * 60 + coalesce(try_cast(nullif(s, '') as int), 0) as sec,
+  rpad(f[1:6], 6, '0')::bigint as us from a where coalesce(hour, 0) < 24 and coalesce(try_cast(nullif(mi, '') as int), 0) < 60 and coalesce(try_cast(nullif(s, '') as int), 0) < 60 and (ap = '' or h::int between 1 and 12)),
+c as (select *, day + to_seconds(sec) as loc, case when regexp_matches(zone, '^[+-]') then zone[1:1] || lpad(zone[2:3], 2, '0') || ':' || zone[-2:] end as off,
+  case when zone in ('UTC', 'GMT', 'Z', 'z') then 'UTC' when contains(zone, '/') then zone when zone = '' or regexp_full_match(zone, '[A-Za-z]{{2,5}}') then tz end as name from b where day is not null and y <> '0000'),
+d as (select stamp_id, us, zone, loc, name, off, case when off is not null then epoch_us(loc) // 1000000 - (case when off[1:1] = '-' then -1 else 1 end) * (off[2:3]::int * 3600 + off[5:6]::int * 60)
+  when name = 'UTC' then epoch_us(loc) // 1000000 else epoch_us(timezone(name, loc)) // 1000000 end as late from c),
+e as (select *, case when off is null and name <> 'UTC' then list_filter([3600, 1800], lambda k: timezone(name, to_timestamp(late - k)) = loc)[1] end as back from d where late is not null),
+p as (select stamp_id, us, case when back is null then late
+  -- letters that name only the second reading: standard time after daylight time
+  when regexp_full_match(zone, 'EST|CST|MST|PST|CET|EET|WET|AEST|NZST') then late else late - back end as sec from e)
+select stamp_id, sec * 1000000 + us as utc_us from p where sec * 1000000 + us <> 0
+union all select stamp_id, u from (select stamp_id, t[1:length(n)]::bigint * case length(n) when 10 then 1000000 when 13 then 1000 else 1 end + case when length(n) = 10 then rpad(f[1:6], 6, '0')::bigint else 0 end as u
+  from (select stamp_id, t, regexp_extract(t, '^([0-9]+)', 1) as n, regexp_extract(t, '[.,]([0-9]+)$', 1) as f from r where regexp_full_match(t, '[0-9]{{10}}(?:[.,][0-9]+)?|[0-9]{{13}}|[0-9]{{16}}'))) where u <> 0
+"""

@@ -55,7 +55,8 @@ def read(stamp, site):
         name = g.get("r", site)
         if name is None:
             return None
-        t = t.replace(tzinfo=zoneinfo.ZoneInfo(name), fold=0)  # fold 0: first reading; offset before a gap
+        first, second = (t.replace(tzinfo=zoneinfo.ZoneInfo(name), fold=k) for k in (0, 1))  # fold 0: first reading; offset before a gap
+        t = second if g.get("l") == second.tzname() != first.tzname() and second.utcoffset() < first.utcoffset() else first
     return (t.astimezone(UTC) - EPOCH) // dt.timedelta(microseconds=1) or None
 
 
@@ -70,6 +71,8 @@ def test_against_single_readings(spark, folder):
 
 CASES = [
     ("2024-11-03 01:30:00", 1, "2024-11-03T05:30:00"), ("2024-03-10 02:30:00", 1, "2024-03-10T07:30:00"), ("2024-04-07 01:45:00", 8, "2024-04-06T14:45:00"),
+    ("2024-11-03 01:30:00 EST", 1, "2024-11-03T06:30:00"), ("2024-11-03 01:30:00 EDT", 1, "2024-11-03T05:30:00"), ("2024-11-03 01:30:00 XYZ", 1, "2024-11-03T05:30:00"), ("2024-11-03 00:59:59 EST", 1, "2024-11-03T04:59:59"),
+    ("Nov 3 01:06:44 2024 EST", 1, "2024-11-03T06:06:44"), ("2024-03-10 02:30:00 EDT", 1, "2024-03-10T07:30:00"), ("2150-07-01 12:00:00", 1, "2150-07-01T16:00:00"), ("9000-01-01 12:00:00", 1, "9000-01-01T17:00:00"),
     ("12/31/2024 12:00 AM", 7, "2024-12-31T00:00:00"), ("12/31/2024 12:00 PM", 7, "2024-12-31T12:00:00"), ("12/31/2024 13:00 PM", 7, None), ("31.12.2024", 7, "2024-12-31T00:00:00"), ("13/31/2024", 7, None),
     ("2023-02-29", 7, None), ("2024-02-29", 7, "2024-02-29T00:00:00"), ("2024-02-29T24:00:00Z", 7, None), ("2024-02-29T10:60:00Z", 7, None), ("0", 7, None), ("-", 7, None), ("", 7, None), (None, 7, None), ("1970-01-01T00:00:00Z", 7, None), ("0000000000", 7, None),
     ("20240229", 7, "2024-02-29T00:00:00"), ("20240229101112", 3, "2024-02-29T04:41:12"), ("2024-02-29T10:11:12", 10, None), ("2024-02-29T10:11:12 EST", 10, None), ("2024-02-29T10:11:12 GMT", 10, "2024-02-29T10:11:12"), ("2024-02-29T10:11:12[Asia/Tokyo]", 10, "2024-02-29T01:11:12"),
@@ -93,6 +96,7 @@ def test_transitions_agree_with_zoneinfo():
     for name in ("America/New_York", "Europe/Dublin", "Australia/Lord_Howe", "Pacific/Apia", "Africa/Casablanca", "UTC"):
         z = zoneinfo.ZoneInfo(name)
         local = [dt.datetime(2011, 1, 1) + dt.timedelta(minutes=47 * i) for i in range(12_000)]
+        local += [dt.datetime(1850, 1, 1) + dt.timedelta(days=149, hours=7) * i for i in range(19_000)]  # until after the year 9000
         want = [int((t.replace(tzinfo=z, fold=0).astimezone(UTC) - EPOCH).total_seconds()) for t in local]
         secs = np.array([int((t.replace(tzinfo=UTC) - EPOCH).total_seconds()) for t in local])
         assert local_to_utc(secs, name).tolist() == want
