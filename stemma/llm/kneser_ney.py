@@ -1,18 +1,54 @@
 """Character language models with interpolated Kneser-Ney smoothing, for several languages at once.
 
-The n-grams of all languages share one sorted array of packed keys per order; a matrix beside it
-holds each language's log probability, another the back-off weight of each context. Keys are packed
-character codes, so a key stands for one n-gram only.
+The n-grams of all languages share one sorted array of 64-bit hashes per order; a matrix beside it
+holds each language's log probability of the n-gram, another the back-off weight of each context.
+Hashes are taken over code points, so any character of any script counts. Two of a million n-grams
+share a hash with a probability of about 3e-8.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 
-ORDER, DISCOUNT, BITS = 5, 0.7, 8
+ORDER, DISCOUNT = 5, 0.7
+_G = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of all texts, each padded with a blank on both sides; where each begins; and how many
+    characters of its own text stand before each."""
+    padded = [f" {t} " for t in texts]
+    c = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    lengths = np.array([len(p) for p in padded], dtype=np.int64)
+    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
+    return c, starts, np.arange(len(c)) - np.repeat(starts, lengths)
+
+
+def _hashes(c: np.ndarray, order: int) -> list[np.ndarray]:
+    """For each order the hash of the n-gram that ends at each place."""
+    out = [c]
+    for _ in range(order - 1):
+        h = np.zeros_like(c)
+        h[1:] = out[-1][:-1]
+        out.append(h * _G + c)
+    return out
+
+
+def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values in order, a place of each, and how often it occurs."""
+    order = np.argsort(h)
+    s = h[order]
+    first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
+    return s[first], order[first], np.diff(first, append=len(s))
+
+
+def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.searchsorted(keys, wanted)
+    at[at == len(keys)] = 0
+    return at, keys[at] == wanted
 
 
 class CharModels:
@@ -21,73 +57,59 @@ class CharModels:
     def __init__(self, languages: Mapping[str, Iterable[str]], order: int = ORDER, discount: float = DISCOUNT):
         self.codes = sorted(languages)
         self.order = order
-        texts = {lang: [f" {t} " for t in languages[lang]] for lang in self.codes}
-        letters = sorted({ch for ts in texts.values() for t in ts for ch in t})
-        if len(letters) >= (1 << BITS) - 1:
-            letters = [ch for ch, _ in Counter(ch for ts in texts.values() for t in ts for ch in t).most_common((1 << BITS) - 2)]
-        self.letters = {ch: i + 1 for i, ch in enumerate(sorted(letters))}  # 0: a character in no sample
-        self.uniform = 1.0 / (len(self.letters) + 1)
-        table = np.zeros(0x110000, dtype=np.uint8)
-        for ch, i in self.letters.items():
-            table[ord(ch)] = i
-        self.table = table
-        per = [self._estimate(texts[lang], discount) for lang in self.codes]
+        texts = [_codes(list(languages[lang])) for lang in self.codes]
+        letters = len(np.unique(np.concatenate([c for c, _, _ in texts]))) if texts else 0
+        self.uniform = 1.0 / (letters + 1)
+        with ThreadPoolExecutor(4) as pool:  # sorting runs outside the interpreter's lock
+            per = list(pool.map(lambda t: self._estimate(t[0], t[2], discount), texts))
         self.keys, self.logp, self.weight = [], [], []
         for n in range(1, order + 1):
-            keys = np.unique(np.concatenate([p[n - 1][0] for p in per]))
-            logp = np.full((len(keys) + 1, len(per)), np.nan, dtype=np.float32)
-            weight = np.zeros((len(keys) + 1, len(per)), dtype=np.float32)
+            keys, at = np.unique(np.concatenate([p[n - 1][0] for p in per]), return_index=True)
+            prefix, suffix = (np.concatenate([p[n - 1][k] for p in per])[at] for k in (2, 3))
+            logp = np.full((len(keys), len(per)), np.nan, dtype=np.float32)
+            weight = np.zeros((len(keys), len(per)), dtype=np.float32)
             for j, p in enumerate(per):
-                k, lp, contexts, w = p[n - 1]
-                logp[np.searchsorted(keys, k), j] = lp
-                at = np.searchsorted(keys, contexts)
-                weight[at, j] = w
+                logp[np.searchsorted(keys, p[n - 1][0]), j] = p[n - 1][1]
+                if n < order:
+                    weight[np.searchsorted(keys, p[n][4]), j] = p[n][5]
+            if n == 1:
+                below = np.float32(np.log(self.uniform * 0.1))
+            else:  # an n-gram that only other languages have backs off here, once and for all
+                below = self.weight[n - 2][np.searchsorted(self.keys[n - 2], prefix)] + self.logp[n - 2][np.searchsorted(self.keys[n - 2], suffix)]
             self.keys.append(keys)
-            self.logp.append(logp)  # the last row stands for n-grams that aren't there
+            self.logp.append(np.where(np.isnan(logp), below, logp))
             self.weight.append(weight)
 
-    def _estimate(self, texts: list[str], d: float):
-        """For each order: keys, log probabilities, contexts of that length and their back-off weights."""
-        codes = [self.table[np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32)].astype(np.uint64) for t in texts]
-
-        def grams(n):
-            out = []
-            for c in codes:
-                if len(c) >= n:
-                    key = np.zeros(len(c) - n + 1, dtype=np.uint64)
-                    for i in range(n):
-                        key = (key << np.uint64(BITS)) | c[i : len(c) - n + 1 + i]
-                    out.append(key)
-            return np.unique(np.concatenate(out), return_counts=True) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-
-        counted = [grams(n) for n in range(1, self.order + 1)]
+    def _estimate(self, c: np.ndarray, into: np.ndarray, d: float) -> list[tuple]:
+        """For each order: keys, log probabilities, each key's prefix and suffix; contexts (one shorter) and
+        their back-off weights."""
+        h = _hashes(c, self.order)
+        places, counts = [], []
+        for n in range(1, self.order + 1):
+            ends = np.flatnonzero(into >= n - 1)
+            _, first, k = _distinct(h[n - 1][ends])
+            places.append(ends[first])
+            counts.append(k)
         result, lower = [], None
         for n in range(1, self.order + 1):
-            keys, counts = counted[n - 1]
+            at, k = places[n - 1], counts[n - 1]
+            keys = h[n - 1][at]
             if n < self.order:  # continuation counts: in how many left contexts an n-gram occurs
-                longer = counted[n][0] & np.uint64((1 << (BITS * n)) - 1)
-                k2, c2 = np.unique(longer, return_counts=True)
-                cont = np.zeros(len(keys), dtype=np.int64)
-                cont[np.searchsorted(keys, k2)] = c2
-                counts = np.maximum(cont, 1)  # an n-gram that only starts a text
-            contexts, which, kinds = np.unique(keys >> np.uint64(BITS), return_inverse=True, return_counts=True)
-            totals = np.bincount(which, weights=counts)
+                longer, contexts_of = np.unique(h[n - 1][places[n]], return_counts=True)
+                k = np.ones(len(keys), dtype=np.int64)  # an n-gram that only starts a text
+                k[np.searchsorted(keys, longer)] = contexts_of
+            prefix = h[n - 2][at - 1] if n > 1 else np.zeros(len(keys), np.uint64)
+            suffix = h[n - 2][at] if n > 1 else np.zeros(len(keys), np.uint64)
+            contexts, which, kinds = np.unique(prefix, return_inverse=True, return_counts=True)
+            totals = np.bincount(which, weights=k, minlength=len(contexts))
             left = d * kinds / totals
-            if n == 1:
-                p = (counts - d) / totals[which] + left[which] * self.uniform
-                result.append([keys, np.log(p), np.zeros(0, np.uint64), np.zeros(0)])
-                self_left = np.log(left[0])
-                result[0].append(self_left)
-            else:
-                lk, lp = lower
-                p = (counts - d) / totals[which] + left[which] * np.exp(lp[np.searchsorted(lk, keys & np.uint64((1 << (BITS * (n - 1))) - 1))])
-                result.append([keys, np.log(p), np.zeros(0, np.uint64), np.zeros(0)])
-                result[n - 2][2], result[n - 2][3] = contexts, np.log(left)
-            lower = (keys, np.log(p))
-        result[0] = result[0][:4]
+            below = np.full(len(keys), self.uniform) if lower is None else np.exp(lower[1][np.searchsorted(lower[0], suffix)])
+            logp = np.log((k - d) / totals[which] + left[which] * below)
+            result.append((keys, logp, prefix, suffix, contexts, np.log(left)))
+            lower = (keys, logp)
         return result
 
-    def scores(self, texts: list[str], block: int = 1 << 17) -> np.ndarray:
+    def scores(self, texts: list[str], block: int = 1 << 18) -> np.ndarray:
         """(len(texts), languages): log probability of each text (padded with a blank on both sides)."""
         out = np.zeros((len(texts), len(self.codes)))
         start = 0
@@ -101,34 +123,20 @@ class CharModels:
         return out
 
     def _scores(self, texts: list[str]) -> np.ndarray:
-        padded = [f" {t} " for t in texts]
-        c = self.table[np.frombuffer("".join(padded).encode("utf-32-le"), dtype=np.uint32)].astype(np.uint64)
-        lengths = np.array([len(p) for p in padded])
-        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        into = np.arange(len(c)) - np.repeat(starts, lengths)  # characters before, in its own text
-
-        def find(keys, wanted):
-            at = np.searchsorted(keys, wanted)
-            at[at == len(keys)] = 0
-            return np.where(keys[at] == wanted, at, len(keys))
-
-        at = find(self.keys[0], c)
-        lp = self.logp[0][at]
-        lp = np.where(np.isnan(lp), np.float32(np.log(self.uniform * 0.1)), lp)
-        key, found = c, at
-        for n in range(2, self.order + 1):
-            before, context = key, found
-            # context of position i at this order: the (n-1)-gram that ends at i-1
-            ctx = np.empty_like(context)
-            ctx[0], ctx[1:] = len(self.keys[n - 2]), context[:-1]
-            prev = np.zeros_like(c)
-            prev[1:] = before[:-1]
-            key = ((prev << np.uint64(BITS)) | c) & np.uint64((1 << (BITS * n)) - 1)
-            found = find(self.keys[n - 1], key)
-            short = into < n - 1
-            found[short] = len(self.keys[n - 1])
-            seen = self.logp[n - 1][found]
-            ctx[short] = len(self.keys[n - 2])
-            lp = np.where(np.isnan(seen), lp + self.weight[n - 2][ctx], seen)
-        lp[into == 0] = 0  # the leading blank is given
-        return np.add.reduceat(lp.astype(np.float64), starts, axis=0)
+        c, starts, into = _codes(texts)
+        h = _hashes(c, self.order)
+        lp = np.zeros((len(c), len(self.codes)), dtype=np.float32)
+        todo = np.flatnonzero(into > 0)  # the leading blank is given
+        for n in range(self.order, 1, -1):
+            reach = into[todo] >= n - 1
+            ask, rest = todo[reach], todo[~reach]
+            at, hit = _find(self.keys[n - 1], h[n - 1][ask])
+            lp[ask[hit]] += self.logp[n - 1][at[hit]]
+            miss = ask[~hit]
+            at, hit = _find(self.keys[n - 2], h[n - 2][miss - 1])
+            lp[miss[hit]] += self.weight[n - 2][at[hit]]
+            todo = np.concatenate([rest, miss])
+        at, hit = _find(self.keys[0], h[0][todo])
+        lp[todo[hit]] += self.logp[0][at[hit]]
+        lp[todo[~hit]] += np.float32(np.log(self.uniform * 0.1))
+        return np.add.reduceat(lp, starts, axis=0)

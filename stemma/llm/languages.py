@@ -2,33 +2,38 @@
 
 Text is stripped of what has no language (code, links, numbers, markup, names as far as their place
 tells them), split into sentences, and each sentence goes to the language model with the lowest cross
-entropy per character. Sentences no model expects are rejected; the limits are calibrated on
-held-out sentences. A block has the language most of its words are in, and so has a post.
+entropy per character. Confidence is calibrated on held-out sentences, against names and scrambled
+words for rejection; a sentence with a confidence below one half has no language. A block has the
+language most of its words are in, and so has a post.
 """
 
 from __future__ import annotations
 
+import functools
 import html
+import pickle
 import re
 import unicodedata
+import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stemma.llm.kneser_ney import CharModels
 
-#: Bounds of what the models are fitted on: labelled sentences (lang_samples holds 300) and labelled posts.
-MAX_SAMPLES, MAX_POSTS = 20_000, 12_000
-#: Least confidence in a sentence of one or two words, which is mostly a name.
-SURE = 0.6
-# Other spellings of the labels, by ISO 639-1 code.
-SPELLINGS = {
-    "de": ("deu", "ger", "german"), "en": ("eng", "english"), "es": ("spa", "spanish"), "fr": ("fra", "fre", "french"), "it": ("ita", "italian"),
-    "nl": ("nld", "dut", "dutch"), "pl": ("pol", "polish"), "pt": ("por", "portuguese"), "ru": ("rus", "russian"), "sv": ("swe", "swedish"),
+#: Bounds of what the models are fitted on: labelled sentences (lang_samples holds 300); labelled posts, and
+#: characters of them; names of authors.
+MAX_SAMPLES, MAX_POSTS, MAX_POST_CHARACTERS, MAX_NAMES = 20_000, 12_000, 50_000_000, 2_000
+#: Characters of posts a task judges at once.
+AT_ONCE = 4_000_000
+# The bibliographic three-letter codes, where they differ from the terminological ones.
+BIBLIOGRAPHIC = {
+    "alb": "sq", "arm": "hy", "baq": "eu", "bur": "my", "chi": "zh", "cze": "cs", "dut": "nl", "fre": "fr", "geo": "ka", "ger": "de", "gre": "el",
+    "ice": "is", "mac": "mk", "mao": "mi", "may": "ms", "per": "fa", "rum": "ro", "slo": "sk", "tib": "bo", "wel": "cy",
 }
 # Latin letters without an accent that decomposes, and Cyrillic written in Latin letters.
 PLAIN = {"ł": "l", "ø": "o", "đ": "d", "ß": "ss", "æ": "ae", "œ": "oe", "ı": "i"}
@@ -38,18 +43,44 @@ TRANSLITERATION = {
 }
 OTHER_TRANSLITERATION = {"ё": "e", "й": "j", "х": "h", "ц": "c", "щ": "shch", "ю": "ju", "я": "ja", "ь": "'"}
 
+# What no language is in: code, links, markup, lines that introduce a quote, signatures, words with digits.
+# Every pattern is linear in the text, however long a line or word is.
 _FENCES = re.compile(r"```.*?(?:```|\Z)|\[code[^\]]*\].*?(?:\[/code\]|\Z)|<(pre|code)\b[^>]*>.*?(?:</\1>|\Z)|\[img[^\]]*\].*?(?:\[/img\]|(?=\n))", re.S | re.I)
-_LINK = re.compile(r"(?:https?://|ftp://|www\.)[^\s\[\]<>\"]+|\S+@\S+\.\w+", re.I)
-_TAG = re.compile(r"<[^<>\n]{1,200}>|\[/?[a-z*]+(?:=[^\]\n]*)?\]", re.I)
+_LINK = re.compile(r"(?:[hH][tT][tT][pP][sS]?://|[fF][tT][pP]://|[wW][wW][wW]\.)[^\s\[\]<>\"]+")
+_ADDRESS = re.compile(r"(?<!\S)\S[^\s@]*+@\S+\.\w+")
+_BREAK = re.compile(r"\[(?:/?quote|/?blockquote)[^\]\n]*\]|</?blockquote[^>]*>|<br\s*/?>|</?p\b[^>]*>|</?div\b[^>]*>", re.I)
+_TAG = re.compile(r"<[^<>\n]+>|\[/?[a-z*]+(?:=[^\]\n]*)?\]", re.I)
 _REMOVED = re.compile(r"\[(?:deleted|removed)[^\]]*\]|<(?:deleted|removed)>", re.I)
-_SAID = re.compile(r"^[>|\s]*\S*\d[^\n]*:[ \t]*$", re.M)
-_BRACKETED = re.compile(r"\([^()\n]*\d[^()\n]*\)|@\w+")
+_SAID = re.compile(r"^[>| \t]*+[^\s\d]*+\d[^\n]*:[ \t]*$", re.M)
+_BRACKETED = re.compile(r"\((?=[^()\n\d]*+\d)[^()\n]*+\)|@\w+")
 _SIGNED = re.compile(r"^[ \t]*(?:--|_{3,})[ \t]*\n[^\n]*", re.M)
 _QUOTED = re.compile(r"^[ \t]*(?:[>|][ \t]?)+", re.M)
-_NO_WORD = re.compile(r"\S*[\d_/\\#=|]\S*")
-_SENTENCE = re.compile(r"[.!?…:]+(?=\s|$)|\n\s*\n|\x00")
+_NO_WORD = re.compile(r"(?<!\S)[^\s\d_/\\#=|]*+[\d_/\\#=|]\S*")
+_SENTENCE = re.compile(r"[.!?…:]++(?=\s|$)|\n\s*\n|\x00")
+_LINE_END = re.compile(r"\r\n|\r|\n")
 _NO_LETTER = regex.compile(r"[^\p{L}\p{M}']+")
-_BLANK_LINE = re.compile(r"\r\n|\r|\n")
+# Marks between the sentences and the blocks of posts that are read together.
+_NEXT_SENTENCE, _NEXT_BLOCK = "\x03", "\x02"
+
+
+@functools.cache
+def _letters() -> np.ndarray:
+    """For each code point itself if it is a letter, a mark, an apostrophe or a separator of ours, else a blank."""
+    table = np.full(0x110000, 32, dtype=np.uint32)
+    kept = [c for c in range(0x110000) if unicodedata.category(chr(c))[0] in "LM"]
+    kept += [ord(x) for x in ("'", _NEXT_SENTENCE, _NEXT_BLOCK)]
+    table[kept] = kept
+    return table
+
+
+def _words_only(text: str) -> str:
+    """Lower case, letters only, one blank between words."""
+    text = unicodedata.normalize("NFC", text.lower()).replace("’", "'")
+    codes = _letters()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+    blank = codes == 32
+    blank[1:] &= blank[:-1]
+    blank[:1] = False
+    return codes[~blank].tobytes().decode("utf-32-le", "surrogatepass")
 
 
 def normal(text: str) -> str:
@@ -95,97 +126,175 @@ def blocks_of(text: str) -> list[str]:
     """Blocks of a post: runs of lines that aren't blank, in order. Code is blanked out in place, so that it
     doesn't change the numbering, and so are removed posts."""
     keep_lines = lambda m: re.sub(r"[^\r\n]", "\x01", m[0])
-    text = _FENCES.sub(keep_lines, text)
+    if "`" in text or "[" in text or "<" in text:
+        text = _FENCES.sub(keep_lines, text)
     out: list[list[str]] = []
     open_block = False
-    for line in _BLANK_LINE.split(text):
+    for line in _LINE_END.split(text) if "\r" in text else text.split("\n"):
         if line.strip():
             if not open_block:
                 out.append([])
             out[-1].append(line)
-        open_block = bool(line.strip())
+            open_block = True
+        else:
+            open_block = False
     return ["\n".join(b) for b in out]
 
 
-def sentences_of(block: str) -> list[str]:
-    """Normalised sentences of a block, without what has no language."""
-    t = block.replace("\x01", " ")
+def sentences_of_all(blocks: list[str]) -> list[list[str]]:
+    """Normalised sentences of each block, without what has no language. The blocks go through each
+    pattern together."""
+    if not blocks:
+        return []
+    t = "".join(blocks)
+    if _NEXT_BLOCK in t or _NEXT_SENTENCE in t:
+        blocks = [b.replace(_NEXT_BLOCK, " ").replace(_NEXT_SENTENCE, " ") for b in blocks]
+    t = f"\n{_NEXT_BLOCK}\n".join(blocks).replace("\x01", " ")
     if "&" in t:
         t = html.unescape(html.unescape(t)).replace("\xa0", " ")
-    t = _REMOVED.sub(" ", t)
-    t = _LINK.sub(" ", t)
-    if "<" in t or "[" in t:
-        t = re.sub(r"\[(?:/?quote|/?blockquote)[^\]\n]*\]|</?blockquote[^>]*>|<br\s*/?>|</?p\b[^>]*>|</?div\b[^>]*>", "\x00", t, flags=re.I)
-        t = _TAG.sub("", t)
-    t = _SAID.sub("\x00", t)
-    t = _SIGNED.sub("\x00", t)
-    t = _QUOTED.sub("", t)
-    t = _BRACKETED.sub(" ", t)
-    out = []
-    for part in _SENTENCE.split(t):
-        part = normal(_NO_WORD.sub(" ", part))
-        if part:
-            out.append(part)
-    return out
+    t = _ADDRESS.sub(" ", _LINK.sub(" ", _REMOVED.sub(" ", t)))
+    t = _TAG.sub("", _BREAK.sub("\x00", t))
+    t = _SIGNED.sub("\x00", _SAID.sub("\x00", t))
+    t = _BRACKETED.sub(" ", _QUOTED.sub("", t))
+    t = _NO_WORD.sub(" ", _SENTENCE.sub(f" {_NEXT_SENTENCE} ", t))
+    return [[s for part in b.split(_NEXT_SENTENCE) if (s := part.strip(" "))] for b in _words_only(t).split(_NEXT_BLOCK)]
+
+
+def sentences_of(block: str) -> list[str]:
+    return sentences_of_all([block])[0]
+
+
+@functools.cache
+def _language_names(spark: SparkSession) -> dict[str, str]:
+    locale = spark._jvm.java.util.Locale
+    out = {}
+    for code in locale.getISOLanguages():
+        one = locale.forLanguageTag(code)
+        out |= {one.getDisplayLanguage(locale.ENGLISH).lower(): code, one.getISO3Language(): code}
+    return out | BIBLIOGRAPHIC | {code: code for code in locale.getISOLanguages()}
 
 
-def label_language(label: str | None) -> str | None:
-    """Code of ten languages that a label means, None if it means none of them."""
-    word = re.split(r"[-_ ]", (label or "").strip().lower())[0]
-    for code, others in SPELLINGS.items():
-        if word == code or word in others:
-            return code
-    return None
+def label_languages(spark: SparkSession) -> dict[str, str]:
+    """Two-letter code of each spelling of a language: its codes of two and three letters and its English
+    name, in lower case, from the platform's table of ISO 639."""
+    return dict(_language_names(spark))
+
+
+def label_language(label: str | None, names: dict[str, str]) -> str | None:
+    """Code of the language that a label means, None if it means none. A region behind it doesn't count."""
+    whole = (label or "").strip().lower()
+    return names.get(whole) or names.get(re.split(r"[-_ (.@]", whole)[0])
+
+
+def _longest_word(sentence: str) -> str:
+    return max(sentence.split(" "), key=lambda w: (len(w), w))
+
+
+def _scrambled(sentence: str, draw: np.random.Generator) -> str:
+    """A sentence with the letters of all its words in another order."""
+    codes = np.frombuffer(sentence.encode("utf-32-le"), dtype=np.uint32).copy()
+    letters = codes != 32
+    codes[letters] = draw.permutation(codes[letters])
+    return codes.tobytes().decode("utf-32-le")
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, group: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+    """Weights of a logistic regression, each group of rows with the same total weight."""
+    w = np.zeros(x.shape[1])
+    each = len(y) / np.bincount(group)[group] / len(np.unique(group))
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        gradient = x.T @ (each * (p - y)) + ridge * w
+        hessian = (x * (each * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
+        step = np.linalg.solve(hessian, gradient)
+        w -= step
+        if np.abs(step).max() < 1e-6:
+            break
+    return w
 
 
 class Detector:
-    """Models and rejection limits, fitted on sentences by language."""
+    """Models and calibrated confidence, fitted on sentences by language.
+
+    Every held_out-th sentence, by a hash of its longest word, so that variants of a sentence stay together,
+    is kept from a second set of models, and their confidence in these sentences is calibrated: which
+    language, by the temperature of least log loss; whether any, by a logistic regression on cross
+    entropy and length, against names and scrambled sentences.
+    """
 
-    def __init__(self, own: dict[str, list[str]], calibrate: bool = True, held_out: int = 5, short_slack: float = 1.25, slack: float = 2.8):
+    def __init__(self, own: dict[str, list[str]], names: list[str] = (), calibrate: bool = True, held_out: int = 5, seed: int = 1):
         own = {lang: sorted(set(ts)) for lang, ts in own.items() if ts}
         expand = lambda ts: sorted({v for t in ts for v in spellings(t)})
-        self.own = own
         self.models = CharModels({lang: expand(ts) for lang, ts in own.items()})
-        right, margins, costs = 0, [], []
-        # calibrated on every held_out-th sentence of each language with models of the other ones
-        held = [(lang, t) for lang, ts in own.items() for i, t in enumerate(ts) if i % held_out == 0]
-        rest = {lang: [t for i, t in enumerate(ts) if i % held_out] for lang, ts in own.items()}
-        if calibrate and held and all(rest.values()):
-            m = CharModels({lang: expand(ts) for lang, ts in rest.items()})
-            s = -m.scores([t for _, t in held]) / np.array([[len(t) + 1] for _, t in held])
-            truth = np.array([m.codes.index(lang) for lang, _ in held])
-            right += int((s.argmin(1) == truth).sum())
-            costs += s[np.arange(len(held)), truth].tolist()
-            two = np.sort(s, axis=1)[:, :2]
-            margins += (two[:, 1] - two[:, 0]).tolist() if s.shape[1] > 1 else []
-        self.accuracy = right / max(1, len(costs))
-        #: cross entropy per character above which a sentence counts as no language: of one or two words, which
-        #: are mostly names, and of more
-        self.short_limit = float(np.quantile(costs, 0.995) * short_slack) if costs else float("inf")
-        self.limit = float(np.quantile(costs, 0.995) * slack) if costs else float("inf")
-        self.scale = float(np.median(margins)) if margins else 1.0
+        self.accuracy, self.new_accuracy = 0.0, 0.0
+        self.power, self.heat, self.known = 1.0, 1.0, np.zeros(0)
+        if not calibrate:
+            return
+        fold = {t: zlib.crc32(_longest_word(t).encode()) % held_out for ts in own.values() for t in ts}
+        held = [(lang, t) for lang, ts in own.items() for t in ts if fold[t] == 0]
+        rest = {lang: [t for t in ts if fold[t]] for lang, ts in own.items()}
+        if not held or not all(rest.values()):
+            return
+        m = CharModels({lang: expand(ts) for lang, ts in rest.items()})
+        texts = [t for _, t in held]
+        total = -m.scores(texts)
+        truth = np.array([m.codes.index(lang) for lang, _ in held])
+        right = total.argmin(1) == truth
+        self.accuracy = float(right.mean())
+        triples = {t for ts in rest.values() for s in ts for t in zip(*(s.split(" ")[i:] for i in range(3)))}
+        new = np.array([not any(t in triples for t in zip(*(s.split(" ")[i:] for i in range(3)))) for s in texts])
+        self.new_accuracy = float(right[new].mean()) if new.any() else self.accuracy
+        length = np.array([len(t) + 1 for t in texts])
+        best = np.inf
+        for power in (0.0, 0.25, 0.5, 0.75, 1.0):
+            above = (total - total.min(1, keepdims=True)) / length[:, None] ** (1 - power)
+            for heat in np.geomspace(0.01, 100, 41):
+                loss = float((heat * above[np.arange(len(truth)), truth] + np.log(np.exp(-heat * above).sum(1))).mean())
+                if loss < best:
+                    best, self.power, self.heat = loss, power, float(heat)
+        draw = np.random.default_rng(seed)
+        against = [_scrambled(t, draw) for t in texts] + [_scrambled(_longest_word(t), draw) for t in texts] + list(names)
+        lowest = np.concatenate([total.min(1), (-m.scores(against)).min(1)])
+        length = np.concatenate([length, [len(t) + 1 for t in against]])
+        group = np.concatenate([new.astype(int), np.repeat([2, 3], len(texts)), np.full(len(names), 4)])
+        self.known = _logistic(self._features(lowest / length, length), group < 2, group)
+
+    @staticmethod
+    def _features(cost: np.ndarray, length: np.ndarray) -> np.ndarray:
+        return np.stack([np.ones(len(cost)), cost, np.log(length)], axis=1)
 
     @classmethod
-    def of_samples(cls, samples: list[tuple[str, str]], posts: list[tuple[str, str | None]] = (), rounds: int = 2) -> "Detector":
-        """Fitted on samples (lang, text), then on sentences of posts (text, label) as well.
+    def of_samples(cls, samples: list[tuple[str, str]], posts: list[tuple[str, str | None]] = (), names: list[str] = (), rounds: int = 2) -> "Detector":
+        """Fitted on samples (lang, text), then on sentences of posts (text, language of the label) as well.
 
         The samples lack many words of the posts. A post is learnt from if its label is the language most
         of its words are found to be in, a sentence of it if it or the rest of its block is found to be in
         that language; further any sentence that stands in three posts or more, nearly all of one label.
         """
         own: dict[str, list[str]] = {}
-        for lang, text in samples:
-            own.setdefault(lang, []).append(" ".join(sentences_of(text)))
+        for (lang, _), ss in zip(samples, sentences_of_all([t for _, t in samples])):
+            own.setdefault(lang, []).append(" ".join(ss))
         base = {lang: [t for t in ts if t] for lang, ts in own.items()}
+        names = sorted({normal(n) for n in names} - {""})
         rounds = rounds if posts else 0
-        read = [([[s for s in sentences_of(b) if s.count(" ") >= 2] for b in blocks_of(text or "")], label_language(label)) for text, label in posts]
-        detector = cls(base, calibrate=not rounds)
+        blocks = [blocks_of(text or "") for text, _ in posts]
+        found = iter(sentences_of_all([b for bs in blocks for b in bs]))
+        read = [([[s for s in next(found) if s.count(" ") >= 2] for _ in bs], lang) for bs, (_, lang) in zip(blocks, posts)]
+        detector = cls(base, names, calibrate=not rounds)
         for k in range(rounds):
             # a part of the posts is enough to begin with
             more = detector._learnt(read if k == rounds - 1 else read[: max(1000, len(read) // 4)])
-            detector = cls({lang: ts + more.get(lang, []) for lang, ts in base.items()}, calibrate=k == rounds - 1)
+            detector = cls({lang: ts + more.get(lang, []) for lang, ts in base.items()}, names, calibrate=k == rounds - 1)
         return detector
 
+    def dumps(self) -> bytes:
+        return pickle.dumps(self)
+
+    @staticmethod
+    def loads(raw: bytes) -> "Detector":
+        """A detector stored by dumps(). Only for bytes that this program wrote."""
+        return pickle.loads(raw)
+
     def _learnt(self, posts: list[tuple[list[list[str]], str]]) -> dict[str, list[str]]:
         """Sentences by language. posts: (blocks of sentences, language of the label)."""
         found: dict[str, set[str]] = {lang: set() for lang in self.models.codes}
@@ -216,99 +325,135 @@ class Detector:
         return {lang: sorted(ss) for lang, ss in found.items()}
 
     def judge(self, sentences: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(language index or -1, cross entropy per character, confidence) of each sentence.
+        """(language index or -1, cross entropy per character, calibrated confidence) of each sentence.
 
-        confidence: the winner's share when cross entropies are weighed with exp(-4 d / m), m the median
-        distance of the two best languages on held-out sentences.
+        confidence: chance that the sentence is in a language times the chance that it is this one.
         """
         if not sentences:
             return np.zeros(0, int), np.zeros(0), np.zeros(0)
-        cost = -self.models.scores(sentences) / np.array([[len(t) + 1] for t in sentences])
-        best = cost.argmin(1)
-        low = cost[np.arange(len(best)), best]
-        share = 1 / np.exp(-4 * (cost - low[:, None]) / self.scale).sum(1)
-        long = np.array([t.count(" ") >= 2 for t in sentences])
-        known = np.where(long, low <= self.limit, (low <= self.short_limit) & (share >= SURE))
-        return np.where(known, best, -1), low, share
-
-
-def languages_of_posts(batch_ids: list, texts: list[str | None], detector: Detector) -> dict[str, list]:
-    """Rows (doc_id, block_no, lang, confidence, words) of every block with a language, and block 0 for
-    the post, for posts with one."""
-    sentences, owner = [], []
-    for i, text in enumerate(texts):
-        for b, block in enumerate(blocks_of(text) if text else []):
-            for s in sentences_of(block):
-                sentences.append(s)
-                owner.append((i, b + 1))
-    which, _, sure = detector.judge(sentences)
-    votes: dict[tuple[int, int], dict[int, list[float]]] = {}
-    for (i, b), lang, conf, s in zip(owner, which.tolist(), sure.tolist(), sentences):
-        if lang >= 0:
-            words = s.count(" ") + 1
-            for key in ((i, b), (i, 0)):
-                v = votes.setdefault(key, {}).setdefault(lang, [0, 0.0])
-                v[0] += words
-                v[1] += words * conf
-    out: dict[str, list] = {"doc_id": [], "block_no": [], "lang": [], "confidence": [], "words": []}
-    for (i, b), by in sorted(votes.items()):
-        total = sum(w for w, _ in by.values())
-        lang, (words, weight) = max(by.items(), key=lambda x: (x[1][0], x[1][1], -x[0]))
-        for k, v in (("doc_id", batch_ids[i]), ("block_no", b), ("lang", detector.models.codes[lang]), ("confidence", weight / total), ("words", words)):
-            out[k].append(v)
-    return out
+        length = np.array([len(t) + 1 for t in sentences])
+        total = -self.models.scores(sentences)
+        best = total.argmin(1)
+        low = total[np.arange(len(best)), best]
+        sure = 1 / np.exp(-self.heat * (total - low[:, None]) / length[:, None] ** (1 - self.power)).sum(1)
+        if len(self.known):
+            sure = sure / (1 + np.exp(-np.clip(self._features(low / length, length) @ self.known, -30, 30)))
+        return np.where(sure >= 0.5, best, -1), low / length, sure
+
+
+def _votes(texts: list[str | None], detector: Detector) -> tuple[np.ndarray, ...]:
+    """(post, block number, language index, confidence, words) of the blocks with a language, and, with
+    number 0, of the posts with one, by post and number. post: index in texts."""
+    blocks = [blocks_of(t) if t else [] for t in texts]
+    sentences = sentences_of_all([b for bs in blocks for b in bs])
+    flat = [s for ss in sentences for s in ss]
+    once = {s: i for i, s in enumerate(dict.fromkeys(flat))}
+    which, _, sure = detector.judge(list(once))
+    at = np.array([once[s] for s in flat], dtype=np.int64)
+    words = np.array([s.count(" ") + 1 for s in once], dtype=np.int64)
+    n_langs, n_blocks = len(detector.models.codes), len(sentences)
+    of_block = np.repeat(np.arange(n_blocks), [len(ss) for ss in sentences])
+    lang = which[at] if len(at) else at
+    has = lang >= 0
+    cell, n = (of_block * n_langs + lang)[has], (words[at] if len(at) else at)[has]
+    size = n_blocks * n_langs
+    count = np.bincount(cell, weights=n, minlength=size)[:size].reshape(n_blocks, n_langs)
+    weight = np.bincount(cell, weights=n * (sure[at] if len(at) else at)[has], minlength=size)[:size].reshape(n_blocks, n_langs)
+    per_post = np.array([len(bs) for bs in blocks], dtype=np.int64)
+    post = np.repeat(np.arange(len(texts)), per_post)
+    number = np.arange(n_blocks) - np.repeat(np.cumsum(per_post) - per_post, per_post) + 1
+    sums = [np.zeros((len(texts), n_langs)) for _ in range(2)]
+    for s, x in zip(sums, (count, weight)):
+        np.add.at(s, post, x)
+    post, number = np.concatenate([post, np.arange(len(texts))]), np.concatenate([number, np.zeros(len(texts), np.int64)])
+    count, weight = np.concatenate([count, sums[0]]), np.concatenate([weight, sums[1]])
+    some = np.flatnonzero(count.any(1))
+    some = some[np.lexsort((number[some], post[some]))]
+    count, weight = count[some], weight[some]
+    # most words, then most confidence, then the first code
+    lang = np.where(count == count.max(1, keepdims=True), weight, -1.0).argmax(1) if len(some) else np.zeros(0, np.int64)
+    row = np.arange(len(some))
+    return post[some], number[some], lang, weight[row, lang] / count.sum(1), count[row, lang].astype(np.int64)
+
+
+def _slices(texts: list[str | None]):
+    """Ranges of texts with about AT_ONCE characters together."""
+    start, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t or "")
+        if size >= AT_ONCE:
+            yield start, i + 1
+            start, size = i + 1, 0
+    if start < len(texts):
+        yield start, len(texts)
 
 
 SCHEMA = "doc_id long, block_no int, lang string, confidence double, words int"
-_ARROW = pa.schema([("doc_id", pa.int64()), ("block_no", pa.int32()), ("lang", pa.string()), ("confidence", pa.float64()), ("words", pa.int32())])
 
 
-def fitted(documents: DataFrame, samples: DataFrame, max_samples: int = MAX_SAMPLES, max_posts: int = MAX_POSTS) -> Detector:
-    """Detector from at most max_samples sentences and max_posts labelled posts (the first by hash)."""
+def fitted(documents: DataFrame, samples: DataFrame, max_samples: int = MAX_SAMPLES, max_posts: int = MAX_POSTS, max_characters: int = MAX_POST_CHARACTERS, max_names: int = MAX_NAMES) -> Detector:
+    """Detector from at most max_samples sentences, max_posts labelled posts of max_characters together and
+    max_names names of authors, if documents has the column author; each the first by hash."""
+    spellings_of = label_languages(documents.sparkSession)
     rows = samples.where("lang is not null and text is not null").select("lang", "text").distinct()
     sentences = [(r.lang, r.text) for r in rows.orderBy(F.xxhash64("text"), "text", "lang").limit(max_samples).collect()]
-    posts = documents.where("text is not null and lang is not null and length(text) < 20000").select("doc_id", "text", "lang")
-    # drawn by hash before the sort, so that tasks don't each send the driver max_posts rows
+    posts = documents.where("text is not null and lang is not null").select("doc_id", "text", "lang")
+    names: list[str] = []
+    # drawn by hash before the sort, so that tasks don't each send the driver as many rows as are wanted
     n = max(1, posts.count())
-    share = F.lit(min(1_000_000, -(-1_200_000 * max_posts // n)))
-    taken = posts.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_posts).collect()
-    return Detector.of_samples(sentences, [(r.text, r.lang) for r in taken])
+    drawn = lambda of, most: F.pmod(F.xxhash64(of), F.lit(1_000_000)) < F.lit(min(1_000_000, -(-1_200_000 * most // n)))
+    if "author" in documents.columns:
+        one = documents.where("author is not null").select("author").distinct()
+        names = [r.author for r in one.orderBy(F.xxhash64("author"), "author").limit(max_names).collect()]
+    sizes = posts.where(drawn("doc_id", max_posts)).select("doc_id", "text", "lang", F.length("text").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_posts)
+    before = F.sum("n").over(Window.partitionBy(F.lit(1)).orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    taken = sizes.withColumn("_sum", before).where(F.col("_sum") <= max_characters).select("text", "lang").collect()
+    return Detector.of_samples(sentences, [(r.text, label_language(r.lang, spellings_of)) for r in taken], names)
 
 
-def detect_languages(documents: DataFrame, samples: DataFrame) -> DataFrame:
+def detect_languages(documents: DataFrame, samples: DataFrame, detector: Detector | None = None) -> DataFrame:
     """Rows (doc_id, block_no, lang, confidence, words): block 0 is the post as a whole.
 
     Posts and blocks without a language (null, empty, code, links, names only) have no row. No shuffle;
-    whole texts are read. doc_ids may repeat; each row is judged on its own.
+    whole texts are read. doc_ids may repeat; each row is judged on its own. detector: one fitted before.
     """
-    detector = documents.sparkSession.sparkContext.broadcast(fitted(documents, samples))
+    shared = documents.sparkSession.sparkContext.broadcast(detector or fitted(documents, samples))
 
     def run(batches):
+        d = shared.value
+        codes = pa.array(d.models.codes, pa.string())
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for lo in range(0, len(ids), 500):
-                yield pa.RecordBatch.from_pydict(languages_of_posts(ids[lo : lo + 500], texts[lo : lo + 500], detector.value), schema=_ARROW)
+            texts = b.column(1).to_pylist()
+            for lo, hi in _slices(texts):
+                post, number, lang, sure, words = _votes(texts[lo:hi], d)
+                yield pa.RecordBatch.from_pydict({"doc_id": b.column(0).take(pa.array(post + lo)), "block_no": pa.array(number, pa.int32()), "lang": codes.take(pa.array(lang)), "confidence": pa.array(sure), "words": pa.array(words, pa.int32())})
 
     return documents.where("text is not null").select("doc_id", "text").mapInArrow(run, SCHEMA)
 
 
-def label_faults(documents: DataFrame, samples: DataFrame) -> DataFrame:
+def label_faults(documents: DataFrame, samples: DataFrame, detector: Detector | None = None) -> DataFrame:
     """(doc_id, block_no, lang): block 0 for posts whose label is missing, unknown or another language's;
     from 1 the blocks of posts with blocks of two or more languages. doc_id must be unique."""
-    detector = documents.sparkSession.sparkContext.broadcast(fitted(documents, samples))
+    spellings_of = label_languages(documents.sparkSession)
+    shared = documents.sparkSession.sparkContext.broadcast(detector or fitted(documents, samples))
 
     def run(batches):
+        d = shared.value
+        codes = pa.array(d.models.codes, pa.string())
+        index = {c: i for i, c in enumerate(d.models.codes)}
+        means: dict[str | None, int] = {}
         for b in batches:
-            ids, texts, labels = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()
-            for lo in range(0, len(ids), 500):
-                part = slice(lo, lo + 500)
-                numbered = list(range(lo, min(lo + 500, len(ids))))
-                got = languages_of_posts(numbered, texts[part], detector.value)
-                mixed: dict[int, set[str]] = {}
-                for i, no, lang in zip(got["doc_id"], got["block_no"], got["lang"]):
-                    if no:
-                        mixed.setdefault(i, set()).add(lang)
-                keep = [k for k, (i, no, lang) in enumerate(zip(got["doc_id"], got["block_no"], got["lang"])) if (len(mixed[i]) > 1 if no else label_language(labels[i]) != lang)]
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array([ids[got["doc_id"][k]] for k in keep], pa.int64()), "block_no": pa.array([got["block_no"][k] for k in keep], pa.int32()), "lang": pa.array([got["lang"][k] for k in keep], pa.string())})
+            texts, labels = b.column(1).to_pylist(), b.column(2).to_pylist()
+            for label in {*labels} - means.keys():
+                means[label] = index.get(label_language(label, spellings_of), -1)
+            said = np.array([means[x] for x in labels], dtype=np.int64)
+            for lo, hi in _slices(texts):
+                post, number, lang, _, _ = _votes(texts[lo:hi], d)
+                inner = number > 0
+                low, high = np.full(hi - lo, len(index)), np.full(hi - lo, -1)
+                np.minimum.at(low, post[inner], lang[inner])
+                np.maximum.at(high, post[inner], lang[inner])
+                keep = np.flatnonzero(np.where(inner, low[post] < high[post], said[post + lo] != lang))
+                yield pa.RecordBatch.from_pydict({"doc_id": b.column(0).take(pa.array(post[keep] + lo)), "block_no": pa.array(number[keep], pa.int32()), "lang": codes.take(pa.array(lang[keep]))})
 
     return documents.where("text is not null").select("doc_id", "text", "lang").mapInArrow(run, "doc_id long, block_no int, lang string")

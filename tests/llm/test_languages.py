@@ -1,11 +1,12 @@
 import math
 import random
+import time
 
 import numpy as np
 import pytest
 
 from stemma.llm.kneser_ney import CharModels
-from stemma.llm.languages import Detector, blocks_of, detect_languages, label_faults, label_language, plain, sentences_of, spellings
+from stemma.llm.languages import Detector, blocks_of, detect_languages, label_faults, fitted, label_language, label_languages, plain, sentences_of, spellings
 
 FOLDER = "/root/testdata/sf0.01"
 
@@ -56,8 +57,11 @@ def test_blocks_and_sentences():
         assert sentences_of(nothing) == []
 
 
-def test_labels():
-    assert [label_language(x) for x in ("EN", "en-US", "en_GB", "English", "eng", "ger", "German", "", None, "und", "xx", "??", "cs", "N/A")] == ["en"] * 5 + ["de"] * 2 + [None] * 7
+def test_labels(spark):
+    names = label_languages(spark)
+    told = [label_language(x, names) for x in ("EN", "en-US", "en_GB", "English", "eng", "ger", "German", "", None, "und", "xx", "??", "N/A", "unknown")]
+    assert told == ["en"] * 5 + ["de"] * 2 + [None] * 7
+    assert [label_language(x, names) for x in ("cs", "Danish", "ukr", "zh-Hant-TW", "chi", "Portuguese (Brazil)")] == ["cs", "da", "uk", "zh", "zh", "pt"]
 
 
 def test_spellings():
@@ -83,6 +87,45 @@ def test_held_out_accuracy(data):
     assert (Detector.of_samples(samples, [(r.text, r.lang) for r in data[0].where("text is not null").collect()]).judge(names)[0] == -1).all()
 
 
+def test_every_letter_counts():
+    """More letters than a byte can name: none of them is an unknown one."""
+    letters = [chr(0x4E00 + i) for i in range(3000)]
+    m = CharModels({"zh": ["".join(letters)], "en": ["some words in latin letters"]})
+    runs = ["".join(letters[i : i + 4]) for i in range(0, 3000, 4)]
+    assert (m.scores(runs).argmax(1) == m.codes.index("zh")).all()
+
+
+def test_long_lines_and_words():
+    """Time grows with the length, not with its square."""
+    for unit in ("x", ">", "(1", "a@", "[", "<", "--", "1:", "https://", "``", "_", "("):
+        began = time.time()
+        sentences_of(unit * 200_000)
+        blocks_of(unit * 200_000)
+        assert time.time() - began < 5, unit
+
+
+def test_calibration(data):
+    """Confidence as a share of right answers, on sentences whose words none of the fitted ones has in a row."""
+    samples = [(r.lang, r.text) for r in data[1].collect()]
+    random.Random(2).shuffle(samples)
+    d = Detector.of_samples(samples[:200], names=[r.author for r in data[0].where("author is not null").select("author").distinct().collect()])
+    truth = [lang for lang, _ in samples[200:]]
+    which, _, sure = d.judge([" ".join(sentences_of(t)) for _, t in samples[200:]])
+    right = np.array([d.models.codes[w] == lang if w >= 0 else False for w, lang in zip(which, truth)])
+    assert right.mean() >= 0.9 and abs(right.mean() - sure.mean()) < 0.2 and 0 < d.new_accuracy <= 1
+    assert (Detector.loads(d.dumps()).judge(["hello there my friend"])[2] == d.judge(["hello there my friend"])[2]).all()
+
+
+def test_a_language_more(spark, data):
+    """A language that the samples gain is found, and its right labels are right."""
+    docs, samples = data
+    danish = ["jeg har ikke set filen endnu men den skulle være på serveren", "hvad mener du med at mappen er tom", "det virker ikke hos os efter den seneste opdatering", "kan nogen hjælpe mig med at finde den gamle udgave", "vi sletter billederne hvis ingen bruger dem længere"]
+    more = samples.select("lang", "text").unionByName(spark.createDataFrame([("da", t) for t in danish], "lang string, text string"))
+    own = spark.createDataFrame([(1, ". ".join(danish), "dan"), (2, ". ".join(danish), "sv")], "doc_id long, text string, lang string")
+    got = label_faults(own, more, fitted(docs.unionByName(own, allowMissingColumns=True), more, max_posts=500)).collect()
+    assert [(r.doc_id, r.block_no, r.lang) for r in got] == [(2, 0, "da")]
+
+
 def test_posts(spark, data):
     docs, samples = data
     en = "The old server lost the final list. My colleague found every texture after the weekend."
