@@ -1,11 +1,15 @@
 """Token ids of whole texts by a public byte-level BPE, encoding shared chunks once.
 
-Texts are cut where a rolling hash over the last characters says so, so equal passages give equal
-chunks wherever they stand. Each distinct chunk is encoded once. At a join the tokens around it are
-wrong in general: the text from the last word boundary of the left chunk to the first of the right
-one is encoded again. Such a boundary, a blank after a character that isn't white space, always ends
-a piece of the tokenizer's splitting pattern, whatever stands around it; so the ids between two
-boundaries are those of the whole text, and the result equals encoding each text at once.
+A rolling hash over the last bytes chooses where texts are cut, so equal passages give equal chunks
+wherever they stand; each distinct chunk among the documents a task holds at a time is encoded once, and
+texts are put together from the chunks' ids. A join is repaired where the ids on its sides would
+not be those of the whole text: both sides are then encoded as one. That is so wherever a mark is not
+before a blank that follows a character other than white space; such a blank always begins a piece
+of the tokenizer's splitting pattern, whatever stands around it, and no piece reaches across. So the
+result equals encoding each text at once.
+
+Chunks aren't exchanged between tasks: sending a chunk through a shuffle and its ids through a join
+costs more than encoding it. What tasks share, they share through their own documents.
 """
 
 from __future__ import annotations
@@ -18,15 +22,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from stemma.runtime import written
 
 TOKENIZER_DIR = "/opt/tokenizers"
 # Fixed value: the splitting pattern that belongs to the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: A cut every 2**CUT_BITS characters on average, decided by the last WINDOW characters.
-CUT_BITS, WINDOW = 8, 16
+#: A mark at one of 2**CUT_BITS words, decided by the last WINDOW bytes before it.
+CUT_BITS, WINDOW = 1, 8
+#: Bytes of text whose chunks a task compares at a time.
+AT_ONCE = 32 << 20
+_G, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
 def vocabulary(folder: str = TOKENIZER_DIR, name: str = "byte_bpe_50k.tiktoken") -> bytes:
@@ -43,112 +47,93 @@ def encoding(ranks: bytes):
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in pairs}, special_tokens={})
 
 
-def _gear(codes: np.ndarray) -> np.ndarray:
-    """A fixed pseudo-random 64-bit number for each character code."""
-    x = codes.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def cut(texts: list[str], bits: int = CUT_BITS) -> list[list[str]]:
-    """Chunks of each text; an empty text is one empty chunk."""
-    codes = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32)
-    g = _gear(codes)
-    h = np.zeros(len(g), dtype=np.uint64)
-    for j in range(min(WINDOW, len(g))):
-        h[j:] += g[: len(g) - j] << np.uint64(j * 3)
-    marks = np.flatnonzero((h >> np.uint64(64 - bits)) == 0) + 1
-    out, start = [], 0
-    for t in texts:
-        lo, hi = np.searchsorted(marks, [start + WINDOW, start + len(t)])
-        ends = [*(marks[lo:hi] - start).tolist(), len(t)]
-        out.append([t[a:b] for a, b in zip([0, *ends], ends)])
-        start += len(t)
+def _after_space(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the character before each place of UTF-8 bytes is white space. Places are 1 or more."""
+    a = raw[at - 1]
+    out = (a == 32) | ((a >= 9) & (a <= 13)) | ((a >= 28) & (a <= 31))
+    wide = np.flatnonzero(a >= 128)
+    if len(wide):
+        p = at[wide]
+        last, mid, first = a[wide], raw[p - 2], raw[np.maximum(p - 3, 0)]
+        two = (mid == 0xC2) & ((last == 0x85) | (last == 0xA0))
+        general = (first == 0xE2) & (mid == 0x80) & ((last <= 0x8A) | (last == 0xA8) | (last == 0xA9) | (last == 0xAF))
+        others = ((first == 0xE2) & (mid == 0x81) & (last == 0x9F)) | ((first == 0xE1) & (mid == 0x9A) & (last == 0x80)) | ((first == 0xE3) & (mid == 0x80) & (last == 0x80))
+        out[wide] = two | general | others
     return out
 
 
-def _blank_boundary(s: str, i: int) -> bool:
-    return s[i] in " \n" and not s[i - 1].isspace()
-
-
-def boundaries(s: str) -> tuple[int, int] | None:
-    """First and last word boundary inside a chunk."""
-    first = next((i for i in range(1, len(s)) if _blank_boundary(s, i)), None)
-    if first is None:
-        return None
-    return first, next(i for i in range(len(s) - 1, 0, -1) if _blank_boundary(s, i))
-
-
-def joined(parts: list[tuple[str, list[int] | None, str]], encode) -> list[int]:
-    """Ids of a text from its chunks' (head, ids between the boundaries, tail).
-
-    A chunk without a boundary has no ids and its text as head.
-    """
-    out: list[int] = []
-    open_text = ""
-    for head, ids, tail in parts:
-        open_text += head
-        if ids is None:
-            continue
-        out += encode(open_text)
-        out += ids
-        open_text = tail
-    return out + list(encode(open_text))
-
-
-def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def cuts(raw: np.ndarray, bits: int = CUT_BITS) -> np.ndarray:
+    """Places in UTF-8 bytes at which chunks begin, without the first and the last one."""
+    blank = np.flatnonzero((raw == 32) | (raw == 10))
+    blank = blank[blank >= WINDOW]
+    h = np.zeros(len(blank), dtype=np.uint64)
+    for j in range(1, WINDOW + 1):
+        h = h * _G + raw[blank - j]
+    h = (h ^ (h >> np.uint64(29))) * _MIX
+    marked = blank[(h >> np.uint64(64 - bits)) == 0] if bits else blank
+    return marked[~_after_space(raw, marked)]
+
+
+def chunked(texts: pa.Array, bits: int = CUT_BITS) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The chunks of all texts in order, as a dictionary, and how many each text has. Texts have no nulls;
+    an empty one has no chunks."""
+    texts = pa.concat_arrays([texts.cast(pa.large_string())])
+    n = len(texts)
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[: n + 1]
+    raw = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[: offsets[-1]]
+    starts = np.union1d(cuts(raw, bits), offsets[:-1][np.diff(offsets) > 0])
+    ends = np.append(starts, offsets[-1])
+    # the same bytes, divided at the cuts
+    chunks = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(ends), texts.buffers()[2] or pa.py_buffer(b""))
+    return chunks.dictionary_encode(), np.diff(np.searchsorted(starts, offsets))
+
+
+def _windows(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """Batches joined until their texts have AT_ONCE bytes."""
+    held, size = [], 0
     for b in batches:
-        pieces = cut([t or "" for t in b.column(1).to_pylist()])
-        counts = [len(p) for p in pieces]
-        rows = np.repeat(np.arange(len(pieces)), counts)
-        seq = np.concatenate([np.arange(c) for c in counts]) if counts else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_pydict({"doc_id": b.column(0).take(pa.array(rows)), "seq": pa.array(seq, pa.int32()), "chunk": pa.array([x for p in pieces for x in p], pa.string())})
+        held.append(b)
+        size += b.column(text).nbytes
+        if size >= AT_ONCE:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _encoded(texts: pa.ChunkedArray, encode, lengths_only: bool = False) -> pa.Array:
+    """Ids of each text, or their number. Null texts count as empty."""
+    one = pa.concat_arrays([c.fill_null("") for c in texts.chunks] or [pa.array([], pa.string())])
+    chunks, counts = chunked(one)
+    ids = [encode(s) for s in chunks.dictionary.to_pylist()]
+    sizes = np.array([len(x) for x in ids], dtype=np.int64)
+    at = chunks.indices.to_numpy(zero_copy_only=False)
+    ends = np.concatenate([[0], np.cumsum(sizes[at])]) if len(at) else np.zeros(1, np.int64)
+    bounds = ends[np.concatenate([[0], np.cumsum(counts)])]
+    if lengths_only:
+        return pa.array(np.diff(bounds), pa.int64())
+    flat = np.fromiter((i for x in ids for i in x), dtype=np.int32, count=int(sizes.sum()))
+    begins = np.cumsum(sizes) - sizes
+    # place of each id of the result among those of the distinct chunks
+    place = np.arange(ends[-1]) + np.repeat(begins[at] - ends[:-1], sizes[at]) if len(at) else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat[place]))
 
 
 def encode_documents(documents: DataFrame, folder: str = TOKENIZER_DIR) -> DataFrame:
-    """(doc_id, ids) of every row; null and empty texts have no ids: []. doc_id must be unique.
+    """(doc_id, ids) of every row; null and empty texts have no ids: []. Repeated doc_ids each have a row.
 
-    Other columns are ignored. A text's chunks meet in one row again, so a task holds no more than
-    whole texts. A chunk shared by very many texts is one row of a written table, which lets AQE split
-    its other side.
+    Other columns are ignored. No shuffle; a task holds the texts of AT_ONCE bytes, or one longer text.
     """
     ranks = documents.sparkSession.sparkContext.broadcast(vocabulary(folder))
 
-    def encoded(batches):
-        enc = encoding(ranks.value)
-        for b in batches:
-            heads, mids, tails, between = [], [], [], []
-            for s in b.column(2).to_pylist():
-                at = boundaries(s)
-                heads.append(s[: at[0]] if at else s)
-                tails.append(s[at[1] :] if at else "")
-                between.append(s[at[0] : at[1]] if at else None)
-            got = iter(enc.encode_ordinary_batch([x for x in between if x is not None], num_threads=1))
-            mids = [None if x is None else next(got) for x in between]
-            yield pa.RecordBatch.from_pydict({"h1": b.column(0), "h2": b.column(1), "head": pa.array(heads, pa.string()), "mid": pa.array(mids, pa.list_(pa.int32())), "tail": pa.array(tails, pa.string())})
-
-    def assembled(batches):
-        enc = encoding(ranks.value)
-        again = functools.lru_cache(maxsize=200_000)(lambda s: enc.encode_ordinary(s))
-        for b in batches:
-            parts = b.column(1)
-            offsets, flat = parts.offsets.to_pylist(), parts.values
-            heads, tails = flat.field("head").to_pylist(), flat.field("tail").to_pylist()
-            mid = flat.field("mid")
-            starts, has, ids = mid.offsets.to_numpy(), mid.is_valid().to_pylist(), mid.values.to_numpy(zero_copy_only=False)
-            out = []
-            for lo, hi in zip(offsets, offsets[1:]):
-                out.append(joined([(heads[i], ids[starts[i] : starts[i + 1]].tolist() if has[i] else None, tails[i]) for i in range(lo, hi)], again))
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "ids": pa.array(out, pa.list_(pa.int32()))})
-
-    h1, h2 = F.xxhash64("chunk").alias("h1"), F.xxhash64(F.lit(1), F.col("chunk")).alias("h2")
-    chunks = documents.select("doc_id", "text").mapInArrow(_chunk_rows, "doc_id long, seq int, chunk string")
-    once = chunks.groupBy("chunk").agg(F.lit(1)).select(h1, h2, "chunk")
-    table = written(once.mapInArrow(encoded, "h1 long, h2 long, head string, mid array<int>, tail string"), "chunks")
-    placed = chunks.select("doc_id", "seq", h1, h2).join(table, ["h1", "h2"])
-    texts = placed.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("seq", "head", "mid", "tail"))).alias("parts"))
-    return texts.mapInArrow(assembled, "doc_id long, ids array<int>")
+    def run(batches):
+        encode = encoding(ranks.value).encode_ordinary
+        for t in _windows(batches, 1):
+            ids = _encoded(t.column(1), encode)
+            for lo in range(0, len(ids), 1000):  # ids take as much room as the texts or more
+                yield pa.RecordBatch.from_pydict({"doc_id": t.column(0).slice(lo, 1000).combine_chunks(), "ids": ids.slice(lo, 1000)})
+
+    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def token_counts(documents: DataFrame, folder: str = TOKENIZER_DIR) -> DataFrame:
@@ -156,10 +141,9 @@ def token_counts(documents: DataFrame, folder: str = TOKENIZER_DIR) -> DataFrame
     ranks = documents.sparkSession.sparkContext.broadcast(vocabulary(folder))
 
     def run(batches):
-        enc = encoding(ranks.value)
-        for b in batches:
-            texts = b.column(2).to_pylist()
-            n = [len(ids) for lo in range(0, len(texts), 100) for ids in enc.encode_ordinary_batch([t or "" for t in texts[lo : lo + 100]], num_threads=1)]
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "source": b.column(1), "n_tokens": pa.array(n, pa.int64())})
+        encode = encoding(ranks.value).encode_ordinary
+        for t in _windows(batches, 2):
+            counts = _encoded(t.column(2), encode, lengths_only=True)
+            yield from pa.table({"doc_id": t.column(0), "source": t.column(1), "n_tokens": counts}).to_batches()
 
     return documents.select("doc_id", "source", "text").mapInArrow(run, "doc_id long, source string, n_tokens long")

@@ -1,10 +1,13 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from stemma.llm.encode import TOKENIZER_DIR, boundaries, cut, encode_documents, encoding, joined, token_counts, vocabulary
+from stemma.llm import encode
+from stemma.llm.encode import TOKENIZER_DIR, _encoded, chunked, encode_documents, encoding, token_counts, vocabulary
 
-WORDS = ["the ", " it's", "don't", "x", "\n", "\r\n", "  ", "\t", " ", "　", "é", "漢字", "🙂", "12345", "'", "''", "'v", "e", "...", "<|endoftext|>", " a", "\x1c", "\x85", "़", "Ǆ", "a" * 40, " ", "'re "]
+WORDS = ["the ", " it's", "don't", "x", "\n", "\r\n", "  ", "\t", " ", "　", "é", "漢字", "🙂", "12345", "'", "''", "'v", "e", "...", "<|endoftext|>", " a", "\x1c", "\x85", "़", "Ǆ", "a" * 40, "\u00a0 ", "\u2028\n", "р ", "'re "]
 
 
 @pytest.fixture(scope="module")
@@ -16,28 +19,26 @@ def whole(enc, text):
     return enc.encode_ordinary(text)
 
 
-def split_and_join(enc, text, bits):
-    parts = []
-    for s in cut([text], bits)[0]:
-        at = boundaries(s)
-        parts.append((s[: at[0]] if at else s, whole(enc, s[at[0] : at[1]]) if at else None, s[at[1] :] if at else ""))
-    assert "".join(cut([text], bits)[0]) == text
-    return joined(parts, lambda s: whole(enc, s))
-
-
-@pytest.mark.parametrize("bits", [1, 2, 4, 8])
-def test_joins_are_exact(enc, bits):
+@pytest.mark.parametrize("bits", [0, 1, 2, 4, 8])
+def test_joins_are_exact(enc, bits, monkeypatch):
+    monkeypatch.setattr(encode.chunked, "__defaults__", (bits,))
     rng = random.Random(bits)
-    for _ in range(300):
-        text = "".join(rng.choice(WORDS) for _ in range(rng.randrange(0, 80)))
-        assert split_and_join(enc, text, bits) == whole(enc, text)
+    texts = ["".join(rng.choice(WORDS) for _ in range(rng.randrange(0, 80))) for _ in range(400)]
+    chunks, counts = chunked(pa.array(texts))
+    parts = iter(chunks.to_pylist())
+    assert ["".join(next(parts) for _ in range(n)) for n in counts] == texts
+    column = pa.chunked_array([pa.array(texts[:100]), pa.array([*texts[100:], None]).slice(0, 300)])
+    assert _encoded(column, enc.encode_ordinary).to_pylist() == [whole(enc, t) for t in texts]
+    assert _encoded(column, enc.encode_ordinary, lengths_only=True).to_pylist() == [len(whole(enc, t)) for t in texts]
 
 
-def test_equal_passages_give_equal_chunks():
+def test_equal_passages_are_encoded_once(enc):
     rng = random.Random(2)
     passage = "".join(rng.choice("abcdefgh ") for _ in range(20_000))
-    a, b = cut(["x" * 37 + passage, passage + "tail"])
-    assert len(set(a) & set(b)) > 0.9 * len(a) > 20
+    asked = []
+    _encoded(pa.chunked_array([["x" * 37 + " " + passage, passage + " tail", passage, None, ""]]), lambda s: asked.append(s) or enc.encode_ordinary(s))
+    assert len(asked) == len(set(asked)) and sum(map(len, asked)) < 1.1 * len(passage)
+    assert np.median([len(s) for s in asked]) < 50
 
 
 def test_other_library_agrees(spark):
