@@ -33,9 +33,9 @@ def copy_rates(sized: DataFrame, targets: DataFrame) -> DataFrame:
     t = one.join(have, "source", "left").withColumn("tokens", F.coalesce("tokens", F.lit(0)))
     usable = (F.col("weight") > 0) & (F.col("max_repeats") > 0) & (F.col("tokens") > 0)
     room = F.when(usable, F.col("max_repeats") * F.col("tokens") / F.col("weight"))
-    total = t.agg(F.min(room).alias("total"))
-    rate = F.when(usable, F.least(F.col("total") * F.col("weight") / F.col("tokens"), F.col("max_repeats").cast("double"))).otherwise(F.lit(0.0))
-    return t.withColumn("_k", F.lit(1)).join(total.withColumn("_k", F.lit(1)), "_k").select("source", "weight", "max_repeats", "tokens", F.coalesce(rate, F.lit(0.0)).alias("rate"))
+    total = t.agg(F.min(room).alias("total")).scalar()
+    rate = F.when(usable, F.least(total * F.col("weight") / F.col("tokens"), F.col("max_repeats").cast("double"))).otherwise(F.lit(0.0))
+    return t.select("source", "weight", "max_repeats", "tokens", F.coalesce(rate, F.lit(0.0)).alias("rate"))
 
 
 def mix_sources(documents: DataFrame, targets: DataFrame, seed: int = 0, folder: str = TOKENIZER_DIR, rows_per_strand: int = 4_000_000) -> DataFrame:

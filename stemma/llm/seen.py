@@ -35,7 +35,11 @@ class Layout:
 
     @classmethod
     def for_rows(cls, rows: int, fp_bits: int) -> "Layout":
-        return cls(min(62, max(1, math.ceil(math.log2(max(2, rows)))) + fp_bits), max(0, math.ceil(math.log2(max(1, rows / BLOCK_KEYS)))))
+        """fp_bits as asked for; an error where they don't fit into a 63-bit value (20 bits: from 2**43 rows on)."""
+        bits = math.ceil(math.log2(max(2, rows))) + fp_bits
+        if bits > 63:
+            raise ValueError(f"{rows} rows leave {63 - bits + fp_bits} bits against false positives, not {fp_bits}")
+        return cls(bits, max(0, math.ceil(math.log2(max(1, rows / BLOCK_KEYS)))))
 
     @property
     def span_bits(self) -> int:
@@ -174,7 +178,9 @@ class SeenBefore:
         )
         answers = self.confirmed().agg(F.count_if("answer").alias("seen"), F.count_if(~F.col("answer")).alias("false_positives"))
         asked = self.records.agg(F.count(F.lit(1)).alias("asked"))
-        one = size.withColumn("_k", F.lit(1)).join(answers.withColumn("_k", F.lit(1)), "_k").join(asked.withColumn("_k", F.lit(1)), "_k").drop("_k")
+        # three rows with different columns, laid over each other
+        parts = size.unionByName(answers, allowMissingColumns=True).unionByName(asked, allowMissingColumns=True)
+        one = parts.agg(*[F.max(c).alias(c) for c in parts.columns])
         return one.select(
             "keys", "blocks", "set_bytes", "note_bytes", "asked", "seen", "false_positives",
             (F.col("set_bytes") * 8 / F.col("keys")).alias("bits_per_key"),

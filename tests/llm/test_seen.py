@@ -72,4 +72,6 @@ def test_edges(spark):
 
 
 def test_layout():
-    assert Layout.for_rows(0, 20).range_bits <= 62 and Layout.for_rows(10**15, 40).range_bits == 62
+    assert Layout.for_rows(0, 20).range_bits == 21 and Layout.for_rows(2**43, 20).range_bits == 63
+    with pytest.raises(ValueError):  # bits against false positives aren't taken away silently
+        Layout.for_rows(10**15, 40)
