@@ -21,7 +21,8 @@ def _strand(rows: int, rows_per_strand: int) -> Column:
 
 
 def copy_rates(sized: DataFrame, targets: DataFrame) -> DataFrame:
-    """(source, weight, max_repeats, tokens, rate): expected copies of each document of a source.
+    """(source, weight, max_repeats, tokens, largest, rate): a source's tokens, those of its largest document
+    and the expected copies of each of its documents.
 
     The mix is as large as it can be with exact shares: the scarcest source is used max_repeats
     times. A source without tokens can't reach its share and has rate 0; the others keep their
@@ -29,13 +30,13 @@ def copy_rates(sized: DataFrame, targets: DataFrame) -> DataFrame:
     twice counts with the sum of its weights and the lowest cap.
     """
     one = targets.where("source is not null").groupBy("source").agg(F.sum("weight").alias("weight"), F.min("max_repeats").alias("max_repeats"))
-    have = sized.groupBy("source").agg(F.sum("n_tokens").alias("tokens"))
-    t = one.join(have, "source", "left").withColumn("tokens", F.coalesce("tokens", F.lit(0)))
+    have = sized.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.max("n_tokens").alias("largest"))
+    t = one.join(have, "source", "left").fillna(0, ["tokens", "largest"])
     usable = (F.col("weight") > 0) & (F.col("max_repeats") > 0) & (F.col("tokens") > 0)
     room = F.when(usable, F.col("max_repeats") * F.col("tokens") / F.col("weight"))
     total = t.agg(F.min(room).alias("total")).scalar()
     rate = F.when(usable, F.least(total * F.col("weight") / F.col("tokens"), F.col("max_repeats").cast("double"))).otherwise(F.lit(0.0))
-    return t.select("source", "weight", "max_repeats", "tokens", F.coalesce(rate, F.lit(0.0)).alias("rate"))
+    return t.select("source", "weight", "max_repeats", "tokens", "largest", F.coalesce(rate, F.lit(0.0)).alias("rate"))
 
 
 def mix_sources(documents: DataFrame, targets: DataFrame, seed: int = 0, folder: str = TOKENIZER_DIR, rows_per_strand: int = 4_000_000) -> DataFrame:
@@ -72,4 +73,4 @@ def mix_shares(documents: DataFrame, targets: DataFrame, seed: int = 0, folder:
     got = mixed.groupBy("source").agg(F.sum("n_tokens").alias("mixed_tokens"), F.count(F.lit(1)).alias("mixed_documents"), F.max("copy_no").alias("most_copies"))
     r = copy_rates(sized, targets).join(got, "source", "left").fillna(0, ["mixed_tokens", "mixed_documents", "most_copies"])
     share = F.col("mixed_tokens") / F.sum("mixed_tokens").over(Window.partitionBy(F.lit(1)))
-    return r.select("source", "weight", "max_repeats", "tokens", "rate", "mixed_tokens", "mixed_documents", "most_copies", share.alias("share"))
+    return r.select("source", "weight", "max_repeats", "tokens", "largest", "rate", "mixed_tokens", "mixed_documents", "most_copies", share.alias("share"))
