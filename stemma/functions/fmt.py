@@ -7,11 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from stemma.functions.modes import S_IFMT
-
-# File types and their letters.
-TYPE_LETTERS = {0o040000: "d", 0o120000: "l", 0o010000: "p", 0o140000: "s", 0o060000: "b", 0o020000: "c"}
-NULL_MODE = "-" * 10
+from stemma.functions.modes import NULL_MODE, S_IFMT, TYPE_LETTERS
 
 
 def _bit(mode: Column, bit: int) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from stemma.functions.base58 import ALPHABET, MAX_ID
 from stemma.operators.copies import compare_mirrors, verify_report
@@ -28,6 +29,12 @@ def p3_load(spark: SparkSession, folder: str) -> DataFrame:
     return load_lines(table(spark, folder, "raw_lines")).where("valid").drop("valid", "reasons")
 
 
+def p3_columns(spark: SparkSession, folder: str) -> DataFrame:
+    """p3_load with its times as seconds."""
+    rows = p3_load(spark, folder)
+    return rows.withColumn("seconds", F.unix_seconds("ts")).drop("ts")
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return normalise_stamps(table(spark, folder, "scan_stamps"), table(spark, folder, "sites"))
 
@@ -36,7 +43,7 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return snapshot_changes(table(spark, folder, "manifests"), table(spark, folder, "entries"))
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_report, p3_found, p3_load, p5_found, p6_found)}
+QUERIES = {q.__name__: q for q in (p1_found, p1_report, p3_found, p3_load, p3_columns, p5_found, p6_found)}
 
 _LAST = """
   select * from (select e.*, row_number() over (partition by e.manifest_id, e.path order by e.ord desc) rn from {t} e
@@ -102,6 +109,24 @@ union all select line_id, 'size' from p where ok and f[3] <> '-' and not (regexp
 union all select line_id, 'c4id' from p where ok and id <> '-' and not {_ID_OK.format(x="id")}
 """
 
+_RAW = "{x}"
+for _mark, _char in (("'0'", "chr(0)"), ("'t'", "chr(9)"), ("'n'", "chr(10)"), ("'r'", "chr(13)"), ("chr(2)", "' '")):
+    _RAW = f"replace({_RAW}, chr(1) || {_mark}, {_char})"
+_RAW = f"replace({_RAW}, chr(1), '')"  # the other escaped characters stand for themselves
+_MODE_SQL = "+".join(
+    f"case when substr(f[1], {i + 2}, 1) = '{'rwx'[i % 3]}'" + (f" or substr(f[1], {i + 2}, 1) in ('s', 't')" if i % 3 == 2 else "") + f" then {0o400 >> i} else 0 end"
+    + (f" + case when lower(substr(f[1], {i + 2}, 1)) = '{'t' if i == 8 else 's'}' then {0o4000 >> (i // 3)} else 0 end" if i % 3 == 2 else "")
+    for i in range(9)
+)
+_AT = "epoch(strptime(substr(f[2], 1, 19), '%Y-%m-%dT%H:%M:%S'))::bigint"
+SQL["p3_columns"] = f"""
+with bad as ({SQL["p3_found"]}), {SQL["p3_found"].split("select line_id, 'columns'")[0].strip().removeprefix("with ")}
+select line_id, case when f[1] in ('-', '----------') then null else case f[1][1:1] when 'd' then 16384 when 'l' then 40960 when 'b' then 24576 when 'c' then 8192 when 'p' then 4096 when 's' then 49152 else 0 end + {_MODE_SQL} end as mode,
+  case when f[2] in ('-', '0') then null when f[2] like '%Z' then {_AT} else {_AT} - (case when substr(f[2], 20, 1) = '-' then -1 else 1 end) * (substr(f[2], 21, 2)::int * 3600 + substr(f[2], 24, 2)::int * 60) end as seconds,
+  case when f[3] = '-' then null else replace(f[3], ',', '')::bigint end as size, {_RAW.format(x="f[4]")} as name, case when len(f) = 7 then {_RAW.format(x="f[6]")} end as target, nullif(id, '-') as c4id
+from p where line_id not in (select line_id from bad)
+"""
+
 # Stamps in plain SQL: one pattern a notation, with the same named parts; then one conversion for all.
 _CLOCK = "([0-9]{1,2}):([0-9]{2})(?::([0-9]{2})(?:[.,]([0-9]+))?)?"
 _ZONE = "( ?[+-][0-9]{2}:?[0-9]{2}| ?[A-Za-z]| [A-Za-z]{2,5}| ?\\[[A-Za-z]{2,5}\\]| [A-Za-z]+(?:[/_+-][A-Za-z0-9]+)+| ?\\[[A-Za-z]+(?:[/_+-][A-Za-z0-9]+)+\\])?"

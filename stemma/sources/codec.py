@@ -15,13 +15,12 @@ from pyspark.sql import types as T
 from stemma.functions.base58 import LENGTH, digests_of, id_text as text_of_id, is_id, parse_id
 from stemma.functions.fmt import SEQUENCE, comma_size, format_mode, format_name, format_pretty_ts, format_target, line_without_id, tree_key
 from stemma.functions.ident import id_text
+from stemma.functions.modes import S_IFMT, TYPE_LETTERS, mode_bits
 from stemma.functions.names import raw_name
 from stemma.schema import ENTRY, known_digest, latest
 
 _UTC = dt.timezone.utc
 _EPOCH = dt.datetime(1970, 1, 1, tzinfo=_UTC)
-# File types by letter, as in mode strings; regular files get no type bit.
-_TYPES = {"-": 0, "d": 0o040000, "l": 0o120000, "p": 0o010000, "s": 0o140000, "b": 0o060000, "c": 0o020000}
 
 # A name ends after its slash, or before the blanks that a link, an ID or a lone dash follows.
 _STOP = r" +(?:c4.|-(?: |$))"
@@ -41,17 +40,9 @@ class BadManifest(ValueError):
 
 
 def mode_of(text: str) -> int | None:
-    if text in ("-", "-" * 10):
-        return None
-    if not _MODE.fullmatch(text):
+    if text != "-" and not _MODE.fullmatch(text):
         raise ValueError(f"bad mode {text!r}")
-    bits = _TYPES[text[0]]
-    for i, ch in enumerate(text[1:]):
-        if ch in "rwxst":
-            bits |= 0o400 >> i
-        if ch in "sStT":
-            bits |= 0o4000 >> (i // 3)
-    return bits
+    return mode_bits(text)
 
 
 def time_of(text: str) -> dt.datetime | None:
@@ -342,8 +333,7 @@ def _field(name: str, marks: str = ' "[]') -> str:
 
 @functools.lru_cache(maxsize=4096)
 def _mode_text(mode: int) -> str:
-    letter = {v: k for k, v in _TYPES.items() if v}.get(mode & 0o170000, "-")
-    out = [letter]
+    out = [TYPE_LETTERS.get(mode & S_IFMT, "-")]
     for who, (special, mark) in enumerate(((0o4000, "s"), (0o2000, "s"), (0o1000, "t"))):
         bits = mode >> (6 - 3 * who)
         out += ["r" if bits & 4 else "-", "w" if bits & 2 else "-"]
@@ -376,9 +366,12 @@ def natural_order(name: str) -> list:
     return [(1, "", int(x), len(x)) if x[0].isascii() and x[0].isdigit() else (0, x, 0, 0) for x in re.findall("[0-9]+|[^0-9]+", name)]
 
 
+# What a manifest can begin with: a mode's first letter, or an ID's.
+_FIRST = {bytes([x]) for x in b"-dlpsbcrw"}
+
+
 def looks_like_manifest(content: bytes) -> bool:
-    head = content.lstrip()[:91]
-    return bool(head) and (head[:1] in b"-dlpsbcrw")
+    return content.lstrip()[:1] in _FIRST
 
 
 def canonicalized(content: bytes, limit: int = 10_000_000) -> bytes | None:

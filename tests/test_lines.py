@@ -3,10 +3,11 @@
 import datetime as dt
 import random
 
+import pyarrow as pa
 import pytest
 
 from stemma.functions.base58 import MAX_ID, id_text
-from stemma.operators.lines import classify, diagnose, load_lines, rejected
+from stemma.operators.lines import diagnose, load_lines, parsed, rejected, strict_columns, suspects
 
 ID = id_text(bytes(range(64)))
 GOOD = f"-rw-r--r-- 2024-02-29T23:59:59Z 1,234 a\\ b.txt {ID}"
@@ -33,13 +34,23 @@ def test_reasons(line, want):
 def test_blocks_agree_with_single_lines():
     rng = random.Random(7)
     pool = [c for c, _ in CASES] + [GOOD] * 60 + ["two\nlines", GOOD + "\n" + GOOD]
-    for n in (0, 1, 31, 32, 33, 500):
+    for n in (0, 1, 31, 64, 65, 500):
         lines = [rng.choice(pool) for _ in range(n)]
-        good, told = classify(lines)
+        cells, read = parsed(pa.array(lines, pa.string()))
+        assert suspects(read) == [i for i in range(n) if not read[i]] == suspects(read, block=n or 1)
         for i, line in enumerate(lines):
-            assert good[i] == (diagnose(line) == [])
-            if not good[i]:
-                assert told[i] == diagnose(line)
+            if read[i]:  # only valid lines are read, and as the strict path reads them
+                assert diagnose(line) == []
+                want = strict_columns(line)
+                assert {k: v[i].cast(pa.int64()).as_py() if k == "ts" else v[i].as_py() for k, v in cells.items()} == want
+    assert parsed(pa.array([GOOD] * 3))[1].all()
+
+
+def test_days():
+    """The column parse and the strict pattern take the same days."""
+    days = [f"{y:04}-{m:02}-{d:02}T00:00:00Z" for y in (0, 1, 1900, 1999, 2000, 2024, 9999) for m in range(14) for d in range(33)]
+    read = parsed(pa.array([f"- {day} - x -" for day in days]))[1]
+    assert [bool(x) for x in read] == [diagnose(f"- {day} - x -") == [] for day in days]
 
 
 def test_columns(spark):
