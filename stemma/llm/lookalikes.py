@@ -119,6 +119,7 @@ def name_classes(entries: DataFrame) -> DataFrame:
     ascii_rows = ascii_rows.select("manifest_id", "parent", F.concat(F.coalesce("parent", F.lit("")), "name").alias("path"), "name", F.col("name").alias("form"))
     # ASCII control characters differ but don't count in a collation: forms with them are compared as they are
     members = odd.unionByName(ascii_rows).withColumn("controls", F.when(F.col("form").rlike(r"[\x00-\x1F\x7F]"), F.col("form")).otherwise(""))
+    members = written(members, "members")  # read twice; the names behind them are far more
     classes = spark.sql(
         r"""
         select manifest_id, parent, collate(form, 'UNICODE') as class_form, controls,
