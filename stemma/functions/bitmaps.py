@@ -66,6 +66,21 @@ class OrdinalBitmap:
     def andnot(self, other: "OrdinalBitmap") -> "OrdinalBitmap":
         return self._combine(other, False)
 
+    def dumps(self) -> bytes:
+        """Bytes to store: the number of containers, then each one's place, kind and members, then their contents."""
+        head = np.array([(k, c.dtype == np.uint8, len(c)) for k, c in sorted(self._c.items())], dtype=np.int32).reshape(-1, 3)
+        return np.int32(len(head)).tobytes() + head.tobytes() + b"".join(c.tobytes() for _, c in sorted(self._c.items()))
+
+    @classmethod
+    def loads(cls, raw: bytes) -> "OrdinalBitmap":
+        n = int(np.frombuffer(raw, np.int32, 1)[0])
+        at, out = 4 + 12 * n, {}
+        for k, dense, size in np.frombuffer(raw, np.int32, 3 * n, 4).reshape(-1, 3).tolist():
+            kind = np.uint8 if dense else np.uint16
+            out[k] = np.frombuffer(raw, kind, size, at)
+            at += out[k].nbytes
+        return cls(out)
+
     def ordinals(self) -> np.ndarray:
         if not self._c:
             return np.zeros(0, dtype=np.int64)

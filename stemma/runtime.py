@@ -56,23 +56,42 @@ def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Dat
     spark = df.sparkSession
     prepare(spark)
     path = os.path.join(shared_folder(spark), "stemma", f"{name}-{uuid.uuid4().hex}")
+    remove_at_exit(spark, path)
     df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
-    _tables.append(path)
-    atexit.register(_remove, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Has clear() delete a folder; it runs when the session stops or the process ends."""
+    if not _tables:
+        _clear_before_stop(spark)
+    _tables.append(path)
+
+
 def clear(spark: SparkSession) -> None:
-    """Deletes the tables this process wrote to the shared folder. Frames made from them can't be read any
-    more. At the end of the process those on a local or mounted file system go by themselves."""
+    """Deletes the tables this process wrote to the shared folder, through the file system that holds it.
+    Frames made from them can't be read any more."""
     while _tables:
         path = spark._jvm.org.apache.hadoop.fs.Path(_tables.pop())
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def _remove(path: str) -> None:
-    if path.startswith("file://"):
-        shutil.rmtree(path[len("file://"):], ignore_errors=True)
+def _clear_before_stop(spark: SparkSession) -> None:
+    context = spark.sparkContext
+    if getattr(context, "_stemma_clears", False):
+        return
+    stop = context.stop
+
+    def clearing_stop():
+        if context._jsc is not None:
+            try:
+                clear(spark)
+            except Exception:  # the JVM may be gone already
+                _tables.clear()
+        stop()
+
+    context.stop, context._stemma_clears = clearing_stop, True
+    atexit.register(clearing_stop)
 
 
 def ship(spark: SparkSession) -> None:

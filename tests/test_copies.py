@@ -2,11 +2,12 @@
 
 import datetime as dt
 import random
+import shutil
 
 import pytest
 
 from stemma.operators.copies import compare_mirrors, verify_report
-from stemma.operators.snapshots import snapshot_changes
+from stemma.operators.snapshots import SnapshotStore, snapshot_changes
 from stemma.schema import ENTRY
 
 T0 = dt.datetime(2024, 1, 1)
@@ -103,3 +104,36 @@ def test_snapshots_edges(spark):
     rows = frame(spark, [row("a", "p"), row("a", None), row("b", "p", 1), row("b", "p", 1), row("b", "p", 0, size=7), row("b", "q" * 100_000)])
     assert [(r.manifest_id, r.path[:1], r.status) for r in snapshot_changes(ms, rows).collect()] == [("b", "q", "added")]
     assert snapshot_changes(ms, rows.limit(0)).count() == 0 and snapshot_changes(ms.limit(0), rows).count() == 0
+
+
+def test_snapshots_one_by_one(spark, tmp_path):
+    """Each load reads the keys and the state of the listing before only, and ordinals stay."""
+    rng = random.Random(3)
+    names = [f"m{i}" for i in range(5)]
+    rows = random_rows(rng, names, 150)
+    registered = [(m, "t" if i < 4 else "u", i, False, "x") for i, m in enumerate(names)]
+    want = sorted(tuple(r) for r in snapshot_changes(manifests(spark, registered), frame(spark, rows), keys_per_bucket=20).collect())
+    store = SnapshotStore(spark, f"file://{tmp_path}/store")
+    got, ordinals = [], {}
+    for i in range(5):
+        so_far = manifests(spark, registered[: i + 1])
+        load = store.add(so_far, frame(spark, rows), keys_per_bucket=20)
+        got += [tuple(r) for r in store.changes(load).collect()]
+        for r in store.rows("key").collect():
+            assert ordinals.setdefault((r.tree, r.bucket, r.path), r.ordinal) == r.ordinal
+        assert len(set((t, b, o) for (t, b, _), o in ordinals.items())) == len(ordinals)
+        if i >= 1:  # states before the last one and old changes aren't needed any more
+            for kind in ("state", "change"):
+                shutil.rmtree(tmp_path / "store" / "loads" / f"load={i}" / f"kind={kind}", ignore_errors=True)
+        assert store.add(so_far, frame(spark, rows)) is None
+    assert sorted(got) == want
+    with pytest.raises(ValueError):
+        store.add(manifests(spark, [("late", "t", -1, False, "x"), *registered]), frame(spark, rows))
+
+
+def test_a_hot_path(spark):
+    """A row repeated in a third of all rows is combined before it is sent on."""
+    ms = manifests(spark, [("a", "t", 1, False, "x"), ("b", "t", 2, False, "x")])
+    rows = [row("a", f"p{i}") for i in range(2000)] + [row("a", "hot")] * 1000 + [row("b", "hot", size=3)] * 1000
+    got = snapshot_changes(ms, frame(spark, rows)).groupBy("status").count().collect()
+    assert {r.status: r["count"] for r in got} == {"removed": 2000, "modified": 1}
