@@ -1,11 +1,12 @@
 """Differences between two copies of a dataset, by a checksum matrix.
 
-Every key belongs to a bucket. For each bucket and column the matrix holds the sum, over the
-bucket's keys, of a 48-bit hash of (key, column, value), rows of the left copy counted with +1 and
-those of the right with -1. Sums are order-free and combine map-side; a cell that is zero means the
-copies agree there (a differing cell is taken for equal with probability 2**-48). Only buckets with
-a cell other than zero are read again, only in the columns that differ anywhere, and only those rows
-are compared value by value.
+Every key belongs to a bucket. For each bucket and column the matrix holds two sums, over the
+bucket's keys, of independent 56-bit hashes of (key, column, value), rows of the left copy counted with
++1 and those of the right with -1. Sums are order-free and combine map-side; a cell whose sums are both
+zero means the copies agree there (a differing cell is taken for equal with probability 2**-112; string
+and binary values are told apart by 64 bits a column before that). Only buckets with a cell other than
+zero are read again, only in the columns that differ anywhere, and only those rows are compared value
+by value.
 """
 
 from __future__ import annotations
@@ -65,14 +66,17 @@ def checksum_matrix(left: DataFrame, right: DataFrame, spec: CopySpec, n_buckets
     order = F.coalesce(F.col(spec.order), F.lit(-(2**62)))
     last = rows.groupBy("_bucket", "_side", *spec.keys).agg(*[F.max_by(f, order).alias(f) for f in spec.fields])
 
-    def cell(name: str, value: Column | None) -> Column:
-        parts = [F.col(k) for k in spec.keys] + [F.lit(name)] + ([value] if value is not None else [])
-        return F.sum(F.shiftright(F.xxhash64(*parts), 16) * F.col("_side")).alias(name)
+    key1, key2 = (F.xxhash64(F.lit(seed), *[F.col(k) for k in spec.keys]) for seed in (1, 2))
+    last = last.select("_bucket", "_side", *spec.fields, key1.alias("_k1"), key2.alias("_k2"))
+
+    def cell(name: str, value: Column | None) -> list[Column]:
+        of = [F.lit(name)] + ([value] if value is not None else [])
+        return [F.sum(F.shiftright(F.xxhash64(F.col(k), *of), 8) * F.col("_side")).alias(name + k) for k in ("_k1", "_k2")]
 
-    sums = last.groupBy("_bucket").agg(cell(_PRESENT, None), *[cell(f, F.col(f)) for f in spec.fields])
     names = [_PRESENT, *spec.fields]
-    differs = reduce(lambda a, b: a | b, [F.col(n) != 0 for n in names])
-    return sums.where(differs).select("_bucket", *[(F.col(n) != 0).alias(n) for n in names])
+    sums = last.groupBy("_bucket").agg(*cell(_PRESENT, None), *[c for f in spec.fields for c in cell(f, F.col(f))])
+    flags = {n: (F.col(n + "_k1") != 0) | (F.col(n + "_k2") != 0) for n in names}
+    return sums.where(reduce(lambda a, b: a | b, flags.values())).select("_bucket", *[flag.alias(n) for n, flag in flags.items()])
 
 
 def compare_copies(left: DataFrame, right: DataFrame, spec: CopySpec, rows_per_bucket: int = 8) -> DataFrame:
