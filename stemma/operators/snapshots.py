@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from stemma.functions.bitmaps import OrdinalBitmap
 from stemma.functions.modes import whole_seconds
-from stemma.runtime import remove_at_exit, shared_folder
+from stemma.runtime import remove_at_exit, shared_folder, written
 
 FIELDS = ("dh", "size", "ts")
 #: Rows among which a task combines those of one path before they are sent on.
@@ -64,7 +64,7 @@ def _combined(batches):
         tree = column("tree").dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
         pos = t["pos"].to_numpy().astype(np.int64)
         keep = _last_rows(column("path"), tree * (int(pos.max(initial=0)) + 1) + pos, t["ord"].to_numpy())
-        return (t if len(keep) == len(t) else t.take(pa.array(np.sort(keep)))).to_batches(max_chunksize=50_000)
+        return t.take(pa.array(keep)).to_batches(max_chunksize=50_000)  # rows of a path together, which packs well
 
     held, n = [], 0
     for b in batches:
@@ -182,7 +182,7 @@ class SnapshotStore:
         """(manifest_id, tree, pos, load) of the listings in the store."""
         return self._read("listed", "manifest_id string, tree string, pos int, load int")
 
-    def add(self, manifests: DataFrame, entries: DataFrame, keys_per_bucket: int = 60_000) -> int | None:
+    def add(self, manifests: DataFrame, entries: DataFrame, keys_per_bucket: int = 8_192) -> int | None:
         """Loads the listings that the store doesn't have; returns the number of the load, None if there are none.
 
         manifests: all listings registered so far, loaded ones included, as their order gives each its place. New
@@ -203,8 +203,9 @@ class SnapshotStore:
         trees = self._read("trees", "tree string, buckets int")
         new_trees = fresh.join(sizes, "manifest_id", "left").groupBy("tree").agg(F.greatest(F.lit(1), F.ceil(F.max("rows") / keys_per_bucket)).cast("int").alias("buckets"))
         new_trees.join(trees.select("tree"), "tree", "left_anti").write.mode("append").parquet(f"{self.folder}/trees")
-        of = fresh.join(self._read("trees", "tree string, buckets int"), "tree")
-        fresh.select("manifest_id", "tree", "pos", F.lit(n_load).alias("load")).write.mode("append").parquet(f"{self.folder}/listed")
+        # written, so that its size is known where it is joined
+        of = written(fresh.join(self._read("trees", "tree string, buckets int"), "tree"), "listings")
+        of.select("manifest_id", "tree", "pos", F.lit(n_load).alias("load")).write.mode("append").parquet(f"{self.folder}/listed")
         if self.listed().where(F.col("load") == n_load).isEmpty():
             return None
 
@@ -236,7 +237,7 @@ class SnapshotStore:
         return self.rows("change", load).select("manifest_id", "path", "status")
 
 
-def snapshot_changes(manifests: DataFrame, entries: DataFrame, keys_per_bucket: int = 60_000) -> DataFrame:
+def snapshot_changes(manifests: DataFrame, entries: DataFrame, keys_per_bucket: int = 8_192) -> DataFrame:
     """Rows (manifest_id, path, status) of every listing but the first of its tree.
 
     Null equals only null; times are compared in whole seconds, digests by a 64-bit hash of all their
