@@ -16,9 +16,9 @@ from stemma.runtime import written
 from stemma.schema import NIL
 
 
-def digest_of(content: Column) -> Column:
-    """SHA-512 of a binary or string column (strings as UTF-8), 64 bytes."""
-    return F.unhex(F.sha2(content.cast("binary"), 512))
+def digest_of(content: Column, bits: int = 512) -> Column:
+    """SHA-2 of a binary or string column (strings as UTF-8); IDs have 512 bits."""
+    return F.unhex(F.sha2(content.cast("binary"), bits))
 
 
 @F.pandas_udf(T.StringType())
@@ -58,20 +58,20 @@ def is_nil(digest: Column) -> Column:
     return digest == F.lit(NIL)
 
 
-def set_identity(members: DataFrame, *keys: str) -> DataFrame:
+def set_identity(members: DataFrame, *keys: str, bits: int = 512) -> DataFrame:
     """(keys..., tree_digest): identity of each group's set of digests, whatever their order and repeats.
 
     Sorted distinct digests are paired, each pair hashed smaller first, an odd last one carried over,
-    until one is left. The pairs of a level are groups of their own, so a set of any size spreads over
+    until one is left. bits: width of the hash; that of an ID unless another one is to be compared with. The pairs of a level are groups of their own, so a set of any size spreads over
     many tasks; sets are numbered once, slice by slice of the digest range.
     """
     if not keys:
-        return set_identity(members.withColumn("_all", F.lit(1)), "_all").drop("_all")
+        return set_identity(members.withColumn("_all", F.lit(1)), "_all", bits=bits).drop("_all")
     level = written(_numbered(members.where("digest is not null").select(*keys, "digest").distinct(), keys), "treeid")
     size = level.groupBy(*keys).agg(F.max("_n").alias("_n")).agg(F.max("_n")).first()[0] or 0
     while size > 1:
         pair = level.groupBy(*keys, F.floor((F.col("_n") - 1) / 2).alias("_p")).agg(F.min("digest").alias("a"), F.max("digest").alias("b"), F.count(F.lit(1)).alias("c"))
-        level = written(pair.select(*keys, F.when(F.col("c") == 1, F.col("a")).otherwise(F.unhex(F.sha2(F.concat("a", "b"), 512))).alias("digest"), (F.col("_p") + 1).alias("_n")), "treeid")
+        level = written(pair.select(*keys, F.when(F.col("c") == 1, F.col("a")).otherwise(digest_of(F.concat("a", "b"), bits)).alias("digest"), (F.col("_p") + 1).alias("_n")), "treeid")
         size = -(-size // 2)
     return level.select(*keys, F.col("digest").alias("tree_digest"))
 
@@ -102,8 +102,8 @@ def tree_digest(digests: list[bytes]) -> bytes:
     return level[0]
 
 
-def streamed_sha512(rows: DataFrame, keys: list[str], order: list[str], line: str) -> DataFrame:
-    """(keys..., digest): SHA-512 over each group's lines, in order, each followed by a line feed.
+def streamed_hash(rows: DataFrame, keys: list[str], order: list[str], line: str, bits: int = 512) -> DataFrame:
+    """(keys..., digest): SHA-2 over each group's lines, in order, each followed by a line feed.
 
     A group is one sequential hash by definition, but never held: rows are sorted on disk and fed to
     the hash batch by batch.
@@ -121,7 +121,7 @@ def streamed_sha512(rows: DataFrame, keys: list[str], order: list[str], line: st
                     if h is not None:
                         out_keys.append(current)
                         out.append(h.digest())
-                    current, h = row[:-1], hashlib.sha512()
+                    current, h = row[:-1], hashlib.new(f"sha{bits}")
                 h.update(row[-1].encode() + b"\n")
             if out:
                 yield _keyed(out_keys, out)

@@ -110,14 +110,16 @@ def plain_rollup(rows):
     return sizes, {p: r["digest"] for p, r in rows.items()}
 
 
-def test_rollup_against_recursion(spark):
+@pytest.mark.parametrize("rows_per_task", [rollup.ROWS_PER_TASK, 5])
+def test_rollup_against_recursion(spark, rows_per_task):
+    """Manifests taken whole by a task, and larger ones in rounds, give the same."""
     from tests.test_codec import random_text
 
     rng = random.Random(11)
     many = [random_text(rng) for _ in range(12)] + [SAMPLE, "drwxr-xr-x - - only/ -\n"]
     e = load(spark, *many).cache()
-    filled = rollup.roll_up(e)
-    ids = rollup.directory_ids(filled)
+    filled = rollup.roll_up(e, rows_per_task=rows_per_task)
+    ids = rollup.directory_ids(filled, rows_per_task=rows_per_task)
     sizes_got = {(r.manifest_id, r.path): (r.size, r.ts and r.ts.replace(tzinfo=dt.timezone.utc)) for r in filled.collect()}
     ids_got = {(r.manifest_id, r.path): r.digest and bytes(r.digest) for r in ids.collect()}
     for i, text in enumerate(many):
