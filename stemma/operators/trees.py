@@ -181,10 +181,10 @@ def store_missing(entries: DataFrame, stored: DataFrame) -> DataFrame:
 def pool_counts(entries: DataFrame, stored: DataFrame) -> DataFrame:
     """(manifest_id, copied, skipped, missing) of exporting each manifest's content to an empty folder.
 
-    Rows of one digest are counted before the join, so a frequent digest is one row of it.
+    Directories don't count. Rows of one digest are counted before the join, so a frequent digest is one row of it.
     """
-    want = entries.where(known_digest(F.col("digest"))).groupBy("manifest_id", "digest").agg(F.count(F.lit(1)).alias("n"))
+    want = entries.where(~is_dir() & known_digest(F.col("digest"))).groupBy("manifest_id", "digest").agg(F.count(F.lit(1)).alias("n"))
     s = want.join(stored.where(known_digest(F.col("digest"))).select("digest").distinct().withColumn("_s", F.lit(True)), "digest", "left")
     return s.groupBy("manifest_id").agg(
-        F.count("_s").alias("copied"), F.coalesce(F.sum(F.when(F.col("_s"), F.col("n") - 1)), F.lit(0)).alias("skipped"), F.count_if(F.col("_s").isNull()).alias("missing")
+        F.count("_s").alias("copied"), F.coalesce(F.sum(F.when(F.col("_s"), F.col("n") - 1)), F.lit(0)).alias("skipped"), F.coalesce(F.sum(F.when(F.col("_s").isNull(), F.col("n"))), F.lit(0)).alias("missing")
     )

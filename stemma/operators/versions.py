@@ -182,11 +182,13 @@ def resolve_chain(entries: DataFrame, upto: int | None = None) -> DataFrame:
 
 
 def log_chain(entries: DataFrame) -> DataFrame:
-    """(manifest_id, index, added, removed, modified, is_base, entry_count) per section, index from 1."""
-    state, out = entries.where("section_idx = 0"), None
+    """(manifest_id, index, added, removed, modified, is_base, entry_count, digest) per section, index from 1.
+    digest: ID of the manifest in this version."""
+    state, out = entries.where("section_idx = 0").withColumns({"depth": path_depth(F.col("path")), "parent": parent_path(F.col("path"))}), None
     for k in sections(entries):
         if k == 0:
             log = state.groupBy("manifest_id").agg(F.countDistinct("path").alias("entry_count"))
+            of = state.select("manifest_id").distinct()
             log = log.select("manifest_id", F.lit(1).alias("index"), F.col("entry_count").alias("added"), F.lit(0).cast("long").alias("removed"), F.lit(0).cast("long").alias("modified"), F.lit(True).alias("is_base"), "entry_count")
         else:
             here = entries.where(F.col("section_idx") == k)
@@ -202,6 +204,7 @@ def log_chain(entries: DataFrame) -> DataFrame:
                 F.count("new").alias("entry_count"),
             )
             state = after
+        log = log.join(manifest_ids(state.join(of, "manifest_id", "left_semi")), "manifest_id", "left")
         out = log if out is None else out.unionByName(log)
     return out
 

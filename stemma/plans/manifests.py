@@ -342,7 +342,7 @@ def _log_step(index: int, old: str, new: str) -> str:
 
 @query(_STATES + "select mid as manifest_id, 1 as index, count(*) as added, 0 as removed, 0 as modified, true as is_base, count(*) as entry_count from o0 group by mid" + _log_step(2, "o0", "s1") + _log_step(3, "s1", "s2"))
 def log_chain(spark, folder):
-    return versions.log_chain(_chain(spark, folder))
+    return versions.log_chain(_chain(spark, folder)).drop("digest")
 
 
 _MEQ = "case when coalesce(l.path, r.path, b.path) like '%/' then coalesce({x}.flow_direction, '') = coalesce({y}.flow_direction, '') and coalesce({x}.flow_target, '') = coalesce({y}.flow_target, '') when coalesce(({x}.mode & 61440) = 40960, false) and coalesce(({y}.mode & 61440) = 40960, false) then coalesce({x}.target, '') = coalesce({y}.target, '') else {x}.digest is not distinct from {y}.digest end"
@@ -458,9 +458,9 @@ def store_missing(spark, folder):
     return trees.store_missing(_entries(spark, folder), table(spark, folder, "arrivals").where("actual is not null").select(F.col("actual").alias("digest")))
 
 
-@query("""with w as (select manifest_id, digest, count(*) as n from entries where digest is not null and digest <> unhex(repeat('00', 64)) group by all),
+@query("""with w as (select manifest_id, digest, count(*) as n from entries where digest is not null and digest <> unhex(repeat('00', 64)) and not (coalesce(name like '%/', false) or coalesce((mode & 61440) = 16384, false)) group by all),
   s as (select distinct actual as digest from arrivals where actual is not null)
-  select manifest_id, count(s.digest) as copied, coalesce(sum(case when s.digest is not null then n - 1 end), 0)::bigint as skipped, count(*) filter (where s.digest is null) as missing from w left join s on w.digest = s.digest group by manifest_id""")
+  select manifest_id, count(s.digest) as copied, coalesce(sum(case when s.digest is not null then n - 1 end), 0)::bigint as skipped, coalesce(sum(case when s.digest is null then n end), 0)::bigint as missing from w left join s on w.digest = s.digest group by manifest_id""")
 def pool_counts(spark, folder):
     return trees.pool_counts(_entries(spark, folder), table(spark, folder, "arrivals").select(F.col("actual").alias("digest")))
 

@@ -255,23 +255,22 @@ def dumps(entries: DataFrame, pretty: bool = False) -> str:
     return "".join(r.line + "\n" for r in lines.toLocalIterator())
 
 
-def write_texts(entries: DataFrame, folder: str, pretty: bool = False) -> DataFrame:
-    """One text file a manifest in a folder all executors share; returns (manifest_id, file, lines, bytes).
+def write_files(lines: DataFrame, folder: str, ending: str, head: str = "") -> DataFrame:
+    """One text file a manifest of (manifest_id, line) rows in a folder all executors share; returns
+    (manifest_id, file, lines, bytes). Rows must be partitioned by manifest and sorted.
 
-    Rows are sorted on disk and written as they come, so a manifest of any size passes through. A file is
-    written under another name and renamed, so a repeated task leaves whole files.
+    Lines are written as they come, so a manifest of any size passes through. A file is written under
+    another name and renamed, so a repeated task leaves whole files.
     """
     import os
     import uuid
 
-    lines = (pretty_lines if pretty else entry_lines)(entries).where("section_idx = 0")
-
     def run(batches):
         current, f, n, size, tmp = None, None, 0, 0, ""
 
         def close():
             f.close()
-            final = os.path.join(folder, current.replace("/", "_") + ".c4m")
+            final = os.path.join(folder, current.replace("/", "_") + ending)
             os.replace(tmp, final)
             return pa.RecordBatch.from_pydict({"manifest_id": [current], "file": [final], "lines": [n], "bytes": [size]})
 
@@ -280,8 +279,9 @@ def write_texts(entries: DataFrame, folder: str, pretty: bool = False) -> DataFr
                 if manifest_id != current:
                     if f:
                         yield close()
-                    current, n, size, tmp = manifest_id, 0, 0, os.path.join(folder, f".{uuid.uuid4().hex}.part")
+                    current, n, size, tmp = manifest_id, 0, len(head.encode()), os.path.join(folder, f".{uuid.uuid4().hex}.part")
                     f = open(tmp, "wb")  # noqa: SIM115
+                    f.write(head.encode())
                 data = line.encode() + b"\n"
                 f.write(data)
                 n, size = n + 1, size + len(data)
@@ -289,8 +289,14 @@ def write_texts(entries: DataFrame, folder: str, pretty: bool = False) -> DataFr
             yield close()
 
     os.makedirs(folder, exist_ok=True)
+    return lines.select("manifest_id", "line").mapInArrow(run, "manifest_id string, file string, lines long, bytes long")
+
+
+def write_texts(entries: DataFrame, folder: str, pretty: bool = False) -> DataFrame:
+    """write_files of the bases of manifests."""
+    lines = (pretty_lines if pretty else entry_lines)(entries).where("section_idx = 0")
     placed = lines.select("manifest_id", "path", "line").repartition("manifest_id")  # a path is far shorter than its key
-    return placed.sortWithinPartitions("manifest_id", tree_key(F.col("path"))).select("manifest_id", "line").mapInArrow(run, "manifest_id string, file string, lines long, bytes long")
+    return write_files(placed.sortWithinPartitions("manifest_id", tree_key(F.col("path"))), folder, ".c4m")
 
 
 def read_texts(spark, path: str) -> DataFrame:

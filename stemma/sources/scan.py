@@ -14,6 +14,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from stemma.operators.rollup import scan_metadata
 
 FORMAT = "stemma_scan"
+#: Largest file whose content fits into a row.
+CONTENT_LIMIT = 2_000_000_000
 SCHEMA = "path string, name string, parent string, depth int, is_dir boolean, mode int, ts timestamp, size long, digest binary, target string, file string"
 
 
@@ -41,6 +43,7 @@ class _Reader(DataSourceReader):
         self.ids = options.get("computeids", "true").lower() == "true"
         self.hidden = options.get("hidden", "false").lower() == "true"
         self.follow = options.get("followsymlinks", "false").lower() == "true"
+        self.contents = options.get("contents", "false").lower() == "true"
         self.per_task = int(options.get("folderspertask", "64"))
         if not os.path.isdir(self.root):
             raise ValueError(f"{self.root} is no directory")
@@ -73,22 +76,41 @@ class _Reader(DataSourceReader):
                     continue
                 link, folder_row = stat.S_ISLNK(st.st_mode), stat.S_ISDIR(st.st_mode)
                 slash = "/" if folder_row else ""
-                digest = digest_of_file(file) if self.ids and not folder_row and os.path.isfile(file) else None
+                digest, content = None, ()
+                if self.contents:
+                    digest, *content = self._read_once(file) if stat.S_ISREG(st.st_mode) or (link and os.path.isfile(file)) else (None, None)
+                elif self.ids and not folder_row and os.path.isfile(file):
+                    digest = digest_of_file(file)
                 yield (
                     parent + name + slash, name + slash, parent or None, parent.count("/"), folder_row, st.st_mode,
-                    dt.datetime.fromtimestamp(int(st.st_mtime), dt.timezone.utc), None if folder_row else st.st_size, digest, os.readlink(file).replace("\\", "/") if link else None, file,
+                    dt.datetime.fromtimestamp(int(st.st_mtime), dt.timezone.utc), None if folder_row else st.st_size, digest, os.readlink(file).replace("\\", "/") if link else None, file, *content,
                 )
 
+    @staticmethod
+    def _read_once(file: str) -> tuple[bytes | None, bytes | None]:
+        """(digest, content as it is identified)."""
+        from stemma.sources.codec import identified
+
+        if os.path.getsize(file) > CONTENT_LIMIT:
+            raise ValueError(f"{file} is too large for the store")
+        try:
+            with open(file, "rb") as f:
+                content = identified(f.read(), file)
+        except OSError:
+            return None, None
+        return hashlib.sha512(content).digest(), content
+
 
 class ScanSource(DataSource):
-    """format("stemma_scan"), options path, computeIds, hidden, followSymlinks, foldersPerTask."""
+    """format("stemma_scan"), options path, computeIds, hidden, followSymlinks, foldersPerTask, and contents,
+    which adds the column content."""
 
     @classmethod
     def name(cls) -> str:
         return FORMAT
 
     def schema(self) -> str:
-        return SCHEMA
+        return SCHEMA + (", content binary" if {k.lower(): v for k, v in self.options.items()}.get("contents") == "true" else "")
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader({k.lower(): v for k, v in self.options.items()})
@@ -107,11 +129,25 @@ def scan_rows(spark: SparkSession, path: str, **options) -> DataFrame:
 def scan(spark: SparkSession, path: str, manifest_id: str | None = None, compute_ids: bool = True, follow_symlinks: bool = False) -> DataFrame:
     """Manifest rows of a tree. Names starting with a dot are left out, with all below."""
     rows = scan_rows(spark, path, computeIds=compute_ids, followSymlinks=follow_symlinks)
-    full = rows.select(
-        F.lit(manifest_id or os.path.basename(os.path.abspath(path))).alias("manifest_id"), F.lit(0).alias("section_idx"), F.lit(0).cast("long").alias("ord"), "path", "parent", "name", "depth", "is_dir", "mode", "ts", "size", "digest", "target",
+    full = as_entries(rows, manifest_id or os.path.basename(os.path.abspath(path)))
+    return scan_metadata(full) if compute_ids else full
+
+
+def scan_and_store(spark: SparkSession, path: str, store, manifest_id: str) -> DataFrame:
+    """scan() that adds the contents to a store. Every file is read once, for both."""
+    from stemma.runtime import written
+
+    rows = written(scan_rows(spark, path, contents=True), "scan")
+    store.put(rows.select("content", "digest"), identified=True)
+    return scan_metadata(as_entries(rows, manifest_id))
+
+
+def as_entries(rows: DataFrame, manifest_id: str) -> DataFrame:
+    """Manifest rows of what scan_rows gives."""
+    return rows.select(
+        F.lit(manifest_id).alias("manifest_id"), F.lit(0).alias("section_idx"), F.lit(0).cast("long").alias("ord"), "path", "parent", "name", "depth", "is_dir", "mode", "ts", "size", "digest", "target",
         F.lit(0).alias("hard_link"), F.lit("").alias("flow_direction"), F.lit(None).cast("string").alias("flow_target"), F.lit(False).alias("is_sequence"), F.lit(None).cast("string").alias("pattern"),
     )
-    return scan_metadata(full) if compute_ids else full
 
 
 def identify_files(spark: SparkSession, files: list[str], tasks: int | None = None) -> DataFrame:

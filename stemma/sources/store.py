@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import configparser
 import os
-import shlex
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemma.functions.base58 import is_id, parse_id
 from stemma.functions.ident import digest_of
+from stemma.schema import known_digest, latest
 from stemma.sources.codec import identified_bytes
 
 CONFIG = "~/.stemma.ini"
@@ -44,17 +43,23 @@ class BlobStore:
         """Digests only; content isn't read."""
         return self.table().select("prefix", "digest").distinct()
 
-    def put(self, contents: DataFrame) -> DataFrame:
+    def put(self, contents: DataFrame, identified: bool = False) -> DataFrame:
         """Adds the contents (content) that the store lacks; returns (digest, size) of the added ones.
 
         Manifests are stored in canonical form. Repeated contents are added once. Null isn't content. A column
-        path names the files, so that contents get the digests that scan gives them.
+        path names the files, so that contents get the digests that scan gives them. identified: the contents
+        are in that form already, with their digest.
         """
         from stemma.runtime import written
 
-        path = F.col("path") if "path" in contents.columns else F.lit(None).cast("string")
-        rows = contents.where("content is not null").select(identified_bytes("content", path).alias("content"))
-        rows = rows.withColumn("digest", digest_of(F.col("content"))).withColumn("prefix", F.lower(F.hex(F.substring("digest", 1, 1))))
+        rows = contents.where("content is not null")
+        if not identified:
+            path = F.col("path") if "path" in contents.columns else F.lit(None).cast("string")
+            # plain content stays in the JVM; only what can begin a manifest is looked into
+            likely = F.decode(F.substring("content", 1, 200), "ISO-8859-1").rlike(r"^[ \t\n\x0B\f\r]*([-dlpsbcrw]|$)")
+            rows = rows.select(F.when(likely, identified_bytes("content", path)).otherwise(F.col("content")).alias("content"))
+            rows = rows.withColumn("digest", digest_of(F.col("content")))
+        rows = rows.select("content", "digest").withColumn("prefix", F.lower(F.hex(F.substring("digest", 1, 1))))
         # written first, so that what is reported is what was added
         new = written(rows.dropDuplicates(["digest"]).join(self.digests(), ["prefix", "digest"], "left_anti"), "put")
         new.select("digest", "content", F.length("content").cast("long").alias("size"), "prefix").write.mode("append").partitionBy("prefix").parquet(self.folder)
@@ -79,69 +84,118 @@ class BlobStore:
         w = wanted.where("digest is not null").select("digest").distinct().withColumn("prefix", F.lower(F.hex(F.substring("digest", 1, 1))))
         return w.join(self.digests(), ["prefix", "digest"], "left_anti").select("digest")
 
-    # --- bundles: folders of files named by ID
+    # --- bundles: folders with the contents named by ID, the manifests and a script for each
 
-    def export(self, entries: DataFrame, folder: str) -> DataFrame:
-        """Writes the content of entries to ``folder``, one file an ID; returns (copied, skipped, missing).
+    def export(self, entries: DataFrame, folder: str, leaf: int | None = None) -> DataFrame:
+        """Writes the contents of files to ``folder``, one file an ID; returns (copied, skipped, missing).
 
-        skipped: rows whose ID repeats or whose file is there. The folder must be shared by the executors.
+        Directories and rows without an ID or with that of nothing don't count. skipped: rows whose ID repeats
+        or whose file is there. leaf: files go below folders named by pairs of the ID's characters, as many as
+        leave at most so many files in one. The folder must be shared by the executors.
         """
+        from stemma.functions.ident import id_text, try_digest
+        from stemma.operators.manifest import is_dir
+        from stemma.runtime import written
+
         os.makedirs(folder, exist_ok=True)
-        there = {f for f in os.listdir(folder) if is_id(f)}
-        spark = self.spark
-        want = entries.where("digest is not null").groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
-        have = spark.createDataFrame([(parse_id(f),) for f in there], "digest binary").withColumn("_there", F.lit(True))
+        want = entries.where(~is_dir() & known_digest(F.col("digest"))).groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
+        have = self._named_files(folder).select(try_digest("named").alias("digest")).where("digest is not null").distinct().withColumn("_there", F.lit(True))
         state = want.join(have, "digest", "left").join(self.digests().select("digest").withColumn("_stored", F.lit(True)), "digest", "left")
-        state = state.select("digest", "n", F.coalesce("_there", F.lit(False)).alias("there"), F.coalesce("_stored", F.lit(False)).alias("stored")).cache()
-        todo = state.where("stored and not there")
+        state = state.select("digest", "n", F.coalesce("_there", F.lit(False)).alias("there"), F.coalesce("_stored", F.lit(False)).alias("stored"))
+        state = written(state.withColumn("id", id_text("digest")), "export")
+        todo = written(_placed(state.where("stored and not there").select("digest", "id"), leaf), "placed")
 
         def run(batches):
-            from stemma.functions.base58 import id_text
-
             for b in batches:
-                for digest, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    _write_whole(os.path.join(folder, id_text(digest)), content)
+                for place, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    file = os.path.join(folder, place)
+                    os.makedirs(os.path.dirname(file), exist_ok=True)
+                    _write_whole(file, content)
                 yield pa.RecordBatch.from_pydict({"n": pa.array([len(b)], pa.int64())})
 
-        self.get(todo).mapInArrow(run, "n long").agg(F.sum("n")).first()
-        counts = state.agg(
+        self.get(todo).join(todo, "digest").select("place", "content").mapInArrow(run, "n long").agg(F.sum("n")).first()
+        return state.agg(
             F.count_if(F.expr("stored and not there")).alias("copied"),
             F.coalesce(F.sum(F.when(F.col("there"), F.col("n")).when(F.col("stored"), F.col("n") - 1)), F.lit(0)).alias("skipped"),
-            F.count_if(F.expr("not stored and not there")).alias("missing"),
+            F.coalesce(F.sum(F.when(~F.col("stored") & ~F.col("there"), F.col("n"))), F.lit(0)).alias("missing"),
         )
-        result = spark.createDataFrame(counts.collect(), counts.schema)
-        state.unpersist()
-        return result
 
-    def extraction_script(self, entries: DataFrame) -> str:
-        """Shell script that copies a bundle's contents to the paths of a manifest, for use without this package."""
-        from stemma.functions.ident import id_text
-        from stemma.operators.manifest import is_dir
+    def _named_files(self, folder: str) -> DataFrame:
+        """(path, named) of the files below a folder that are named like an ID."""
+        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load("file://" + os.path.abspath(folder))
+        return files.withColumn("named", F.regexp_extract("path", "([^/]+)$", 1)).where(F.col("named").rlike("^c4[1-9A-HJ-NP-Za-km-z]{88}$"))
+
+    def bundle(self, entries: DataFrame, folder: str, leaf: int | None = 4096) -> DataFrame:
+        """export() to ``folder``/store, with the manifests and for each a script that copies the contents to
+        their places, for use without this package; returns the counts of export."""
+        from stemma.sources.codec import write_files, write_texts
 
-        rows = entries.select(F.col("path"), is_dir().alias("dir"), F.when(F.col("digest").isNotNull(), id_text("digest")).alias("id")).orderBy("path")
-        lines = ["#!/bin/sh", "set -e", 'from=$(dirname "$0")', 'to=${1:-.}']
-        for r in rows.toLocalIterator():
-            target = '"$to"/' + shlex.quote(r.path)
-            if r.dir:
-                lines.append(f"mkdir -p {target}")
-            elif r.id:
-                lines += [f'mkdir -p "$(dirname {target})"', f'cp "$from"/{r.id} {target}']
-        return "\n".join(lines) + "\n"
+        counts = self.export(entries, os.path.join(folder, "store"), leaf)
+        write_texts(entries, folder).agg(F.sum("lines")).first()
+        write_files(script_lines(entries), folder, ".sh", SCRIPT_HEAD).agg(F.sum("lines")).first()
+        return counts
 
     def ingest(self, folder: str) -> DataFrame:
-        """Adds files named by ID whose content has that ID; returns (copied, skipped, rejected)."""
-        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-        name = F.regexp_extract("path", "([^/]+)$", 1)
+        """Adds files named by ID whose content has that ID; returns (copied, skipped, rejected, manifests), the
+        last the names of the manifests that lie beside them (see codec.read_texts)."""
         from stemma.functions.ident import try_digest
 
-        rows = files.where(name.rlike("^c4[1-9A-HJ-NP-Za-km-z]{88}$")).select(try_digest(name).alias("named"), "content", "path")
+        rows = self._named_files(folder).select(try_digest("named").alias("named"), "content", "path")
         # named by its bytes as they are: a file without the ending; else the file it was can have had it
         rows = rows.withColumn("path", F.when(digest_of(F.col("content")) == F.col("named"), F.col("path")))
         checked = rows.withColumn("own", digest_of(identified_bytes("content", "path")))
         good = checked.where("named <=> own")
         n_good, n_all = good.count(), checked.count()
         copied = self.put(good.select("content", "path")).count()
-        return self.spark.createDataFrame([(copied, n_good - copied, n_all - n_good)], "copied long, skipped long, rejected long")
+        texts = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.c4m").load("file://" + os.path.abspath(folder))
+        names = texts.agg(F.sort_array(F.collect_set(F.regexp_extract("path", "([^/]+)$", 1))).alias("manifests"))
+        return names.select(F.lit(copied).cast("long").alias("copied"), F.lit(n_good - copied).cast("long").alias("skipped"), F.lit(n_all - n_good).cast("long").alias("rejected"), "manifests")
+
+
+def _placed(ids: DataFrame, leaf: int | None) -> DataFrame:
+    """(digest, place): place of each ID's file, below as many folders as it takes."""
+    if leaf is None:
+        return ids.select("digest", F.col("id").alias("place"))
+    depth, levels, n = F.lit(0), [], ids.count()
+    while n > leaf:  # a level divides by about 3364 after the first one, which all IDs share
+        k = 2 * len(levels) + 2
+        level = ids.groupBy(F.substring("id", 1, k - 2).alias(f"_p{k}")).agg(F.count(F.lit(1)).alias(f"_n{k}"))
+        n = level.agg(F.max(f"_n{k}")).first()[0]
+        if n > leaf:
+            levels.append((k, level))
+    for k, level in levels:
+        ids = ids.withColumn(f"_p{k}", F.substring("id", 1, k - 2)).join(level, f"_p{k}").drop(f"_p{k}")
+        depth = F.when(F.col(f"_n{k}") > leaf, k).otherwise(depth)
+    folders = F.when(depth == 0, "").otherwise(F.regexp_replace(F.substring("id", F.lit(1), depth), "(..)", "$1/"))
+    return ids.select("digest", F.concat(folders, "id").alias("place"))
+
+
+SCRIPT_HEAD = """#!/bin/sh
+# Copies the contents in store/ to their places below a folder, by default this one.
+set -e
+from=$(dirname "$0")/store
+to=${1:-.}
+put() {  # ID, place: follows the folders named by pairs of the ID's characters as far as there are any
+  dir=$from rest=$1
+  while pair=$(printf %.2s "$rest"); [ -n "$pair" ] && [ -d "$dir/$pair" ]; do dir=$dir/$pair rest=${rest#??}; done
+  mkdir -p "$(dirname "$2")"
+  if [ -f "$dir/$1" ]; then cp "$dir/$1" "$2"; else echo "no content for $2" >&2; fi
+}
+"""
+
+
+def script_lines(entries: DataFrame) -> DataFrame:
+    """(manifest_id, line): commands of the extraction scripts, partitioned by manifest, by path."""
+    from stemma.functions.ident import id_text
+    from stemma.operators.manifest import is_dir
+
+    quoted = F.concat(F.lit("'"), F.replace("path", F.lit("'"), F.lit("'\"'\"'")), F.lit("'"))
+    target = F.concat(F.lit('"$to"/'), quoted)
+    text = id_text("digest")
+    copy = F.concat(F.lit("put "), text, F.lit(" "), target)
+    line = F.when(is_dir(), F.concat(F.lit("mkdir -p "), target)).when(known_digest(F.col("digest")), copy)
+    rows = latest(entries).select("manifest_id", "path", line.alias("line")).where("line is not null")
+    return rows.repartition("manifest_id").sortWithinPartitions("manifest_id", "path")
 
 
 def _write_whole(file: str, content: bytes) -> None:

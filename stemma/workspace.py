@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from stemma.operators.trees import STATE_FILES, reconcile
 from stemma.operators.versions import diff
 from stemma.sources.codec import decode, dumps
-from stemma.sources.scan import scan
+from stemma.sources.scan import scan, scan_and_store
 from stemma.sources.store import BlobStore
 
 
@@ -57,9 +57,7 @@ class Workspace:
     def snapshot(self, store_content: bool = True) -> DataFrame:
         """Manifest of the directory as it is; its contents go to the store."""
         if store_content and self.store:
-            files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load("file://" + self.folder)
-            shown = files.where(~F.substring("path", len("file:" + self.folder) + 2, 2**31 - 1).rlike(r"(^|/)\."))
-            self.store.put(shown.select("content", "path"))
+            return scan_and_store(self.spark, self.folder, self.store, "current")
         return scan(self.spark, self.folder, manifest_id="current")
 
     def reset(self) -> dict:

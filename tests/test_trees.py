@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from stemma.functions.base58 import id_text
 from stemma.operators import trees
+from stemma.sources.codec import decode, read_texts
 from stemma.sources.scan import identify_files, scan, verify_file
 from stemma.sources.store import BlobStore, ContentNotFound, open_store
 from stemma.streaming.incremental import fill_store
@@ -98,8 +99,8 @@ def test_bundles(spark, tmp_path):
     assert tuple(s.export(m, str(out)).first()) == (0, 7, 1)
     t = BlobStore(spark, "file://" + str(tmp_path / "other"))
     (out / id_text(sha(b"liar"))).write_bytes(b"truth")
-    assert tuple(t.ingest(str(out)).first()) == (6, 0, 1)
-    assert tuple(t.ingest(str(out)).first()) == (0, 6, 1)
+    assert tuple(t.ingest(str(out)).first()) == (6, 0, 1, [])
+    assert tuple(t.ingest(str(out)).first()) == (0, 6, 1, [])
     counts = trees.pool_counts(m, s.digests().select("digest")).first()
     assert (counts.copied, counts.skipped, counts.missing) == (6, 1, 1)
 
@@ -118,9 +119,13 @@ def test_extraction_script(spark, tmp_path):
     m = scan(spark, str(root)).cache()
     s = BlobStore(spark, "file://" + str(tmp_path / "store"))
     s.put(contents(spark, b"1", b"2"))
-    s.export(m.where("not is_dir"), str(tmp_path / "bundle"))
-    (tmp_path / "bundle/extract.sh").write_text(s.extraction_script(m))
-    subprocess.run(["sh", str(tmp_path / "bundle/extract.sh"), str(tmp_path / "out")], check=True, timeout=60)
+    assert tuple(s.bundle(m, str(tmp_path / "bundle"), leaf=1).first()) == (2, 0, 0)  # directories don't count
+    placed = [p.relative_to(tmp_path / "bundle/store").as_posix() for p in (tmp_path / "bundle/store").rglob("c4*") if p.is_file()]
+    assert all(p.replace("/", "") == i[: len(p) - 90 - p.count("/")] + i for p in placed for i in [p[-90:]]) and all("/" in p for p in placed)
+    assert decode(read_texts(spark, str(tmp_path / "bundle"))).count() == 3
+    subprocess.run(["sh", str(tmp_path / "bundle/t.sh"), str(tmp_path / "out")], check=True, timeout=60)
+    t = BlobStore(spark, "file://" + str(tmp_path / "other"))
+    assert tuple(t.ingest(str(tmp_path / "bundle")).first()) == (2, 0, 0, ["t.c4m"])
     assert (tmp_path / "out/a b/it's").read_bytes() == b"1" and (tmp_path / "out/c").read_bytes() == b"2"
 
 
@@ -196,10 +201,10 @@ def test_large_manifests_have_one_digest(spark, tmp_path):
     out = tmp_path / "bundle"
     assert tuple(w.store.export(listed, str(out)).first()) == (3, 0, 0)
     t = BlobStore(spark, "file://" + str(tmp_path / "other"))
-    assert tuple(t.ingest(str(out)).first()) == (3, 0, 0) and t.missing(listed).count() == 0
+    assert tuple(t.ingest(str(out)).first()) == (3, 0, 0, []) and t.missing(listed).count() == 0
     (out / id_text(sha(canonical))).write_bytes(large)  # the file as it was, under its ID
     u = BlobStore(spark, "file://" + str(tmp_path / "third"))
-    assert tuple(u.ingest(str(out)).first()) == (3, 0, 0) and u.get_one(sha(canonical)) == canonical
+    assert tuple(u.ingest(str(out)).first()) == (3, 0, 0, []) and u.get_one(sha(canonical)) == canonical
     s = BlobStore(spark, "file://" + str(tmp_path / "unnamed"))
     s.put(contents(spark, large))
     assert s.has(sha(canonical))
