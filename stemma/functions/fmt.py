@@ -37,7 +37,7 @@ def parse_mode(text: Column) -> Column:
         mark = "t" if who == 2 else "s"
         total = total + F.when(r == "r", 4 << shift).otherwise(0) + F.when(w == "w", 2 << shift).otherwise(0)
         total = total + F.when(x == "x", 1 << shift).when(x == mark, (1 << shift) | special).when(x == mark.upper(), special).otherwise(0)
-    valid = text.rlike("^[-dlpsbc](?:[r-][w-][xsS-]){2}[r-][w-][xtT-]$") & (text != NULL_MODE)
+    valid = text.rlike("^[-dlpsbc](?:[r-][w-][xsS-]){2}[r-][w-][xtT-]\\z") & (text != NULL_MODE)
     return F.when(valid, total)
 
 
@@ -53,7 +53,7 @@ def format_pretty_ts(ts: Column) -> Column:
 
 def parse_ts(text: Column) -> Column:
     """Timestamp of a field: with Z, with an offset, or in the pretty form with UTC or GMT; else null."""
-    pretty = F.regexp_replace(F.regexp_replace(text, " +", " "), " (UTC|GMT)$", "")
+    pretty = F.regexp_replace(F.regexp_replace(text, " +", " "), r" (UTC|GMT)\z", "")
     return F.coalesce(
         F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mm:ssXXX")),
         F.when(text.rlike("^[A-Z][a-z]{2} "), F.try_to_timestamp(pretty, F.lit("MMM d HH:mm:ss yyyy"))),
@@ -110,7 +110,7 @@ def safe_name(raw: Column) -> Column:
     """
     hidden = raw.rlike(_HIDDEN_RUN)
     pieces = F.regexp_extract_all(raw, F.lit(rf"(?s)({_HIDDEN_RUN}|(?:(?!{_HIDDEN_RUN}).)+)"), F.lit(1))
-    spelt = F.when(hidden, F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(f"^{_HIDDEN_RUN}$"), _braille(p)).otherwise(p)), "")).otherwise(raw)
+    spelt = F.when(hidden, F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(rf"^{_HIDDEN_RUN}\z"), _braille(p)).otherwise(p)), "")).otherwise(raw)
     escaped = F.replace(spelt, F.lit("\\"), F.lit("\\\\"))
     for ch, code in (("\x00", "\\0"), ("\t", "\\t"), ("\n", "\\n"), ("\r", "\\r")):
         escaped = F.replace(escaped, F.lit(ch), F.lit(code))
@@ -128,7 +128,7 @@ def is_sequence(raw: Column) -> Column:
 
 def format_name(name: Column, sequence: Column) -> Column:
     """Name field: printable and escaped; a directory's slash and a sequence's first range stay."""
-    base, slash = F.regexp_replace(name, "/$", ""), F.when(name.endswith("/"), "/").otherwise("")
+    base, slash = F.regexp_replace(name, r"/\z", ""), F.when(name.endswith("/"), "/").otherwise("")
     usual = F.concat(escape_field(safe_name(base)), slash)
     before = F.regexp_extract(name, rf"(?s)^(.*?){SEQUENCE}", 1)
     span = F.regexp_extract(name, f"({SEQUENCE})", 1)

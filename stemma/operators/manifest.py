@@ -106,7 +106,7 @@ def glob_pattern(glob: str) -> str:
             i = end + 1
         else:
             out += re.escape(ch)
-    return out + "$"
+    return out + r"\z"
 
 
 def matches(glob: str) -> Column:

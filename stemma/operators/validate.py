@@ -19,7 +19,7 @@ def _issue(when: Column, severity: str, code: str, message: str) -> Column:
 
 def row_rules() -> list[Column]:
     """Issues that a row shows by itself."""
-    name, base = F.col("name"), F.regexp_replace("name", "/$", "")
+    name, base = F.col("name"), F.regexp_replace("name", r"/\z", "")
     kind = F.col("mode").bitwiseAND(F.lit(S_IFMT))
     return [
         _issue(name.isNull() | (name == ""), ERROR, "name_empty", "the name is empty"),
@@ -88,6 +88,6 @@ def id_string_messages(text: Column) -> Column:
     from stemma.functions.base58 import ALPHABET, LENGTH, MAX_ID
 
     shape = F.when(F.length(text) != LENGTH, F.lit("the length isn't 90")), F.when(~text.startswith("c4"), F.lit("it doesn't start with c4"))
-    digits = F.when(~F.substring(text, 3, 2**31 - 1).rlike(f"^[{ALPHABET}]*$"), F.lit("it holds a character that is no base58 digit"))
+    digits = F.when(~F.substring(text, 3, 2**31 - 1).rlike(rf"^[{ALPHABET}]*\z"), F.lit("it holds a character that is no base58 digit"))
     big = F.when((F.length(text) == LENGTH) & text.startswith("c4") & (text > MAX_ID), F.lit("its value is above 512 bits"))
     return F.when(text == "-", F.array().cast("array<string>")).otherwise(F.array_compact(F.array(*shape, digits, big)))

@@ -196,11 +196,6 @@ def human_size(spark, folder):
     return M.summary(_entries(spark, folder)).select("manifest_id", "human_total")
 
 
-@query()
-def summary_text(spark, folder):
-    return M.summary_text(_entries(spark, folder))
-
-
 _DUP = """select manifest_id, digest, count(*) as copies, arg_min(path, {'o': ord, 'p': path}) as first_path, max(size) * (count(*) - 1) as wasted
   from entries where digest is not null and digest <> unhex(repeat('00', 64)) group by manifest_id, digest having count(*) > 1"""
 
@@ -518,11 +513,6 @@ def depth_jumps(spark, folder):
     return validate.depth_jump_issues(_entries(spark, folder)).select("manifest_id", "line", "code")
 
 
-@query()
-def validate_issues(spark, folder):
-    return validate.validate(_entries(spark, folder)).groupBy("manifest_id", "severity", "code").agg(F.count(F.lit(1)).alias("n"))
-
-
 # --- fields
 
 

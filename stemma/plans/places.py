@@ -1 +1,7 @@
 """x"""
+import os, uuid
+from stemma.runtime import remove_at_exit, shared_folder
+def work_folder(spark, name):
+    path = os.path.join(shared_folder(spark).removeprefix("file://"), "stemma", f"{name}-{uuid.uuid4().hex}")
+    remove_at_exit(spark, "file://" + path)
+    return path

@@ -18,7 +18,7 @@ NIL = bytes(64)
 
 def display_path(path: Column) -> Column:
     """Path without the slash that marks a directory."""
-    return F.regexp_replace(path, "/+$", "")
+    return F.regexp_replace(path, r"/+\z", "")
 
 
 def path_depth(path: Column) -> Column:
@@ -28,17 +28,17 @@ def path_depth(path: Column) -> Column:
 
 def entry_name(path: Column) -> Column:
     """Last component, with its slash if it is a directory."""
-    return F.regexp_extract(path, "([^/]*/?)$", 1)
+    return F.regexp_extract(path, r"([^/]*/?)\z", 1)
 
 
 def parent_path(path: Column) -> Column:
     """Path of the directory above with its slash, null at the top."""
-    return F.nullif(F.regexp_extract(path, "(?s)^(.*/)?[^/]+/?$", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(path, r"(?s)^(.*/)?[^/]+/?\z", 1), F.lit(""))
 
 
 def conflict_path(path: Column) -> Column:
     """Path under which the losing row of a conflict is kept."""
-    return F.regexp_replace(path, r"(?s)^(.*?)(/?)$", "$1.conflict$2")
+    return F.regexp_replace(path, r"(?s)^(.*?)(/?)\z", "$1.conflict$2")
 
 
 def components(path: Column) -> Column:

@@ -123,7 +123,7 @@ class BlobStore:
     def _named_files(self, folder: str) -> DataFrame:
         """(path, named) of the files below a folder that are named like an ID."""
         files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load("file://" + os.path.abspath(folder))
-        return files.withColumn("named", F.regexp_extract("path", "([^/]+)$", 1)).where(F.col("named").rlike("^c4[1-9A-HJ-NP-Za-km-z]{88}$"))
+        return files.withColumn("named", F.regexp_extract("path", "([^/]+)$", 1)).where(F.col("named").rlike(r"^c4[1-9A-HJ-NP-Za-km-z]{88}\z"))
 
     def bundle(self, entries: DataFrame, folder: str, leaf: int | None = 4096) -> DataFrame:
         """export() to ``folder``/store, with the manifests and for each a script that copies the contents to
