@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stemma.functions.base58 import digests_of, encode_digests, parse_id
+from stemma.functions.base58 import id_text as text_of_one
 from stemma.runtime import written
 from stemma.schema import NIL
 

@@ -42,6 +42,14 @@ def compare_content(expected: DataFrame, actual: DataFrame) -> DataFrame:
     return b.select("path", status.alias("status"), "expected", "actual")
 
 
+def expected_status(expected: DataFrame, actual: DataFrame) -> DataFrame:
+    """(manifest_id, path, status) of expected files: pending (not there), corrupt or there; for a file expected
+    without an ID being there is enough."""
+    a = actual.select("manifest_id", "path", F.col("digest").alias("_found"), F.lit(True).alias("_a"))
+    status = F.when(F.col("_a").isNull(), "pending").when(F.col("digest").isNull() | (F.col("digest").eqNullSafe(F.col("_found"))), "there").otherwise("corrupt")
+    return expected.join(a, ["manifest_id", "path"], "left").select("manifest_id", "path", status.alias("status"))
+
+
 def verify_tree(spark: SparkSession, entries: DataFrame, folder: str) -> DataFrame:
     """(path, status, expected, actual) of a manifest's files against a folder.
 

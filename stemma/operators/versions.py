@@ -181,9 +181,9 @@ def resolve_chain(entries: DataFrame, upto: int | None = None) -> DataFrame:
     return out
 
 
-def log_chain(entries: DataFrame) -> DataFrame:
+def log_chain(entries: DataFrame, bits: int = 512) -> DataFrame:
     """(manifest_id, index, added, removed, modified, is_base, entry_count, digest) per section, index from 1.
-    digest: ID of the manifest in this version."""
+    digest: ID of the manifest in this version. bits: width of its hash, if not that of IDs."""
     state, out = entries.where("section_idx = 0").withColumns({"depth": path_depth(F.col("path")), "parent": parent_path(F.col("path"))}), None
     for k in sections(entries):
         if k == 0:
@@ -204,7 +204,7 @@ def log_chain(entries: DataFrame) -> DataFrame:
                 F.count("new").alias("entry_count"),
             )
             state = after
-        log = log.join(manifest_ids(state.join(of, "manifest_id", "left_semi")), "manifest_id", "left")
+        log = log.join(manifest_ids(state.join(of, "manifest_id", "left_semi"), bits), "manifest_id", "left")
         out = log if out is None else out.unionByName(log)
     return out
 

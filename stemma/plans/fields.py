@@ -12,7 +12,7 @@ from stemma.functions import fmt, ident, names
 from stemma.functions.base58 import ALPHABET, MAX_ID
 from stemma.operators import manifest as M
 from stemma.operators import rollup, validate, versions
-from stemma.plans.manifests import _BESIDE, _BITS, _IDENT, _KEPT, _PARTS, _entries, _versions, query
+from stemma.plans.manifests import _BESIDE, _BITS, _IDENT, _KEPT, _PARTS, _chain, _entries, _versions, query
 from stemma.runtime import table, written
 from stemma.schema import entry_name, latest, path_depth
 from stemma.sources import codec
@@ -71,6 +71,19 @@ def id_texts(spark, folder):
     return d.select(ident.hex_text(F.col("digest")).alias("digest"), ident.id_text("digest").alias("id"))
 
 
+@query("select doc_id, 90 as length, true as same from documents")
+def content_ids(spark, folder):
+    """ID of every post's text, read back and compared with the digest that the workers' own library gives."""
+    import hashlib
+
+    @F.pandas_udf("binary")
+    def hashed(text):
+        return text.map(lambda t: hashlib.sha512((t or "").encode()).digest())
+
+    d = table(spark, folder, "documents").select("doc_id", ident.id_text(ident.digest_of(F.coalesce("text", F.lit("")))).alias("id"), hashed("text").alias("_own"))
+    return d.select("doc_id", F.length("id").alias("length"), ident.id_digest("id").eqNullSafe(F.col("_own")).alias("same"))
+
+
 _PLANTED = "\t\x01\x02¤\n[\\\x7f"
 _PLANTED_SQL = "chr(9) || chr(1) || chr(2) || '¤' || chr(10) || '[' || chr(92) || chr(127)"
 
@@ -342,3 +355,14 @@ def directory_hashes_sha256(spark, folder):
 def manifest_hashes_sha256(spark, folder):
     """Every manifest's hash, by the construction of manifest IDs on SHA-256."""
     return rollup.manifest_ids(_entries(spark, folder), bits=256).select("manifest_id", ident.hex_text(F.col("digest")).alias("id"))
+
+
+@query(
+    f"with recursive {_rolled_sql(False, 'null')}, t as (select *, {_KEY} as key, min(depth) over (partition by manifest_id) as top from u where lvl = -1),"
+    f" h as (select manifest_id, sha256(string_agg({BARE_LINE} || ' ' || coalesce({_HEX}, '-') || chr(10), '' order by is_d, key)) as id from t where depth = top group by manifest_id)"
+    " select p.manifest_id, h.id, (select count(*) from {LAST} e where e.manifest_id = p.prev2) as entry_count from {PAIRS} p join h on h.manifest_id = p.prev2 where p.prev2 is not null"
+)
+def chain_base_hashes_sha256(spark, folder):
+    """The hash that a chain's log gives its first version, for all chains of three listings."""
+    log = versions.log_chain(_chain(spark, folder), bits=256).where("is_base")
+    return log.select("manifest_id", ident.hex_text(F.col("digest")).alias("id"), "entry_count")

@@ -87,12 +87,6 @@ def _changes(spark: SparkSession, folder: str) -> DataFrame:
 
 # --- identity
 
-@query()
-def identify_contents(spark, folder):
-    """ID of every document's text."""
-    return table(spark, folder, "documents").select("doc_id", ident.id_text(ident.digest_of(F.coalesce("text", F.lit("")))).alias("id"))
-
-
 @query("select count(distinct digest) as ids, count(distinct digest) as same from entries where digest is not null")
 def id_roundtrip(spark, folder):
     d = _entries(spark, folder).where("digest is not null").select("digest").distinct()
@@ -347,7 +341,7 @@ _MERGE = f"""(select coalesce(l.mid, r.mid, b.mid) as manifest_id, coalesce(l.pa
   when l.path is not null and r.path is not null then case when {_E("b", "l")} and {_E("b", "r")} then 'take_base' when {_E("b", "r")} then 'take_local' when {_E("b", "l")} then 'take_remote' when {_E("l", "r")} then 'take_local' else 'conflict' end
   when l.path is not null then case when {_E("b", "l")} then 'deleted' else 'conflict' end
   when r.path is not null then case when {_E("b", "r")} then 'deleted' else 'conflict' end else 'deleted' end as outcome,
-  l.path is not null and r.path is not null as two, coalesce(r.ts, timestamptz '1970-01-01 00:00:00+00') > coalesce(l.ts, timestamptz '1970-01-01 00:00:00+00') as remote_later
+  l.path is not null and r.path is not null as two, l.size as l_size, r.size as r_size, b.size as b_size, l.digest as l_digest, r.digest as r_digest, b.digest as b_digest, coalesce(r.ts, timestamptz '1970-01-01 00:00:00+00') > coalesce(l.ts, timestamptz '1970-01-01 00:00:00+00') as remote_later
   from (select p.manifest_id as mid, e.* from {{PAIRS}} p join {{LAST}} e on e.manifest_id = p.manifest_id where p.prev2 is not null) l
   full outer join (select p.manifest_id as mid, e.* from {{PAIRS}} p join {{LAST}} e on e.manifest_id = p.prev where p.prev2 is not null) r on l.mid = r.mid and l.path = r.path
   full outer join (select p.manifest_id as mid, e.* from {{PAIRS}} p join {{LAST}} e on e.manifest_id = p.prev2 where p.prev2 is not null) b on coalesce(l.mid, r.mid) = b.mid and coalesce(l.path, r.path) = b.path)"""
@@ -366,14 +360,20 @@ def merge_conflicts(spark, folder):
     return versions.merge(base, local, remote)[1].select("manifest_id", "path")
 
 
+# What a merged row holds: the side an outcome takes; in a conflict the later one, or the one that is left.
+_WON = "case outcome when 'take_base' then b_{c} when 'take_local' then l_{c} when 'take_remote' then r_{c} else case when not two then coalesce(l_{c}, r_{c}) when remote_later then r_{c} else l_{c} end end"
+
+
 @query(
-    f"select manifest_id, path from {_MERGE} where outcome <> 'deleted' union all"
-    f" select manifest_id, case when path like '%/' then rtrim(path, '/') || '.conflict/' else path || '.conflict' end from {_MERGE} where outcome = 'conflict' and two"
-    f" union all select manifest_id, path from (select distinct manifest_id, unnest(list_transform(range(1, len(regexp_extract_all(path, '[^/]+/')) + 1), lambda i: array_to_string(regexp_extract_all(path, '[^/]+/')[1:i], ''))) as path from {_MERGE} where outcome <> 'deleted') a where path is not null and not exists (select 1 from {_MERGE} m where m.outcome <> 'deleted' and m.manifest_id = a.manifest_id and m.path = a.path)"
+    f"select manifest_id, path, {_WON.replace('{c}', 'size')} as size, {_WON.replace('{c}', 'digest')} as digest from {_MERGE} where outcome <> 'deleted' union all"
+    f" select manifest_id, case when path like '%/' then rtrim(path, '/') || '.conflict/' else path || '.conflict' end, case when remote_later then l_size else r_size end, case when remote_later then l_digest else r_digest end from {_MERGE} where outcome = 'conflict' and two"
+    f" union all select manifest_id, path, null, null from (select distinct manifest_id, unnest(list_transform(range(1, len(regexp_extract_all(path, '[^/]+/')) + 1), lambda i: array_to_string(regexp_extract_all(path, '[^/]+/')[1:i], ''))) as path from {_MERGE} where outcome <> 'deleted') a where path is not null and not exists (select 1 from {_MERGE} m where m.outcome <> 'deleted' and m.manifest_id = a.manifest_id and m.path = a.path)",
+    hexed=("digest",),
 )
 def merge_three_way(spark, folder):
+    """The merged rows with what the winning side holds."""
     local, remote, base = _versions(spark, folder, 2)
-    return versions.merge(base, local, remote)[0].select("manifest_id", "path")
+    return versions.merge(base, local, remote)[0].select("manifest_id", "path", "size", "digest")
 
 
 @query("select coalesce(n.mid, o.mid) as manifest_id, coalesce(n.path, o.path) as path, case when o.path is null then 'take_local' when n.path is null then 'take_remote' when " + _E("l", "r").replace("l.", "n.").replace("r.", "o.").replace("coalesce(n.path, o.path, b.path)", "n.path") + f" then 'take_local' else 'conflict' end as outcome {_BESIDE}")
@@ -411,6 +411,26 @@ def leakage(spark, folder):
     return a.join(b, "digest")
 
 
+@query("""with a as (select distinct digest from entries where digest is not null and digest <> unhex(repeat('00', 64)) and manifest_id in (select manifest_id from manifests where mirrored)),
+  b as (select distinct digest from entries where digest is not null and digest <> unhex(repeat('00', 64)) and manifest_id not in (select manifest_id from manifests where mirrored))
+  select count(*) as ids, count(*) filter (where digest in (select digest from b)) as shared, round(100.0 * count(*) filter (where digest in (select digest from b)) / count(*), 3) as percent from a""")
+def leakage_share(spark, folder):
+    """Share of the mirrored manifests' IDs that others hold as well."""
+    m = table(spark, folder, "manifests").where("mirrored").select("manifest_id").distinct()
+    e = _entries(spark, folder).where(known_digest(F.col("digest"))).select("manifest_id", "digest")
+    sides = e.join(m.withColumn("_m", F.lit(1)), "manifest_id", "left").groupBy("digest").agg(F.count("_m").alias("a"), F.count_if(F.col("_m").isNull()).alias("b")).where("a > 0")
+    return sides.agg(F.count(F.lit(1)).alias("ids"), F.count_if(F.col("b") > 0).alias("shared")).withColumn("percent", F.round(100.0 * F.col("shared") / F.col("ids"), 3))
+
+
+@query("""select e.manifest_id, e.path, case when a.path is null then 'pending' when e.digest is null or e.digest is not distinct from a.digest then 'there' else 'corrupt' end as status
+  from (select * from {LAST} where path not like '%/' and not coalesce((mode & 61440) = 16384, false) and manifest_id in (select manifest_id from manifests where mirrored)) e left join {MLAST} a on e.manifest_id = a.manifest_id and e.path = a.path""")
+def expected_by_path(spark, folder):
+    """Every file that the mirrored manifests expect: whether the second place has it, and the right content."""
+    m = table(spark, folder, "manifests").where("mirrored").select("manifest_id").distinct()
+    side = lambda t: latest(table(spark, folder, t).select("manifest_id", "path", "name", "mode", "ord", "digest").join(m, "manifest_id", "left_semi"))
+    return trees.expected_status(M.files(side("entries")), side("mirror_entries"))
+
+
 @query("select distinct digest from entries where digest is not null intersect select distinct digest from mirror_entries where digest is not null", hexed=("digest",))
 def intersect_by_content(spark, folder):
     d = lambda t: table(spark, folder, t).where("digest is not null").select("digest")
@@ -432,7 +452,7 @@ def verify_report(spark, folder):
   t as (select * from {LAST} where manifest_id in (select manifest_id from manifests where mirrored) and (path like '%/' or digest is not null)), p as (select * from {MLAST} where manifest_id in (select manifest_id from manifests where mirrored)),
   j as (select coalesce(t.manifest_id, p.manifest_id) as manifest_id, coalesce(t.path, p.path) as path, t.path is not null as is_t, p.path is not null as is_p, t.digest as td, p.digest as pd, t.digest is not null and s.digest is null as lacking
     from t full outer join p on t.manifest_id = p.manifest_id and t.path = p.path left join stored s on s.digest = t.digest)
-  select manifest_id, path, type from (select *, case when is_t and path like '%/' then case when not is_p then 'mkdir' end when is_t and is_p and td is not distinct from pd then null
+  select manifest_id, path, type, case type when 'mkdir' then 0 when 'create' then 1 when 'update' then 2 when 'remove' then 3 when 'rmdir' then 4 end as phase, length(regexp_replace(path, '[^/]', '', 'g')) as depth from (select *, case when is_t and path like '%/' then case when not is_p then 'mkdir' end when is_t and is_p and td is not distinct from pd then null
     when is_t and lacking then 'missing' when is_t then case when not is_p then 'create' else 'update' end when path like '%/' then 'rmdir' else 'remove' end as type from j) where type is not null""")
 def reconcile_plan(spark, folder):
     """What would turn the second place into the mirrored manifests, with the arrived content as the store."""
@@ -445,7 +465,7 @@ def reconcile_plan(spark, folder):
     target = side("entries").where("is_dir or digest is not null")
     stored = table(spark, folder, "arrivals").where("actual is not null").select(F.col("actual").alias("digest"))
     plan = trees.reconcile_plan(target, side("mirror_entries"), stored)
-    return plan.select(F.substring_index("path", ":", 1).alias("manifest_id"), F.expr("substring(path, instr(path, ':') + 1)").alias("path"), "type")
+    return plan.select(F.substring_index("path", ":", 1).alias("manifest_id"), F.expr("substring(path, instr(path, ':') + 1)").alias("path"), "type", "phase", "depth")
 
 
 @query("select distinct digest from entries where digest is not null and digest <> unhex(repeat('00', 64)) and digest not in (select actual from arrivals where actual is not null)", hexed=("digest",))
@@ -474,14 +494,6 @@ def expected_status(spark, folder):
 # --- rollups
 
 
-@query()
-def dir_rollup(spark, folder):
-    """Size and time of every directory with those it states left out."""
-    d = _entries(spark, folder)
-    bare = d.withColumn("size", F.when(~F.col("path").endswith("/"), F.col("size"))).withColumn("ts", F.when(~F.col("path").endswith("/"), F.col("ts")))
-    return rollup.roll_up(bare).where(F.col("path").endswith("/")).select("manifest_id", "path", "size", "ts")
-
-
 @query()
 def directory_ids(spark, folder):
     return rollup.directory_ids(_entries(spark, folder)).where(F.col("path").endswith("/")).select("manifest_id", "path", ident.id_text("digest").alias("id"))
@@ -539,23 +551,6 @@ def parse_mode(spark, folder):
     return _entries(spark, folder).select("mode").distinct().select("mode", fmt.parse_mode(fmt.format_mode(F.col("mode"))).alias("parsed"))
 
 
-@query(r"select distinct name, regexp_replace(name, '([ \"\[\]])', '\\\1', 'g') as escaped from entries")
-def escape_name(spark, folder):
-    return _entries(spark, folder).select("name").distinct().select("name", fmt.escape_field(F.col("name")).alias("escaped"))
-
-
-@query("select count(distinct name) as names, count(distinct name) as same from entries")
-def safe_name_roundtrip(spark, folder):
-    n = _entries(spark, folder).select("name").distinct().withColumn("safe", fmt.safe_name(F.col("name"))).withColumn("back", names.unsafe_name("safe"))
-    return n.agg(F.count("name").alias("names"), F.count_if(F.col("back") == F.col("name")).alias("same"))
-
-
-@query("select count(*) as lines, count(*) filter (where digest is not null and digest <> unhex(repeat('00', 64))) as with_id from {LAST}")
-def format_line(spark, folder):
-    lines = codec.entry_lines(_entries(spark, folder))
-    return lines.agg(F.count("line").alias("lines"), F.count_if(F.col("line").rlike(" c4[1-9A-HJ-NP-Za-km-z]{88}$")).alias("with_id"))
-
-
 def _read_back(spark, folder):
     """Rows of every manifest written as a whole text and decoded again.
 

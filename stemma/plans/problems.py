@@ -26,13 +26,9 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_load(spark: SparkSession, folder: str) -> DataFrame:
-    return load_lines(table(spark, folder, "raw_lines")).where("valid").drop("valid", "reasons")
-
-
-def p3_columns(spark: SparkSession, folder: str) -> DataFrame:
-    """p3_load with its times as seconds."""
-    rows = p3_load(spark, folder)
-    return rows.withColumn("seconds", F.unix_seconds("ts")).drop("ts")
+    """The valid lines; ts in seconds since 1970-01-01 UTC."""
+    rows = load_lines(table(spark, folder, "raw_lines")).where("valid").drop("valid", "reasons")
+    return rows.withColumn("ts", F.unix_seconds("ts"))
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -43,7 +39,7 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return snapshot_changes(table(spark, folder, "manifests"), table(spark, folder, "entries"))
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_report, p3_found, p3_load, p3_columns, p5_found, p6_found)}
+QUERIES = {q.__name__: q for q in (p1_found, p1_report, p3_found, p3_load, p5_found, p6_found)}
 
 _LAST = """
   select * from (select e.*, row_number() over (partition by e.manifest_id, e.path order by e.ord desc) rn from {t} e
@@ -119,10 +115,10 @@ _MODE_SQL = "+".join(
     for i in range(9)
 )
 _AT = "epoch(strptime(substr(f[2], 1, 19), '%Y-%m-%dT%H:%M:%S'))::bigint"
-SQL["p3_columns"] = f"""
+SQL["p3_load"] = f"""
 with bad as ({SQL["p3_found"]}), {SQL["p3_found"].split("select line_id, 'columns'")[0].strip().removeprefix("with ")}
 select line_id, case when f[1] in ('-', '----------') then null else case f[1][1:1] when 'd' then 16384 when 'l' then 40960 when 'b' then 24576 when 'c' then 8192 when 'p' then 4096 when 's' then 49152 else 0 end + {_MODE_SQL} end as mode,
-  case when f[2] in ('-', '0') then null when f[2] like '%Z' then {_AT} else {_AT} - (case when substr(f[2], 20, 1) = '-' then -1 else 1 end) * (substr(f[2], 21, 2)::int * 3600 + substr(f[2], 24, 2)::int * 60) end as seconds,
+  case when f[2] in ('-', '0') then null when f[2] like '%Z' then {_AT} else {_AT} - (case when substr(f[2], 20, 1) = '-' then -1 else 1 end) * (substr(f[2], 21, 2)::int * 3600 + substr(f[2], 24, 2)::int * 60) end as ts,
   case when f[3] = '-' then null else replace(f[3], ',', '')::bigint end as size, {_RAW.format(x="f[4]")} as name, case when len(f) = 7 then {_RAW.format(x="f[6]")} end as target, nullif(id, '-') as c4id
 from p where line_id not in (select line_id from bad)
 """

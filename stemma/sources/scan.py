@@ -150,14 +150,17 @@ def as_entries(rows: DataFrame, manifest_id: str) -> DataFrame:
     )
 
 
-def identify_files(spark: SparkSession, files: list[str], tasks: int | None = None) -> DataFrame:
-    """(file, digest) of files by name; null for one that can't be read. Large files are read in pieces."""
+def identify_files(spark: SparkSession, files: list[str] | DataFrame, tasks: int | None = None) -> DataFrame:
+    """(file, digest) of files by name, a list or a frame (file); null for one that can't be read. Large files
+    are read in pieces."""
     import pyarrow as pa
 
     def run(batches):
         for b in batches:
             yield pa.RecordBatch.from_pydict({"file": b.column(0), "digest": pa.array([digest_of_file(f) for f in b.column(0).to_pylist()], pa.binary())})
 
+    if isinstance(files, DataFrame):
+        return files.select("file").mapInArrow(run, "file string, digest binary")
     named = spark.createDataFrame([(os.path.realpath(f),) for f in files], "file string")
     return named.repartition(tasks or max(1, min(len(files), spark.sparkContext.defaultParallelism))).mapInArrow(run, "file string, digest binary")
 

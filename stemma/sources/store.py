@@ -121,9 +121,11 @@ class BlobStore:
         )
 
     def _named_files(self, folder: str) -> DataFrame:
-        """(path, named) of the files below a folder that are named like an ID."""
-        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load("file://" + os.path.abspath(folder))
-        return files.withColumn("named", F.regexp_extract("path", "([^/]+)$", 1)).where(F.col("named").rlike(r"^c4[1-9A-HJ-NP-Za-km-z]{88}\z"))
+        """(path, named) of the files below a folder that are named like an ID, empty ones among them."""
+        from stemma.sources.scan import scan_rows
+
+        files = scan_rows(self.spark, folder, computeIds=False).where("not is_dir").select(F.col("file").alias("path"), F.col("name").alias("named"))
+        return files.where(F.col("named").rlike(r"^c4[1-9A-HJ-NP-Za-km-z]{88}\z"))
 
     def bundle(self, entries: DataFrame, folder: str, leaf: int | None = 4096) -> DataFrame:
         """export() to ``folder``/store, with the manifests and for each a script that copies the contents to
@@ -140,7 +142,7 @@ class BlobStore:
         last the names of the manifests that lie beside them (see codec.read_texts)."""
         from stemma.functions.ident import try_digest
 
-        rows = self._named_files(folder).select(try_digest("named").alias("named"), "content", "path")
+        rows = self._named_files(folder).select(try_digest("named").alias("named"), "path").mapInArrow(_with_content, "named binary, path string, content binary")
         # named by its bytes as they are: a file without the ending; else the file it was can have had it
         rows = rows.withColumn("path", F.when(digest_of(F.col("content")) == F.col("named"), F.col("path")))
         checked = rows.withColumn("own", digest_of(identified_bytes("content", "path")))
@@ -152,6 +154,18 @@ class BlobStore:
         return names.select(F.lit(copied).cast("long").alias("copied"), F.lit(n_good - copied).cast("long").alias("skipped"), F.lit(n_all - n_good).cast("long").alias("rejected"), "manifests")
 
 
+def _with_content(batches):
+    """Files read whole, a few at a time."""
+    for b in batches:
+        for lo in range(0, len(b), 16):
+            part = b.slice(lo, 16)
+            contents = []
+            for path in part.column(1).to_pylist():
+                with open(path, "rb") as f:
+                    contents.append(f.read())
+            yield part.append_column("content", pa.array(contents, pa.binary()))
+
+
 def _placed(ids: DataFrame, leaf: int | None) -> DataFrame:
     """(digest, place): place of each ID's file, below as many folders as it takes."""
     if leaf is None:
@@ -184,8 +198,9 @@ put() {  # ID, place: follows the folders named by pairs of the ID's characters
 """
 
 
-def script_lines(entries: DataFrame) -> DataFrame:
-    """(manifest_id, line): commands of the extraction scripts, partitioned by manifest, by path."""
+def script_lines(entries: DataFrame, with_path: bool = False) -> DataFrame:
+    """(manifest_id, line): commands of the extraction scripts, partitioned by manifest, by path; with_path: and
+    the path."""
     from stemma.functions.ident import id_text
     from stemma.operators.manifest import is_dir
 
@@ -195,7 +210,7 @@ def script_lines(entries: DataFrame) -> DataFrame:
     copy = F.concat(F.lit("put "), text, F.lit(" "), target)
     line = F.when(is_dir(), F.concat(F.lit("mkdir -p "), target)).when(known_digest(F.col("digest")), copy)
     rows = latest(entries).select("manifest_id", "path", line.alias("line")).where("line is not null")
-    return rows.repartition("manifest_id").sortWithinPartitions("manifest_id", "path")
+    return rows if with_path else rows.repartition("manifest_id").sortWithinPartitions("manifest_id", "path")
 
 
 def _write_whole(file: str, content: bytes) -> None:
