@@ -21,12 +21,17 @@ from stemma.sources.codec import entry_lines
 KEY = ("manifest_id", "path")
 
 
-def beside(**versions: DataFrame) -> DataFrame:
-    """(manifest_id, path, one struct a version): null where a version lacks the path."""
+# What the comparisons read of a row, so that the rest needn't be sent along.
+DIFF_FIELDS = ("mode", "ts", "size", "digest", "target")
+MERGE_FIELDS = ("mode", "digest", "target", "flow_direction", "flow_target")
+
+
+def beside(fields: tuple[str, ...] = ATTRIBUTES, **versions: DataFrame) -> DataFrame:
+    """(manifest_id, path, one struct of fields a version): null where a version lacks the path."""
     tagged = None
     prepare(next(iter(versions.values())).sparkSession)
     for name, rows in versions.items():
-        r = rows.where(F.col("path").isNotNull()).select(*KEY, F.struct(*ATTRIBUTES).alias("_row"), F.coalesce("ord", F.lit(-(2**62))).alias("_ord"), F.lit(name).alias("_version"))
+        r = rows.where(F.col("path").isNotNull()).select(*KEY, F.struct(*fields).alias("_row"), F.coalesce("ord", F.lit(-(2**62))).alias("_ord"), F.lit(name).alias("_version"))
         tagged = r if tagged is None else tagged.unionByName(r)
     pick = [F.max_by(F.when(F.col("_version") == v, F.col("_row")), F.when(F.col("_version") == v, F.col("_ord"))).alias(v) for v in versions]
     return tagged.groupBy(*KEY).agg(*pick)
@@ -66,8 +71,8 @@ def merge_equal(a: str, b: str) -> Column:
 
 
 def diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(manifest_id, path, status, old, new): added, removed, modified or same."""
-    b = beside(old=old, new=new)
+    """(manifest_id, path, status, old, new): added, removed, modified or same; old and new hold DIFF_FIELDS."""
+    b = beside(DIFF_FIELDS, old=old, new=new)
     status = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(equal_entries("old", "new"), "same").otherwise("modified")
     return b.select(*KEY, status.alias("status"), "old", "new")
 
@@ -212,11 +217,11 @@ def log_chain(entries: DataFrame, bits: int = 512) -> DataFrame:
 # --- merge
 
 
-def merge_outcomes(base: DataFrame | None, local: DataFrame, remote: DataFrame) -> DataFrame:
-    """(manifest_id, path, base, local, remote, outcome): take_local, take_remote, take_base, deleted, or
+def merge_outcomes(base: DataFrame | None, local: DataFrame, remote: DataFrame, fields: tuple[str, ...] = MERGE_FIELDS) -> DataFrame:
+    """(manifest_id, path, base, local, remote, outcome), the sides with fields: take_local, take_remote, take_base, deleted, or
     conflict (changed differently on both sides, or deleted on one and changed on the other)."""
     none = local.where(F.lit(False))
-    m = beside(base=none if base is None else base, local=local, remote=remote)
+    m = beside(fields, base=none if base is None else base, local=local, remote=remote)
     b, l, r = (F.col(x).isNotNull() for x in ("base", "local", "remote"))
     bl, br, lr = merge_equal("base", "local"), merge_equal("base", "remote"), merge_equal("local", "remote")
     outcome = (
@@ -235,7 +240,7 @@ def merge(base: DataFrame | None, local: DataFrame, remote: DataFrame) -> tuple[
     """(rows, conflicts). In a conflict the later row keeps the path, local at equal times; the other one
     goes beside it as ``.conflict``. If one side had deleted the path, the other one's row stays.
     Directories that paths imply are added."""
-    m = written(merge_outcomes(base, local, remote), "merge")
+    m = written(merge_outcomes(base, local, remote, ATTRIBUTES), "merge")
     epoch = F.timestamp_seconds(F.lit(0))
     remote_wins = F.coalesce(F.col("remote.ts"), epoch) > F.coalesce(F.col("local.ts"), epoch)
     two = F.col("local").isNotNull() & F.col("remote").isNotNull()

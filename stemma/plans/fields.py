@@ -13,6 +13,7 @@ from stemma.functions.base58 import ALPHABET, MAX_ID
 from stemma.operators import manifest as M
 from stemma.operators import rollup, validate, versions
 from stemma.plans.manifests import _BESIDE, _BITS, _IDENT, _KEPT, _PARTS, _chain, _entries, _versions, query
+from stemma.plans.problems import _MODE_SQL
 from stemma.runtime import table, written
 from stemma.schema import entry_name, latest, path_depth
 from stemma.sources import codec
@@ -141,6 +142,25 @@ def time_fields(spark, folder):
 
 
 _FIRST_WORD, _LAST_WORD = "regexp_extract(line, '^ *([^ ]*)', 1)", "regexp_extract(line, '([^ ]*)$', 1)"
+_VALID_MODE = "regexp_full_match(text, '[-dlpsbc](?:[r-][w-][xsS-]){2}[r-][w-][xtT-]')"
+
+
+@query(
+    f"select text, case when {_VALID_MODE} and text <> '----------' then case text[1:1] when 'd' then 16384 when 'l' then 40960 when 'b' then 24576 when 'c' then 8192 when 'p' then 4096 when 's' then 49152 else 0 end + {_MODE_SQL.replace('f[1]', 'text')} end as mode"
+    f" from (select distinct {_FIRST_WORD} as text from raw_lines where line is not null)"
+)
+def parsed_modes(spark, folder):
+    """The mode of each line as a number, null where it is none."""
+    text = table(spark, folder, "raw_lines").where("line is not null").select(F.regexp_extract("line", "^ *([^ ]*)", 1).alias("text")).distinct()
+    return text.select("text", fmt.parse_mode(F.col("text")).alias("mode"))
+
+
+@query("select manifest_id, path, row_number() over (partition by manifest_id order by path) as rank from {LAST}")
+def path_order(spark, folder):
+    """Place of each path in code-point order."""
+    return M.numbered(latest(_entries(spark, folder).select("manifest_id", "path", "ord")).select("manifest_id", "path"), F.col("path"), "manifest_id")
+
+
 _AT = [(1, "-dlpsbc", "file type")] + [(2 + 3 * w + i, letters, label) for w in range(3) for i, (letters, label) in enumerate((("r-", "read flag"), ("w-", "write flag"), ("xtT-" if w == 2 else "xsS-", "execute flag")))]
 
 

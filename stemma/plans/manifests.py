@@ -73,6 +73,8 @@ def _versions(spark: SparkSession, folder: str, back: int = 1) -> list[DataFrame
     w = Window.partitionBy("tree").orderBy("pos")
     chain = of.select("manifest_id", *[F.lag("manifest_id", k).over(w).alias(f"_p{k}") for k in range(1, back + 1)]).where(f"_p{back} is not null")
     e = _entries(spark, folder)
+    # written, so that its size is known where it is joined
+    chain = written(chain, "chain")
     out = [e.join(chain.select("manifest_id"), "manifest_id")]
     for k in range(1, back + 1):
         link = chain.select(F.col("manifest_id").alias("_new"), F.col(f"_p{k}").alias("manifest_id"))
@@ -510,11 +512,6 @@ _RULES = {
 }
 
 
-@query(" union all ".join(f"select manifest_id, ord + 1 as line, '{s}' as severity, '{c}' as code from entries where {w}" for c, (s, w) in _RULES.items()))
-def row_issues(spark, folder):
-    return validate.row_issues(_entries(spark, folder)).drop("message")
-
-
 @query("select manifest_id, ord + 1 as line, 'path_duplicate' as code from (select *, min(ord) over (partition by manifest_id, path) as first from entries where path is not null) where ord > first")
 def duplicate_paths(spark, folder):
     return validate.duplicate_path_issues(_entries(spark, folder)).select("manifest_id", "line", "code")
@@ -546,11 +543,6 @@ def format_mode(spark, folder):
     return _entries(spark, folder).select("mode").distinct().select("mode", fmt.format_mode(F.col("mode")).alias("text"))
 
 
-@query("select distinct mode, case when coalesce(mode, 0) = 0 then null when (mode & 61440) = 32768 then mode & 4095 else mode end as parsed from entries")
-def parse_mode(spark, folder):
-    return _entries(spark, folder).select("mode").distinct().select("mode", fmt.parse_mode(fmt.format_mode(F.col("mode"))).alias("parsed"))
-
-
 def _read_back(spark, folder):
     """Rows of every manifest written as a whole text and decoded again.
 

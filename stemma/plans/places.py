@@ -86,16 +86,21 @@ def _steps_sql(steps: dict[str, str]) -> str:
 
 
 @query(
-    f"with {_POSTS}, f as (select dir || name as path, name, dir as parent, 2 as depth, false as is_dir, strlen(content) as size, true as same from p)"
-    " select * from f union all select distinct top, top, null, 0, true, null::bigint, null::boolean from p union all select distinct dir, split_part(dir, '/', 2) || '/', top, 1, true, null, null from p"
+    f"with {_POSTS}, f as (select dir || name as path, name, dir as parent, 2 as depth, false as is_dir, strlen(content) as size, true as same, null as target from p)"
+    " select * from f union all select distinct top, top, null, 0, true, null::bigint, null::boolean, null from p union all select distinct dir, split_part(dir, '/', 2) || '/', top, 1, true, null, null, null from p"
+    " union all select 'broken', 'broken', null, 0, false, 7, true, 'nowhere' union all select 'link', 'link', null, 0, false, 4, true, 'none'"
 )
 def scanned_files(spark, folder):
     """All posts as files, scanned; each file's ID against that of the text."""
     posts = _posts(spark, folder)
-    rows = S.scan(spark, _write(posts, work_folder(spark, "files")), manifest_id="m")
+    root = _write(posts, work_folder(spark, "files"))
+    os.symlink("nowhere", os.path.join(root, "broken"))
+    os.symlink("none", os.path.join(root, "link"))  # to a folder, which isn't followed
+    _write(posts.limit(1).select(F.lit(".hidden/x").alias("path"), "content"), root)  # not listed
+    rows = S.scan(spark, root, manifest_id="m")
     own = posts.select("path", F.col("digest").alias("_own"))
     got = rows.join(own, "path", "left").withColumn("size", F.when(~F.col("is_dir"), F.col("size")))
-    return got.select("path", "name", "parent", "depth", "is_dir", "size", F.when(~F.col("is_dir"), F.col("digest").eqNullSafe(F.col("_own"))).alias("same"))
+    return got.select("path", "name", "parent", "depth", "is_dir", "size", F.when(~F.col("is_dir"), F.col("digest").eqNullSafe(F.col("_own"))).alias("same"), "target")
 
 
 @query(f"with {_POSTS} select path, case when written then 'as listed' else 'unreadable' end as found from (select dir || name as path, lang is not null as written from p)")
@@ -176,11 +181,12 @@ def extraction_scripts(spark, folder):
     return script_lines(_entries(spark, folder), with_path=True)
 
 
-@query(f"with {_POSTS} " + _steps_sql({"by argument": "1", "by environment": "1", "none named": "1", "not there": "1", "there": "1"}))
+@query(f"with {_POSTS} " + _steps_sql({"by argument": "1", "by environment": "1", "none named": "1", "file verified": "1", "not there": "1", "there": "1"}))
 def opened_stores(spark, folder):
     """A store found by its argument and by the environment; errors where there is none or no such content."""
     place = "file://" + work_folder(spark, "store")
-    content = _posts(spark, folder).orderBy("doc_id").select("content", "digest").first()
+    posts = _posts(spark, folder).orderBy("doc_id").limit(1)
+    content = posts.select("content", "digest").first()
     store = open_store(spark, place)
     store.put(spark.createDataFrame([(content.content,)], "content binary"))
     steps = [("by argument", store.has(bytes(content.digest)))]
@@ -197,6 +203,8 @@ def opened_stores(spark, folder):
     finally:
         if before is not None:
             os.environ["STEMMA_STORE"] = before
+    place = os.path.join(_write(posts.select(F.lit("one").alias("path"), "content"), work_folder(spark, "file")), "one")
+    steps.append(("file verified", S.verify_file(place, bytes(content.digest)) and not S.verify_file(place, bytes(64))))
     try:
         store.get_one(bytes(64))
         steps.append(("not there", False))
