@@ -39,12 +39,64 @@ def vocabulary(folder: str = TOKENIZER_DIR, name: str = "byte_bpe_50k.tiktoken")
         return f.read()
 
 
-@functools.lru_cache(maxsize=4)
-def encoding(ranks: bytes):
-    import tiktoken
+class Encoder:
+    """A vocabulary's encoding of single texts, and of many chunks in one call."""
+
+    def __init__(self, ranks: bytes):
+        import tiktoken
+
+        pairs = (line.split() for line in ranks.splitlines() if line)
+        tokens = {base64.b64decode(a): int(b) for a, b in pairs}
+        self.text = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=tokens, special_tokens={}).encode_ordinary
+        self.size = np.zeros(max(tokens.values()) + 1, dtype=np.int64)  # bytes of each token
+        for token, i in tokens.items():
+            self.size[i] = len(token)
+
+    def chunks(self, chunks: list[str], at_once: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all chunks one after the other, and how many each has.
+
+        Chunks that begin with a blank and end with another character are encoded together: no token
+        reaches across, so the tokens' sizes tell where each chunk ends.
+        """
+        inner = [i for i, s in enumerate(chunks) if s[0] in " \n" and not s[-1].isspace()]
+        alone = sorted(set(range(len(chunks))).difference(inner))
+        counts = np.zeros(len(chunks), dtype=np.int64)
+        parts, order = [], []
+        for lo, hi in _runs([len(chunks[i]) for i in inner], at_once):
+            some = inner[lo:hi]
+            ids = np.array(self.text("".join(chunks[i] for i in some)), dtype=np.int32)
+            ends = np.cumsum([len(chunks[i].encode()) for i in some])
+            counts[some] = np.diff(np.searchsorted(np.cumsum(self.size[ids]), ends, side="right"), prepend=0)
+            parts.append(ids)
+            order += some
+        for i in alone:
+            parts.append(np.array(self.text(chunks[i]), dtype=np.int32))
+            counts[i] = len(parts[-1])
+        order = np.array(order + alone, dtype=np.int64)
+        flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        # back into the chunks' own order
+        sizes = counts[order]
+        begins = np.zeros(len(chunks), dtype=np.int64)
+        begins[order] = np.cumsum(sizes) - sizes
+        return flat[_spread(begins, counts)], counts
+
+
+def _runs(sizes: list[int], at_once: int) -> Iterator[tuple[int, int]]:
+    """Ranges whose sizes sum up to about at_once."""
+    which = np.cumsum(sizes) // at_once if sizes else np.zeros(0, np.int64)
+    cut = np.flatnonzero(np.diff(which)) + 1
+    yield from zip([0, *cut.tolist()], [*cut.tolist(), len(sizes)]) if sizes else ()
+
+
+def _spread(begins: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Places begin, begin + 1, ... of each range, one after the other."""
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins - (ends - counts), counts)
+
 
-    pairs = (line.split() for line in ranks.splitlines() if line)
-    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in pairs}, special_tokens={})
+@functools.lru_cache(maxsize=4)
+def encoding(ranks: bytes) -> Encoder:
+    return Encoder(ranks)
 
 
 def _after_space(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -81,7 +133,10 @@ def chunked(texts: pa.Array, bits: int = CUT_BITS) -> tuple[pa.DictionaryArray,
     n = len(texts)
     offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[: n + 1]
     raw = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[: offsets[-1]]
-    starts = np.union1d(cuts(raw, bits), offsets[:-1][np.diff(offsets) > 0])
+    inside = cuts(raw, bits)
+    own = offsets[:-1][np.diff(offsets) > 0]
+    own = own[~np.isin(own, inside, assume_unique=True)]
+    starts = np.insert(inside, np.searchsorted(inside, own), own)
     ends = np.append(starts, offsets[-1])
     # the same bytes, divided at the cuts
     chunks = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(ends), texts.buffers()[2] or pa.py_buffer(b""))
@@ -101,22 +156,18 @@ def _windows(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.Record
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _encoded(texts: pa.ChunkedArray, encode, lengths_only: bool = False) -> pa.Array:
+def _encoded(texts: pa.ChunkedArray, encoder: Encoder, lengths_only: bool = False) -> pa.Array:
     """Ids of each text, or their number. Null texts count as empty."""
     one = pa.concat_arrays([c.fill_null("") for c in texts.chunks] or [pa.array([], pa.string())])
-    chunks, counts = chunked(one)
-    ids = [encode(s) for s in chunks.dictionary.to_pylist()]
-    sizes = np.array([len(x) for x in ids], dtype=np.int64)
+    chunks, per_text = chunked(one)
+    flat, sizes = encoder.chunks(chunks.dictionary.to_pylist())
     at = chunks.indices.to_numpy(zero_copy_only=False)
-    ends = np.concatenate([[0], np.cumsum(sizes[at])]) if len(at) else np.zeros(1, np.int64)
-    bounds = ends[np.concatenate([[0], np.cumsum(counts)])]
+    ends = np.concatenate([[0], np.cumsum(sizes[at])]).astype(np.int64)
+    bounds = ends[np.concatenate([[0], np.cumsum(per_text)]).astype(np.int64)]
     if lengths_only:
         return pa.array(np.diff(bounds), pa.int64())
-    flat = np.fromiter((i for x in ids for i in x), dtype=np.int32, count=int(sizes.sum()))
-    begins = np.cumsum(sizes) - sizes
-    # place of each id of the result among those of the distinct chunks
-    place = np.arange(ends[-1]) + np.repeat(begins[at] - ends[:-1], sizes[at]) if len(at) else np.zeros(0, np.int64)
-    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat[place]))
+    ids = flat[_spread((np.cumsum(sizes) - sizes)[at], sizes[at])]
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
 
 
 def encode_documents(documents: DataFrame, folder: str = TOKENIZER_DIR) -> DataFrame:
@@ -127,9 +178,9 @@ def encode_documents(documents: DataFrame, folder: str = TOKENIZER_DIR) -> DataF
     ranks = documents.sparkSession.sparkContext.broadcast(vocabulary(folder))
 
     def run(batches):
-        encode = encoding(ranks.value).encode_ordinary
+        encoder = encoding(ranks.value)
         for t in _windows(batches, 1):
-            ids = _encoded(t.column(1), encode)
+            ids = _encoded(t.column(1), encoder)
             for lo in range(0, len(ids), 1000):  # ids take as much room as the texts or more
                 yield pa.RecordBatch.from_pydict({"doc_id": t.column(0).slice(lo, 1000).combine_chunks(), "ids": ids.slice(lo, 1000)})
 
@@ -141,9 +192,9 @@ def token_counts(documents: DataFrame, folder: str = TOKENIZER_DIR) -> DataFrame
     ranks = documents.sparkSession.sparkContext.broadcast(vocabulary(folder))
 
     def run(batches):
-        encode = encoding(ranks.value).encode_ordinary
+        encoder = encoding(ranks.value)
         for t in _windows(batches, 2):
-            counts = _encoded(t.column(2), encode, lengths_only=True)
+            counts = _encoded(t.column(2), encoder, lengths_only=True)
             yield from pa.table({"doc_id": t.column(0), "source": t.column(1), "n_tokens": counts}).to_batches()
 
     return documents.select("doc_id", "source", "text").mapInArrow(run, "doc_id long, source string, n_tokens long")

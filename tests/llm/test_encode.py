@@ -16,7 +16,7 @@ def enc():
 
 
 def whole(enc, text):
-    return enc.encode_ordinary(text)
+    return enc.text(text)
 
 
 @pytest.mark.parametrize("bits", [0, 1, 2, 4, 8])
@@ -28,17 +28,21 @@ def test_joins_are_exact(enc, bits, monkeypatch):
     parts = iter(chunks.to_pylist())
     assert ["".join(next(parts) for _ in range(n)) for n in counts] == texts
     column = pa.chunked_array([pa.array(texts[:100]), pa.array([*texts[100:], None]).slice(0, 300)])
-    assert _encoded(column, enc.encode_ordinary).to_pylist() == [whole(enc, t) for t in texts]
-    assert _encoded(column, enc.encode_ordinary, lengths_only=True).to_pylist() == [len(whole(enc, t)) for t in texts]
+    assert _encoded(column, enc).to_pylist() == [whole(enc, t) for t in texts]
+    assert _encoded(column, enc, lengths_only=True).to_pylist() == [len(whole(enc, t)) for t in texts]
 
 
 def test_equal_passages_are_encoded_once(enc):
     rng = random.Random(2)
     passage = "".join(rng.choice("abcdefgh ") for _ in range(20_000))
     asked = []
-    _encoded(pa.chunked_array([["x" * 37 + " " + passage, passage + " tail", passage, None, ""]]), lambda s: asked.append(s) or enc.encode_ordinary(s))
+    chunks, _ = chunked(pa.array(["x" * 37 + " " + passage, passage + " tail", passage, ""]))
+    asked = chunks.dictionary.to_pylist()
     assert len(asked) == len(set(asked)) and sum(map(len, asked)) < 1.1 * len(passage)
     assert np.median([len(s) for s in asked]) < 50
+    for at_once in (1, 100, 1 << 20):
+        ids, counts = enc.chunks(asked, at_once)
+        assert ids.tolist() == [i for s in asked for i in whole(enc, s)] and counts.tolist() == [len(whole(enc, s)) for s in asked]
 
 
 def test_other_library_agrees(spark):
