@@ -109,9 +109,8 @@ def reconcile_plan(target: DataFrame, present: DataFrame, stored: DataFrame | No
 def reconcile(spark: SparkSession, entries: DataFrame, folder: str, store: BlobStore | None = None, dry_run: bool = False) -> tuple[DataFrame, dict]:
     """(plan, counters). Makes a folder what a manifest says; content comes from the store.
 
-    The folder must be shared by the executors. Contents are written by tasks, under another name and
-    renamed, so a repeated task does no harm; directories, removals, modes and times follow on the
-    driver from an iterator over the plan. Errors are counted, not raised. State files stay.
+    The folder must be shared by the executors. All is done by tasks; contents are written under another name
+    and renamed, so a repeated task does no harm. Errors are counted, not raised. State files stay.
     """
     target = written(latest(entries).select("path", is_dir().alias("is_dir"), "digest", "mode", "ts", "target"), "target")
     os.makedirs(folder, exist_ok=True)
@@ -128,59 +127,69 @@ def reconcile(spark: SparkSession, entries: DataFrame, folder: str, store: BlobS
     if dry_run:
         return plan, done
 
-    def each(types, order):
-        return plan.where(F.col("type").isin(*types)).orderBy(*order).toLocalIterator()
-
-    def attempt(counter, action):
-        try:
-            action()
-            done[counter] += 1
-        except OSError:
-            done["errors"] += 1
-
-    for op in each(["mkdir"], ["depth", "path"]):
-        attempt("made", lambda: os.makedirs(os.path.join(folder, op.path), exist_ok=True))
-    if store and (counts.get("create") or counts.get("update")):
-        todo = plan.where(F.col("type").isin("create", "update")).select("type", "path", "digest")
-        contents = store.get(todo.select("digest"))
+    def attempt(rows: DataFrame, good: str, action, gone_is_good: bool = False) -> None:
+        """Has tasks run an action on rows; counts those that succeeded, and errors."""
 
         def run(batches):
-            from stemma.sources.store import _write_whole
-
             for b in batches:
-                out = {"type": [], "ok": []}
-                for kind, path, content in zip(*(b.column(i).to_pylist() for i in range(3))):
+                ok = []
+                for row in b.to_pylist():
                     try:
-                        file = os.path.join(folder, path)
-                        os.makedirs(os.path.dirname(file) or ".", exist_ok=True)
-                        _write_whole(file, content)
-                        ok = True
+                        action(os.path.join(folder, row["path"]), row)
+                        ok.append(True)
+                    except FileNotFoundError:
+                        ok.append(gone_is_good)  # a task that runs again finds it done
                     except OSError:
-                        ok = False
-                    out["type"].append(kind)
-                    out["ok"].append(ok)
-                yield pa.RecordBatch.from_pydict(out)
-
-        for r in todo.join(contents, "digest").select("type", "path", "content").mapInArrow(run, "type string, ok boolean").groupBy("type").agg(F.count_if("ok").alias("ok"), F.count_if(F.expr("not ok")).alias("bad")).collect():
-            done["created" if r.type == "create" else "updated"] += r.ok
-            done["errors"] += r.bad
-    for op in each(["remove"], ["path"]):
-        attempt("removed", lambda: os.unlink(os.path.join(folder, op.path)))
-    for op in each(["rmdir"], [F.desc("depth"), F.desc("path")]):
-        attempt("unmade", lambda: os.rmdir(os.path.join(folder, op.path)))
-    # modes and times of what is there, directories last and deepest first, so that their times stay
-    for row in target.where("target is null").orderBy("is_dir", F.desc(_depth()), "path").toLocalIterator():
-        file = os.path.join(folder, row.path)
-        try:
-            if row.mode:
-                os.chmod(file, row.mode & 0o7777)
-            if row.ts:
-                os.utime(file, (row.ts.timestamp(), row.ts.timestamp()))
-        except OSError:
-            pass
+                        ok.append(False)
+                yield pa.RecordBatch.from_pydict({"ok": pa.array(ok, pa.bool_())})
+
+        got = rows.mapInArrow(run, "ok boolean").agg(F.count_if("ok").alias("ok"), F.count_if(F.expr("not ok")).alias("bad")).first()
+        if good:
+            done[good] += got.ok
+            done["errors"] += got.bad
+
+    def of(kind: str) -> DataFrame:
+        return plan.where(F.col("type") == kind)
+
+    def deepest_first(rows: DataFrame) -> list[DataFrame]:
+        """Rows by depth; what is above waits for what is below. As many steps as there are levels."""
+        at = sorted((r.depth for r in rows.select("depth").distinct().collect()), reverse=True)
+        return [rows.where(F.col("depth") == d) for d in at]
+
+    if counts.get("mkdir"):
+        attempt(of("mkdir").select("path"), "made", lambda file, _: os.makedirs(file, exist_ok=True))
+    if store:
+        for kind, counter in (("create", "created"), ("update", "updated")):
+            if counts.get(kind):
+                todo = of(kind).select("path", "digest")
+                attempt(todo.join(store.get(todo.select("digest")), "digest").select("path", "content"), counter, _write_content)
+    if counts.get("remove"):
+        attempt(of("remove").select("path"), "removed", lambda file, _: os.unlink(file), gone_is_good=True)
+    if counts.get("rmdir"):
+        for level in deepest_first(of("rmdir")):
+            attempt(level.select("path"), "unmade", lambda file, _: os.rmdir(file), gone_is_good=True)
+    # modes and times of what is there: contents first, directories from the bottom, so that their times stay
+    marked = target.where("target is null and (mode is not null or ts is not null)").select("path", "is_dir", "mode", F.unix_micros("ts").alias("us"), _depth().cast("int").alias("depth"))
+    attempt(marked.where("not is_dir"), "", _mark)
+    for level in deepest_first(marked.where("is_dir")):
+        attempt(level, "", _mark)
     return plan, done
 
 
+def _write_content(file: str, row: dict) -> None:
+    from stemma.sources.store import _write_whole
+
+    os.makedirs(os.path.dirname(file) or ".", exist_ok=True)
+    _write_whole(file, row["content"])
+
+
+def _mark(file: str, row: dict) -> None:
+    if row["mode"]:
+        os.chmod(file, row["mode"] & 0o7777)
+    if row["us"] is not None:
+        os.utime(file, ns=(row["us"] * 1000, row["us"] * 1000))
+
+
 def store_missing(entries: DataFrame, stored: DataFrame) -> DataFrame:
     """Distinct digests of entries that are not stored."""
     return entries.where(known_digest(F.col("digest"))).select("digest").distinct().join(stored.select("digest").distinct(), "digest", "left_anti")
