@@ -24,21 +24,25 @@ def flat_entries(entries: DataFrame) -> DataFrame:
     return entries.withColumn("display_path", display_path(F.col("path")))
 
 
-def with_paths(rows: DataFrame) -> DataFrame:
+def with_paths(rows: DataFrame, block_bits: int = 16) -> DataFrame:
     """Rows of (manifest_id, ord, name, depth) with path and parent rebuilt from depth and order.
 
-    A row's parent is the last directory one level up before it. Each level looks only at directories
-    of the level above, so the rebuilding takes one window a level; a manifest is sorted by ord in one
-    task, spilling to disk.
+    A row's parent is the last directory one level up before it, so for each level the last directory is
+    carried along, within blocks of 2**block_bits rows by ord and from block to block. A manifest of any
+    length spreads over tasks; what is carried is one row a block.
     """
-    levels = rows.agg(F.max("depth")).first()[0] or 0
-    w = Window.partitionBy("manifest_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = rows.withColumn("_is_dir", F.col("name").endswith("/"))
-    for d in range(levels):
-        out = out.withColumn(f"_d{d}", F.last(F.when(F.col("_is_dir") & (F.col("depth") == d), F.col("name")), ignorenulls=True).over(w))
-    above = F.concat_ws("", *[F.when(F.col("depth") > d, F.col(f"_d{d}")) for d in range(levels)]) if levels else F.lit("")
+    levels = range(rows.agg(F.max("depth")).first()[0] or 0)
+    keys = ["manifest_id", "_block"]
+    out = rows.withColumn("_block", F.shiftright("ord", block_bits))
+    open_at = lambda d: F.when(F.col("name").endswith("/") & (F.col("depth") == d), F.col("name"))
+    ends = out.groupBy(*keys).agg(F.lit(1).alias("_one"), *[F.max_by(open_at(d), F.when(open_at(d).isNotNull(), F.col("ord"))).alias(f"_e{d}") for d in levels]).drop("_one")
+    before = Window.partitionBy("manifest_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*keys, *[F.last(f"_e{d}", ignorenulls=True).over(before).alias(f"_e{d}") for d in levels])
+    inner = Window.partitionBy(*keys).orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = out.select("*", *[F.last(open_at(d), ignorenulls=True).over(inner).alias(f"_d{d}") for d in levels]).join(ends, keys)
+    above = F.concat_ws("", *[F.when(F.col("depth") > d, F.coalesce(f"_d{d}", f"_e{d}")) for d in levels]) if len(levels) else F.lit("")
     out = out.withColumn("parent", F.nullif(above, F.lit(""))).withColumn("path", F.concat(above, "name"))
-    return out.drop("_is_dir", *[f"_d{d}" for d in range(levels)])
+    return out.drop("_block", *[f"_{x}{d}" for d in levels for x in "de"])
 
 
 def files(entries: DataFrame) -> DataFrame:
@@ -106,7 +110,7 @@ def glob_pattern(glob: str) -> str:
             i = end + 1
         else:
             out += re.escape(ch)
-    return out + r"\z"
+    return out + "(?!.)"  # the end of the text, also of one that ends in a line feed
 
 
 def matches(glob: str) -> Column:

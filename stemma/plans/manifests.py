@@ -454,7 +454,7 @@ def verify_report(spark, folder):
   t as (select * from {LAST} where manifest_id in (select manifest_id from manifests where mirrored) and (path like '%/' or digest is not null)), p as (select * from {MLAST} where manifest_id in (select manifest_id from manifests where mirrored)),
   j as (select coalesce(t.manifest_id, p.manifest_id) as manifest_id, coalesce(t.path, p.path) as path, t.path is not null as is_t, p.path is not null as is_p, t.digest as td, p.digest as pd, t.digest is not null and s.digest is null as lacking
     from t full outer join p on t.manifest_id = p.manifest_id and t.path = p.path left join stored s on s.digest = t.digest)
-  select manifest_id, path, type, case type when 'mkdir' then 0 when 'create' then 1 when 'update' then 2 when 'remove' then 3 when 'rmdir' then 4 end as phase, length(regexp_replace(path, '[^/]', '', 'g')) as depth from (select *, case when is_t and path like '%/' then case when not is_p then 'mkdir' end when is_t and is_p and td is not distinct from pd then null
+  select manifest_id, path, type, case type when 'mkdir' then 0 when 'create' then 1 when 'update' then 2 when 'remove' then 3 when 'rmdir' then 4 end as phase, length(regexp_replace(path, '[^/]', '', 'g'))::int as depth from (select *, case when is_t and path like '%/' then case when not is_p then 'mkdir' end when is_t and is_p and td is not distinct from pd then null
     when is_t and lacking then 'missing' when is_t then case when not is_p then 'create' else 'update' end when path like '%/' then 'rmdir' else 'remove' end as type from j) where type is not null""")
 def reconcile_plan(spark, folder):
     """What would turn the second place into the mirrored manifests, with the arrived content as the store."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import collections
 import hashlib
 import os
 import stat
@@ -33,8 +34,10 @@ def digest_of_file(file: str) -> bytes | None:
 
 
 class _Folders(InputPartition):
-    def __init__(self, folders: list[str]):
-        self.folders = folders
+    """Folders to list; whole: with all below them."""
+
+    def __init__(self, folders: list[str], whole: bool):
+        self.folders, self.whole = folders, whole
 
 
 class _Reader(DataSourceReader):
@@ -45,23 +48,44 @@ class _Reader(DataSourceReader):
         self.follow = options.get("followsymlinks", "false").lower() == "true"
         self.contents = options.get("contents", "false").lower() == "true"
         self.per_task = int(options.get("folderspertask", "64"))
+        self.spread = int(options.get("foldersspread", "4096"))
         if not os.path.isdir(self.root):
             raise ValueError(f"{self.root} is no directory")
 
     def _shown(self, name: str) -> bool:
         return self.hidden or not name.startswith(".")
 
+    def _below(self, rel: str) -> list[str]:
+        """Folders directly in a folder."""
+        folder = os.path.join(self.root, rel)
+        try:
+            with os.scandir(folder) as entries:
+                return sorted(os.path.normpath(os.path.join(rel, e.name)) for e in entries if self._shown(e.name) and e.is_dir(follow_symlinks=self.follow))
+        except OSError:
+            return []
+
     def partitions(self):
-        folders = []
-        for folder, below, _ in os.walk(self.root, followlinks=self.follow):
-            below[:] = sorted(d for d in below if self._shown(d))
-            folders.append(os.path.relpath(folder, self.root))
-        return [_Folders(folders[i : i + self.per_task]) for i in range(0, len(folders), self.per_task)]
+        """The driver lists folders from the top until it has enough of them to spread; what lies below the rest
+        is for their tasks."""
+        flat, todo = [], collections.deque(["."])
+        while todo and len(flat) + len(todo) < self.spread:
+            flat.append(todo.popleft())
+            todo.extend(self._below(flat[-1]))
+        parts = [_Folders(flat[i : i + self.per_task], False) for i in range(0, len(flat), self.per_task)]
+        return parts + [_Folders([rel], True) for rel in todo]
+
+    def _listed(self, partition: _Folders) -> Iterator[str]:
+        todo = list(partition.folders)
+        while todo:
+            rel = todo.pop()
+            yield rel
+            if partition.whole:
+                todo += self._below(rel)
 
     def read(self, partition: _Folders) -> Iterator[tuple]:
         import datetime as dt
 
-        for rel in partition.folders:
+        for rel in self._listed(partition):
             folder = os.path.normpath(os.path.join(self.root, rel))
             parent = "" if rel == "." else rel + "/"
             try:
@@ -102,8 +126,9 @@ class _Reader(DataSourceReader):
 
 
 class ScanSource(DataSource):
-    """format("stemma_scan"), options path, computeIds, hidden, followSymlinks, foldersPerTask, and contents,
-    which adds the column content."""
+    """format("stemma_scan"), options path, computeIds, hidden, followSymlinks, foldersPerTask, foldersSpread
+    (the driver lists about so many folders to spread the tree over tasks), and contents, which adds the column
+    content."""
 
     @classmethod
     def name(cls) -> str:

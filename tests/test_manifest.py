@@ -192,7 +192,10 @@ def test_chain(spark):
     final = versions.resolve_chain(e)
     assert {r.path: r.size for r in final.collect()} == {"file1": 7, "file3": 1}
     assert paths(versions.resolve_chain(e, upto=1)) == ["file1"]
-    assert [tuple(r)[1:] for r in versions.log_chain(e).orderBy("index").collect()] == [(1, 2, 0, 0, True, 2), (2, 0, 1, 1, False, 1), (3, 1, 0, 0, False, 2)]
+    log = versions.log_chain(e).orderBy("index").collect()
+    states = [versions.resolve_chain(e, upto=k) for k in range(3)]
+    assert [bytes(r.digest) for r in log] == [bytes(rollup.manifest_ids(s.withColumns({"depth": F.lit(0), "parent": F.lit(None).cast("string")})).first().digest) for s in states]
+    assert [tuple(r)[1:7] for r in log] == [(1, 2, 0, 0, True, 2), (2, 0, 1, 1, False, 1), (3, 1, 0, 0, False, 2)]
 
 
 @pytest.mark.parametrize("seed", [3, 4])
@@ -265,3 +268,11 @@ def test_combining(spark):
     u = M.union_manifests({"a": e, "b": e}, "all")
     assert u.count() == 14 and u.select("manifest_id").distinct().count() == 1
     assert parse_id(FOO)
+
+
+@pytest.mark.parametrize("bits", [16, 1])
+def test_paths_across_blocks(spark, bits):
+    """Directories are carried from block to block."""
+    rows = [("m", i, n, d) for i, (n, d) in enumerate([("a/", 0), ("b/", 1), ("x", 2), ("y", 2), ("c/", 1), ("z", 2), ("q/", 0), ("w", 1), ("top", 0)])] + [("n", 0, "only", 0)]
+    got = {(r.manifest_id, r.path): r.parent for r in M.with_paths(spark.createDataFrame(rows, "manifest_id string, ord long, name string, depth int"), bits).collect()}
+    assert got == {("m", "a/"): None, ("m", "a/b/"): "a/", ("m", "a/b/x"): "a/b/", ("m", "a/b/y"): "a/b/", ("m", "a/c/"): "a/", ("m", "a/c/z"): "a/c/", ("m", "q/"): None, ("m", "q/w"): "q/", ("m", "top"): None, ("n", "only"): None}

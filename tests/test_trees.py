@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from stemma.functions.base58 import id_text
 from stemma.operators import trees
 from stemma.sources.codec import decode, read_texts
-from stemma.sources.scan import identify_files, scan, verify_file
+from stemma.sources.scan import identify_files, scan, scan_rows, verify_file
 from stemma.sources.store import BlobStore, ContentNotFound, open_store
 from stemma.streaming.incremental import fill_store
 from stemma.workspace import Workspace
@@ -47,6 +47,8 @@ def test_scan(spark, tmp_path):
     assert rows["empty/"].size == 0 and bytes(rows["empty/"].digest) == sha(b"") and rows["empty/"].ts is not None
     assert rows["src/main.py"].parent == "src/" and rows["src/lib/core.py"].depth == 2
     assert scan(spark, str(root), compute_ids=False).where("digest is not null").count() == 0
+    few = scan_rows(spark, str(root), foldersSpread=2)  # most folders are found by the tasks
+    assert {r.path for r in few.collect()} == rows.keys()
     (tmp_path / "void").mkdir()
     assert scan(spark, str(tmp_path / "void")).count() == 0
     with pytest.raises(Exception, match="no directory"):
