@@ -1,9 +1,9 @@
 """Character language models with interpolated Kneser-Ney smoothing, for several languages at once.
 
-The n-grams of all languages share one sorted array of 64-bit hashes per order; a matrix beside it
-holds each language's log probability of the n-gram, another the back-off weight of each context.
-Hashes are taken over code points, so any character of any script counts. Two of a million n-grams
-share a hash with a probability of about 3e-8.
+The n-grams of all languages share one sorted array of 64-bit hashes per order, found by their first
+bits; a matrix beside it holds each language's log probability of the n-gram, another the back-off
+weight of each context. Hashes are taken over code points, so any character of any script counts. Two
+of a million n-grams share a hash with a probability of about 3e-8.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from concurrent.futures import ThreadPoolExecutor
 import numpy as np
 
 ORDER, DISCOUNT = 5, 0.7
-_G = np.uint64(0x9E3779B97F4A7C15)
+_G, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
 def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -34,7 +34,15 @@ def _hashes(c: np.ndarray, order: int) -> list[np.ndarray]:
         h = np.zeros_like(c)
         h[1:] = out[-1][:-1]
         out.append(h * _G + c)
-    return out
+    return [h * _MIX for h in out]
+
+
+def _hash_at(c: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the n-gram that ends at each of some places."""
+    h = c[at - (n - 1)]
+    for i in range(n - 2, -1, -1):
+        h = h * _G + c[at - i]
+    return h * _MIX
 
 
 def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -45,10 +53,25 @@ def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return s[first], order[first], np.diff(first, append=len(s))
 
 
-def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = np.searchsorted(keys, wanted)
-    at[at == len(keys)] = 0
-    return at, keys[at] == wanted
+class _SortedHashes:
+    """Finds hashes in their sorted array: the first bits tell where to begin, a few steps on it is there or not."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(8, len(keys).bit_length() + 1)
+        self.shift = np.uint64(64 - bits)
+        self.start = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+        self.keys = np.append(keys, np.uint64(2**64 - 1))
+
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, whether it is there)."""
+        at = self.start[(wanted >> self.shift).astype(np.int64)]
+        there = self.keys[at]
+        todo = np.flatnonzero(there < wanted)
+        while len(todo):
+            at[todo] += 1
+            there[todo] = self.keys[at[todo]]
+            todo = todo[there[todo] < wanted[todo]]
+        return at, there == wanted
 
 
 class CharModels:
@@ -79,6 +102,9 @@ class CharModels:
             self.keys.append(keys)
             self.logp.append(np.where(np.isnan(logp), below, logp))
             self.weight.append(weight)
+        self.index = [_SortedHashes(keys) for keys in self.keys]
+        # of the longest n-grams, with a last row of zeros for those that aren't there
+        self.longest = np.vstack([self.logp[-1], np.zeros((1, len(per)), np.float32)])
 
     def _estimate(self, c: np.ndarray, into: np.ndarray, d: float) -> list[tuple]:
         """For each order: keys, log probabilities, each key's prefix and suffix; contexts (one shorter) and
@@ -124,19 +150,33 @@ class CharModels:
 
     def _scores(self, texts: list[str]) -> np.ndarray:
         c, starts, into = _codes(texts)
-        h = _hashes(c, self.order)
-        lp = np.zeros((len(c), len(self.codes)), dtype=np.float32)
-        todo = np.flatnonzero(into > 0)  # the leading blank is given
-        for n in range(self.order, 1, -1):
+        unseen = np.float32(np.log(self.uniform * 0.1))
+        if self.order == 1 or len(c) < self.order:
+            lp, todo = np.zeros((len(c), len(self.codes)), dtype=np.float32), np.flatnonzero(into > 0)
+        else:  # nearly all n-grams of the highest order are there
+            h = c[: 1 - self.order]
+            for i in range(1, self.order):
+                h = h * _G + c[i : len(c) - self.order + 1 + i]
+            at, hit = self.index[-1].find(h * _MIX)
+            row = np.full(len(c), len(self.longest) - 1)
+            row[self.order - 1 :] = np.where(hit, at, len(self.longest) - 1)
+            row[into < self.order - 1] = len(self.longest) - 1
+            lp = np.take(self.longest, row, axis=0)
+            todo = np.flatnonzero((row == len(self.longest) - 1) & (into > 0))  # the leading blank is given
+            self._back_off(lp, c, todo[into[todo] >= self.order - 1], self.order)
+        for n in range(self.order - 1, 1, -1):
             reach = into[todo] >= n - 1
-            ask, rest = todo[reach], todo[~reach]
-            at, hit = _find(self.keys[n - 1], h[n - 1][ask])
+            ask = todo[reach]
+            at, hit = self.index[n - 1].find(_hash_at(c, ask, n))
             lp[ask[hit]] += self.logp[n - 1][at[hit]]
-            miss = ask[~hit]
-            at, hit = _find(self.keys[n - 2], h[n - 2][miss - 1])
-            lp[miss[hit]] += self.weight[n - 2][at[hit]]
-            todo = np.concatenate([rest, miss])
-        at, hit = _find(self.keys[0], h[0][todo])
+            self._back_off(lp, c, ask[~hit], n)
+            todo = np.concatenate([todo[~reach], ask[~hit]])
+        at, hit = self.index[0].find(_hash_at(c, todo, 1))
         lp[todo[hit]] += self.logp[0][at[hit]]
-        lp[todo[~hit]] += np.float32(np.log(self.uniform * 0.1))
+        lp[todo[~hit]] += unseen
         return np.add.reduceat(lp, starts, axis=0)
+
+    def _back_off(self, lp: np.ndarray, c: np.ndarray, at: np.ndarray, n: int) -> None:
+        """Adds the weights of the contexts, n - 1 long, before some places."""
+        found, hit = self.index[n - 2].find(_hash_at(c, at - 1, n - 1))
+        lp[at[hit]] += self.weight[n - 2][found[hit]]

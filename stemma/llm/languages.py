@@ -112,14 +112,15 @@ def plain(text: str) -> str:
     return text.translate(_PLAIN)
 
 
-def spellings(text: str) -> set[str]:
+@functools.lru_cache(maxsize=100_000)
+def spellings(text: str) -> tuple[str, ...]:
     """A normalised sentence as it is also met: accents lost, Cyrillic in Latin letters."""
     out = {text, plain(text)}
     if re.search("[а-я]", text):
         first = str.maketrans(TRANSLITERATION)
         second = str.maketrans(TRANSLITERATION | OTHER_TRANSLITERATION)
         out |= {text.translate(first), normal(text.translate(second)), text.replace("щ", "shch").translate(first)}
-    return out
+    return tuple(sorted(out))
 
 
 def blocks_of(text: str) -> list[str]:
@@ -224,7 +225,7 @@ class Detector:
 
     def __init__(self, own: dict[str, list[str]], names: list[str] = (), calibrate: bool = True, held_out: int = 5, seed: int = 1):
         own = {lang: sorted(set(ts)) for lang, ts in own.items() if ts}
-        expand = lambda ts: sorted({v for t in ts for v in spellings(t)})
+        expand = lambda ts: list(dict.fromkeys(v for t in ts for v in spellings(t)))
         self.models = CharModels({lang: expand(ts) for lang, ts in own.items()})
         self.accuracy, self.new_accuracy = 0.0, 0.0
         self.power, self.heat, self.known = 1.0, 1.0, np.zeros(0)
