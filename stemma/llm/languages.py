@@ -55,7 +55,7 @@ _SAID = re.compile(r"^[>| \t]*+[^\s\d]*+\d[^\n]*:[ \t]*$", re.M)
 _BRACKETED = re.compile(r"\((?=[^()\n\d]*+\d)[^()\n]*+\)|@\w+")
 _SIGNED = re.compile(r"^[ \t]*(?:--|_{3,})[ \t]*\n[^\n]*", re.M)
 _QUOTED = re.compile(r"^[ \t]*(?:[>|][ \t]?)+", re.M)
-_NO_WORD = re.compile(r"(?<!\S)[^\s\d_/\\#=|]*+[\d_/\\#=|]\S*")
+_NO_WORD = "_/\\#=|"  # signs, beside digits, that no word holds
 _SENTENCE = re.compile(r"[.!?…:]++(?=\s|$)|\n\s*\n|\x00")
 _LINE_END = re.compile(r"\r\n|\r|\n")
 _NO_LETTER = regex.compile(r"[^\p{L}\p{M}']+")
@@ -73,10 +73,25 @@ def _letters() -> np.ndarray:
     return table
 
 
+@functools.cache
+def _kinds() -> np.ndarray:
+    """For each code point 1 if it is white space, 2 if it makes what it stands in no word."""
+    table = np.zeros(0x110000, dtype=np.uint8)
+    table[[c for c in range(0x110000) if chr(c).isspace()]] = 1
+    table[[c for c in range(0x110000) if chr(c).isdecimal() or chr(c) in _NO_WORD]] = 2
+    return table
+
+
 def _words_only(text: str) -> str:
-    """Lower case, letters only, one blank between words."""
-    text = unicodedata.normalize("NFC", text.lower()).replace("’", "'")
-    codes = _letters()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+    """Lower case, words of letters only, one blank between them."""
+    raw = np.frombuffer(unicodedata.normalize("NFC", text.lower()).replace("’", "'").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    kind = _kinds()[raw]
+    space = kind == 1
+    word = np.cumsum(space)
+    no_word = np.zeros(int(word[-1]) + 1 if len(word) else 1, dtype=bool)
+    no_word[word[kind == 2]] = True
+    codes = _letters()[raw]
+    codes[no_word[word] & ~space] = 32
     blank = codes == 32
     blank[1:] &= blank[:-1]
     blank[:1] = False
@@ -157,7 +172,7 @@ def sentences_of_all(blocks: list[str]) -> list[list[str]]:
     t = _TAG.sub("", _BREAK.sub("\x00", t))
     t = _SIGNED.sub("\x00", _SAID.sub("\x00", t))
     t = _BRACKETED.sub(" ", _QUOTED.sub("", t))
-    t = _NO_WORD.sub(" ", _SENTENCE.sub(f" {_NEXT_SENTENCE} ", t))
+    t = _SENTENCE.sub(f" {_NEXT_SENTENCE} ", t)
     return [[s for part in b.split(_NEXT_SENTENCE) if (s := part.strip(" "))] for b in _words_only(t).split(_NEXT_BLOCK)]
 
 
