@@ -73,6 +73,17 @@ def is_id(s: str) -> bool:
     return bool(_SHAPE.fullmatch(s)) and s <= MAX_ID
 
 
+def texts_of_ids(digests: list[bytes | None]) -> list[str | None]:
+    """ID texts of many digests at once; None for None and for what hasn't 64 bytes."""
+    at = [i for i, d in enumerate(digests) if d is not None and len(d) == 64]
+    out: list[str | None] = [None] * len(digests)
+    if at:
+        text = encode_digests(np.frombuffer(b"".join([digests[i] for i in at]), dtype=np.uint8).reshape(-1, 64)).tobytes().decode()
+        for k, i in enumerate(at):
+            out[i] = text[LENGTH * k : LENGTH * k + LENGTH]
+    return out
+
+
 def digests_of(texts: list[str | None]) -> list[bytes | None]:
     """Digests of many ID texts at once; None for None and for what is no ID."""
     at = [i for i, s in enumerate(texts) if s is not None and is_id(s)]

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import hashlib
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stemma.functions.base58 import digests_of, encode_digests, parse_id
+from stemma.functions.base58 import digests_of, parse_id, texts_of_ids
 from stemma.functions.base58 import id_text as text_of_one
 from stemma.runtime import written
 from stemma.schema import NIL
@@ -25,13 +24,7 @@ def digest_of(content: Column, bits: int = 512) -> Column:
 @F.pandas_udf(T.StringType())
 def id_text(digest: pd.Series) -> pd.Series:
     """ID text of 64-byte digests; null stays null, a digest of another length gives null."""
-    ok = digest.map(lambda d: d is not None and len(d) == 64)
-    out = pd.Series([None] * len(digest), dtype=object)
-    if ok.any():
-        raw = np.frombuffer(b"".join(digest[ok]), dtype=np.uint8).reshape(-1, 64)
-        text = encode_digests(raw).tobytes().decode()
-        out[ok.to_numpy()] = [text[i : i + 90] for i in range(0, len(text), 90)]
-    return out
+    return pd.Series(texts_of_ids(digest.tolist()), dtype=object)
 
 
 @F.pandas_udf(T.BinaryType())

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stemma.functions.base58 import LENGTH, digests_of, id_text as text_of_id, is_id, parse_id
+from stemma.functions.base58 import LENGTH, digests_of, id_text as text_of_id, is_id, parse_id, texts_of_ids
 from stemma.functions.fmt import SEQUENCE, comma_size, format_mode, format_name, format_pretty_ts, format_target, line_without_id, tree_key
 from stemma.functions.ident import id_text
 from stemma.functions.modes import S_IFMT, TYPE_LETTERS, mode_bits
@@ -257,7 +257,8 @@ def dumps(entries: DataFrame, pretty: bool = False) -> str:
 
 def write_files(lines: DataFrame, folder: str, ending: str, head: str = "") -> DataFrame:
     """One text file a manifest of (manifest_id, line) rows in a folder all executors share; returns
-    (manifest_id, file, lines, bytes). Rows must be partitioned by manifest and sorted.
+    (manifest_id, file, lines, bytes). Rows must be partitioned by manifest and sorted. With further columns
+    (path, digest) the last of the rows of a path counts, and the digest's ID ends its line.
 
     Lines are written as they come, so a manifest of any size passes through. A file is written under
     another name and renamed, so a repeated task leaves whole files.
@@ -265,6 +266,21 @@ def write_files(lines: DataFrame, folder: str, ending: str, head: str = "") -> D
     import os
     import uuid
 
+    def finished(batches) -> Iterator[tuple[str, str]]:
+        """(manifest, line): of the rows of a path the last one, with its ID."""
+        held = None
+        for b in batches:
+            if b.num_columns == 2:
+                yield from zip(b.column(0).to_pylist(), b.column(1).to_pylist())
+                continue
+            ids = texts_of_ids(b.column(3).to_pylist())
+            for manifest_id, line, path, id_ in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), ids):
+                if held and held[:2] != (manifest_id, path):
+                    yield held[0], held[2]
+                held = (manifest_id, path, f"{line} {id_ or '-'}")
+        if held:
+            yield held[0], held[2]
+
     def run(batches):
         current, f, n, size, tmp = None, None, 0, 0, ""
 
@@ -274,29 +290,34 @@ def write_files(lines: DataFrame, folder: str, ending: str, head: str = "") -> D
             os.replace(tmp, final)
             return pa.RecordBatch.from_pydict({"manifest_id": [current], "file": [final], "lines": [n], "bytes": [size]})
 
-        for b in batches:
-            for manifest_id, line in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if manifest_id != current:
-                    if f:
-                        yield close()
-                    current, n, size, tmp = manifest_id, 0, len(head.encode()), os.path.join(folder, f".{uuid.uuid4().hex}.part")
-                    f = open(tmp, "wb")  # noqa: SIM115
-                    f.write(head.encode())
-                data = line.encode() + b"\n"
-                f.write(data)
-                n, size = n + 1, size + len(data)
+        for manifest_id, line in finished(batches):
+            if manifest_id != current:
+                if f:
+                    yield close()
+                current, n, size, tmp = manifest_id, 0, len(head.encode()), os.path.join(folder, f".{uuid.uuid4().hex}.part")
+                f = open(tmp, "wb")  # noqa: SIM115
+                f.write(head.encode())
+            data = line.encode() + b"\n"
+            f.write(data)
+            n, size = n + 1, size + len(data)
         if f:
             yield close()
 
     os.makedirs(folder, exist_ok=True)
-    return lines.select("manifest_id", "line").mapInArrow(run, "manifest_id string, file string, lines long, bytes long")
+    columns = ["manifest_id", "line", *(c for c in ("path", "digest") if c in lines.columns)]
+    return lines.select(*columns).mapInArrow(run, "manifest_id string, file string, lines long, bytes long")
 
 
 def write_texts(entries: DataFrame, folder: str, pretty: bool = False) -> DataFrame:
-    """write_files of the bases of manifests."""
-    lines = (pretty_lines if pretty else entry_lines)(entries).where("section_idx = 0")
-    placed = lines.select("manifest_id", "path", "line").repartition("manifest_id")  # a path is far shorter than its key
-    return write_files(placed.sortWithinPartitions("manifest_id", tree_key(F.col("path"))), folder, ".c4m")
+    """write_files of the bases of manifests. Rows are sent once, by manifest, with their digests; the writer drops
+    all but the last row of a path and spells the IDs."""
+    base = entries.where(F.coalesce("section_idx", F.lit(0)) == 0) if "section_idx" in entries.columns else entries
+    order = ["manifest_id", tree_key(F.col("path"))]  # a path is far shorter than its key
+    if pretty:
+        return write_files(pretty_lines(base).select("manifest_id", "path", "line").repartition("manifest_id").sortWithinPartitions(*order).select("manifest_id", "line"), folder, ".c4m")
+    line = F.concat(F.repeat(F.lit(" "), F.col("depth") * 2), line_without_id())
+    rows = base.where("path is not null").select("manifest_id", line.alias("line"), "path", F.when(known_digest(F.col("digest")), F.col("digest")).alias("digest"), F.coalesce("ord", F.lit(-(2**62))).alias("ord"))
+    return write_files(rows.repartition("manifest_id").sortWithinPartitions(*order, "ord"), folder, ".c4m")
 
 
 def read_texts(spark, path: str) -> DataFrame:

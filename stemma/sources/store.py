@@ -210,7 +210,7 @@ def script_lines(entries: DataFrame, with_path: bool = False) -> DataFrame:
     copy = F.concat(F.lit("put "), text, F.lit(" "), target)
     line = F.when(is_dir(), F.concat(F.lit("mkdir -p "), target)).when(known_digest(F.col("digest")), copy)
     rows = latest(entries).select("manifest_id", "path", line.alias("line")).where("line is not null")
-    return rows if with_path else rows.repartition("manifest_id").sortWithinPartitions("manifest_id", "path")
+    return rows if with_path else rows.repartition("manifest_id").sortWithinPartitions("manifest_id", "path").select("manifest_id", "line")
 
 
 def _write_whole(file: str, content: bytes) -> None:
