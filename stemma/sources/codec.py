@@ -8,7 +8,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -218,11 +218,16 @@ def inline_lists(texts: DataFrame) -> DataFrame:
 # --- writing
 
 
+def indent() -> Column:
+    """Blanks before a line: two a level."""
+    return F.repeat(F.lit(" "), F.col("depth") * 2)
+
+
 def entry_lines(entries: DataFrame) -> DataFrame:
     """(manifest_id, section_idx, path, key, line): indented lines; order by key for the text's order."""
     ids = F.when(known_digest(F.col("digest")), id_text("digest"))
     rows = latest(entries.withColumn("section_idx", F.coalesce("section_idx", F.lit(0))), "manifest_id", "section_idx", "path")
-    line = F.concat(F.repeat(F.lit(" "), F.col("depth") * 2), line_without_id(), F.lit(" "), F.coalesce(ids, F.lit("-")))
+    line = F.concat(indent(), line_without_id(), F.lit(" "), F.coalesce(ids, F.lit("-")))
     return rows.select("manifest_id", "section_idx", "path", tree_key(F.col("path")).alias("key"), line.alias("line"))
 
 
@@ -239,7 +244,7 @@ def pretty_lines(entries: DataFrame) -> DataFrame:
     hard = F.when((F.coalesce(c("target"), F.lit("")) == "") & (c("hard_link") != 0), F.when(c("hard_link") < 0, " ->").otherwise(F.concat(F.lit(" ->"), c("hard_link").cast("string")))).otherwise(F.lit(""))
     time = F.when(c("ts").isNull() | (F.unix_seconds("ts") == 0), F.rpad(F.lit("-"), 25, " ")).otherwise(format_pretty_ts(c("ts")))
     rows = rows.select(
-        "manifest_id", "section_idx", "path", "digest", tree_key(c("path")).alias("key"), F.concat(F.repeat(F.lit(" "), c("depth") * 2), format_mode(c("mode")), F.lit(" "), time, F.lit(" ")).alias("_a"),
+        "manifest_id", "section_idx", "path", "digest", tree_key(c("path")).alias("key"), F.concat(indent(), format_mode(c("mode")), F.lit(" "), time, F.lit(" ")).alias("_a"),
         comma_size(c("size")).alias("_size"), F.concat(F.lit(" "), format_name(c("name"), c("is_sequence")), link).alias("_b"), hard.alias("_hard"),
     )
     widths = rows.groupBy("manifest_id").agg(F.max(F.length("_size")).alias("_w"), F.max(F.length("_a") + F.length("_b")).alias("_len"))
@@ -315,7 +320,7 @@ def write_texts(entries: DataFrame, folder: str, pretty: bool = False) -> DataFr
     order = ["manifest_id", tree_key(F.col("path"))]  # a path is far shorter than its key
     if pretty:
         return write_files(pretty_lines(base).select("manifest_id", "path", "line").repartition("manifest_id").sortWithinPartitions(*order).select("manifest_id", "line"), folder, ".c4m")
-    line = F.concat(F.repeat(F.lit(" "), F.col("depth") * 2), line_without_id())
+    line = F.concat(indent(), line_without_id())
     rows = base.where("path is not null").select("manifest_id", line.alias("line"), "path", F.when(known_digest(F.col("digest")), F.col("digest")).alias("digest"), F.coalesce("ord", F.lit(-(2**62))).alias("ord"))
     return write_files(rows.repartition("manifest_id").sortWithinPartitions(*order, "ord"), folder, ".c4m")
 
