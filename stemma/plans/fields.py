@@ -234,11 +234,11 @@ def decoded_chains(spark, folder):
     Rows that only place others are left out again: directories that paths imply, and context of the patch.
     """
     new, old = _versions(spark, folder)
-    implied = written(M.implied_directories(old).unionByName(M.implied_directories(new)).distinct(), "implied")
+    implied = written(M.implied_directories(old).withColumn("section_idx", F.lit(0)), "implied")
     base = codec.entry_lines(M.with_implied(old.drop("parent", "is_dir", "pattern").withColumn("section_idx", F.lit(0)))).select("manifest_id", F.lit(0).alias("section_idx"), "key", "line")
     patch = versions.patch_lines(old, new).select("manifest_id", F.lit(1).alias("section_idx"), "key", "line")
     lines = base.unionByName(patch).repartition("manifest_id").sortWithinPartitions("manifest_id", "section_idx", F.col("key").asc_nulls_first())
-    return _decoded(spark, lines).where(~versions.is_context()).join(implied.withColumn("_i", F.lit(True)), ["manifest_id", "path"], "left").where("_i is null or digest is not null or size is not null").select("manifest_id", "path", "section_idx", "size", "digest")
+    return _decoded(spark, lines).where(~versions.is_context()).join(implied, ["manifest_id", "path", "section_idx"], "left_anti").select("manifest_id", "path", "section_idx", "size", "digest")
 
 
 def _decoded(spark, lines: DataFrame) -> DataFrame:

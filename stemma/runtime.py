@@ -82,16 +82,19 @@ def _clear_before_stop(spark: SparkSession) -> None:
         return
     stop = context.stop
 
-    def clearing_stop():
-        if context._jsc is not None:
-            try:
+    def quietly():
+        try:
+            if context._jsc is not None:
                 clear(spark)
-            except Exception:  # the JVM may be gone already
-                _tables.clear()
+        except Exception:  # the JVM may be gone already
+            _tables.clear()
+
+    def clearing_stop():
+        quietly()
         stop()
 
     context.stop, context._stemma_clears = clearing_stop, True
-    atexit.register(clearing_stop)
+    atexit.register(quietly)
 
 
 def ship(spark: SparkSession) -> None:

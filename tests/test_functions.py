@@ -158,3 +158,27 @@ def test_identity_queries_over_tables(spark, tmp_path):
     spark.createDataFrame([(m, d and bytearray(d)) for m, d in rows], "manifest_id string, digest binary").write.parquet(str(tmp_path / "entries.parquet"))
     sets = {r.manifest_id: id_text(bytes.fromhex(r.tree_digest)) for r in QUERIES["manifest_set_identity"](spark, str(tmp_path)).collect()}
     assert sets == GOLDEN_SETS
+
+
+def test_bitmaps_are_stored():
+    import numpy as np
+
+    from stemma.functions.bitmaps import OrdinalBitmap
+
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 4096, 4097, 70_000):
+        a = OrdinalBitmap.of(rng.choice(300_000, n, replace=False))
+        b = OrdinalBitmap.of(rng.choice(300_000, 5000, replace=False))
+        again = OrdinalBitmap.loads(a.dumps())
+        assert again.ordinals().tolist() == a.ordinals().tolist() and len(again) == n
+        assert (again & b).ordinals().tolist() == (a & b).ordinals().tolist() and b.andnot(again).ordinals().tolist() == b.andnot(a).ordinals().tolist()
+
+
+def test_ids_of_many_digests():
+    import hashlib
+
+    from stemma.functions.base58 import digests_of, id_text, texts_of_ids
+
+    digests = [hashlib.sha512(bytes([i])).digest() for i in range(100)] + [bytes(64), b"\xff" * 64]
+    assert texts_of_ids([None, b"short", *digests]) == [None, None, *map(id_text, digests)]
+    assert digests_of([id_text(d) for d in digests]) == digests

@@ -213,3 +213,22 @@ def test_large_manifests_have_one_digest(spark, tmp_path):
     v = BlobStore(spark, "file://" + str(tmp_path / "streamed"))
     fill_store(spark, str(tmp_path / "w"), v, str(tmp_path / "state")).awaitTermination(120)
     assert v.missing(listed).count() == 0
+
+
+def test_expected_files(spark):
+    e = spark.createDataFrame([("m", "a", bytearray(b"1")), ("m", "b", None), ("m", "c", bytearray(b"1")), ("m", "d", bytearray(b"1")), ("n", "a", None)], "manifest_id string, path string, digest binary")
+    a = spark.createDataFrame([("m", "a", bytearray(b"1")), ("m", "b", bytearray(b"2")), ("m", "c", bytearray(b"2")), ("n", "z", None)], "manifest_id string, path string, digest binary")
+    got = {(r.manifest_id, r.path): r.status for r in trees.expected_status(e, a).collect()}
+    assert got == {("m", "a"): "there", ("m", "b"): "there", ("m", "c"): "corrupt", ("m", "d"): "pending", ("n", "a"): "pending"}
+
+
+def test_empty_files_reach_the_store(spark, tmp_path):
+    build(tmp_path / "t", {"empty": b"", "full": b"x"})
+    store = BlobStore(spark, "file://" + str(tmp_path / "store"))
+    listed = scan(spark, str(tmp_path / "t"))
+    from stemma.sources.scan import scan_and_store
+
+    assert scan_and_store(spark, str(tmp_path / "t"), store, "m").count() == 2 and store.missing(listed).count() == 0
+    streamed = BlobStore(spark, "file://" + str(tmp_path / "streamed"))
+    fill_store(spark, str(tmp_path / "t"), streamed, str(tmp_path / "state")).awaitTermination(120)
+    assert streamed.missing(listed).count() == 0
