@@ -160,20 +160,27 @@ def canonical_line(id_column: Column) -> Column:
     return F.concat(line_without_id(), F.lit(" "), F.coalesce(id_column, F.lit("-")))
 
 
+# Marks in order keys: the end of a piece of text (a NUL in it is written apart from that) and of a component.
+_END_TEXT, _NUL, _END_NAME = "\x00\x00", "\x00\x01", "\x00"
+
+
 def natural_key(component: Column) -> Column:
-    """Orderable key: text before numbers, numbers by value and then the shorter spelling."""
+    """Text that orders names: text before numbers, numbers by value and then the shorter spelling.
+
+    Each piece is spelt so that plain comparison of the keys is that of the pieces one by one.
+    """
 
     def part(x):
         digits = F.regexp_replace(x, "^0+", "")
-        number = F.struct(F.lit(1).alias("k"), F.lit("").alias("t"), F.length(digits).alias("n"), digits.alias("d"), F.length(x).alias("l"))
-        text = F.struct(F.lit(0).alias("k"), x.alias("t"), F.lit(0).alias("n"), F.lit("").alias("d"), F.lit(0).alias("l"))
-        return F.when(x.rlike("^[0-9]"), number).otherwise(text)
+        width = lambda c: F.lpad(F.length(c).cast("string"), 10, "0")
+        number = F.concat(F.lit("1"), width(digits), digits, width(x))
+        return F.when(x.rlike("^[0-9]"), number).otherwise(F.concat(F.lit("0"), F.replace(x, F.lit("\x00"), F.lit(_NUL)), F.lit(_END_TEXT)))
 
-    return F.transform(F.regexp_extract_all(component, F.lit("([0-9]+|[^0-9]+)"), F.lit(1)), part)
+    return F.array_join(F.transform(F.regexp_extract_all(component, F.lit("([0-9]+|[^0-9]+)"), F.lit(1)), part), "")
 
 
 def tree_key(path: Column) -> Column:
-    """Orderable key of a whole path: depth first, files before directories, natural order of names."""
+    """Text that orders whole paths: depth first, files before directories, natural order of names."""
     from stemma.schema import components
 
-    return F.transform(components(path), lambda y: F.struct(F.when(y.endswith("/"), 1).otherwise(0).alias("dir"), natural_key(y).alias("key")))
+    return F.array_join(F.transform(components(path), lambda y: F.concat(F.when(y.endswith("/"), "1").otherwise("0"), natural_key(y), F.lit(_END_NAME))), "")

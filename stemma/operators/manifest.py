@@ -190,7 +190,7 @@ def top_directory_sizes(entries: DataFrame) -> DataFrame:
 
 def sort_entries(entries: DataFrame) -> DataFrame:
     """Rows in tree order over all manifests; of repeated paths the last row stays. Range-partitioned."""
-    return latest(entries).orderBy("manifest_id", tree_key(F.col("path")))
+    return latest(entries).withColumn("_key", tree_key(F.col("path"))).orderBy("manifest_id", "_key").drop("_key")
 
 
 def numbered(rows: DataFrame, key: Column, *groups: str) -> DataFrame:

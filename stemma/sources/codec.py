@@ -317,12 +317,13 @@ def write_texts(entries: DataFrame, folder: str, pretty: bool = False) -> DataFr
     """write_files of the bases of manifests. Rows are sent once, by manifest, with their digests; the writer drops
     all but the last row of a path and spells the IDs."""
     base = entries.where(F.coalesce("section_idx", F.lit(0)) == 0) if "section_idx" in entries.columns else entries
-    order = ["manifest_id", tree_key(F.col("path"))]  # a path is far shorter than its key
     if pretty:
-        return write_files(pretty_lines(base).select("manifest_id", "path", "line").repartition("manifest_id").sortWithinPartitions(*order).select("manifest_id", "line"), folder, ".c4m")
+        return write_files(pretty_lines(base).select("manifest_id", "key", "line").repartition("manifest_id").sortWithinPartitions("manifest_id", "key").select("manifest_id", "line"), folder, ".c4m")
     line = F.concat(indent(), line_without_id())
     rows = base.where("path is not null").select("manifest_id", line.alias("line"), "path", F.when(known_digest(F.col("digest")), F.col("digest")).alias("digest"), F.coalesce("ord", F.lit(-(2**62))).alias("ord"))
-    return write_files(rows.repartition("manifest_id").sortWithinPartitions(*order, "ord"), folder, ".c4m")
+    # the key is a column, as a sort works out an expression anew for every comparison, but isn't sent along
+    keyed = rows.repartition("manifest_id").withColumn("key", tree_key(F.col("path")))
+    return write_files(keyed.sortWithinPartitions("manifest_id", "key", "ord"), folder, ".c4m")
 
 
 def read_texts(spark, path: str) -> DataFrame:
