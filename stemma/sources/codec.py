@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stemma.functions.base58 import LENGTH, digests_of, id_text as text_of_id, is_id, parse_id, texts_of_ids
+from stemma.functions.base58 import ALPHABET, LENGTH, digests_of, id_text as text_of_id, is_id, parse_id, texts_of_ids
 from stemma.functions.fmt import SEQUENCE, comma_size, format_mode, format_name, format_pretty_ts, format_target, line_without_id, tree_key
 from stemma.functions.ident import id_text
 from stemma.functions.modes import S_IFMT, TYPE_LETTERS, mode_bits
@@ -32,6 +32,8 @@ _LINK_OF_SYMLINK = rf"(?:-> *(?P<target>{_TARGET}))?"
 _LINK = rf"""(?:->(?P<group>[1-9][0-9]*)|-> *(?P<out>[^\W\d_][\w-]*:{_FLOW})|->(?P<bare>)(?= *(?:-$|c4| *$))|-> *(?P<target>{_TARGET})|<- *(?P<into>{_FLOW})|<> *(?P<both>{_FLOW}))?"""
 _SYMLINK_LINE = re.compile(_HEAD + _LINK_OF_SYMLINK + r" *(?P<rest>.*)", re.S)
 _LINE = re.compile(_HEAD + _LINK + r" *(?P<rest>.*)", re.S)
+# Most lines: no link, and a name without blanks, escapes, brackets and marks.
+_USUAL_LINE = re.compile(rf"""(-|[-dlpsbc][-rwxsStT]{{9}}) ([-0]|[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T[0-9:]{{8}}Z) (-|[0-9]+) ([^ \\"\[\]¤/]+/?) (-|c4[{ALPHABET}]{{88}})""")
 _MODE = re.compile(r"[-dlpsbc](?:[r-][w-][xsS-]){2}[r-][w-][xtT-]")
 
 
@@ -39,12 +41,14 @@ class BadManifest(ValueError):
     """Text that is no manifest, with its line."""
 
 
+@functools.lru_cache(maxsize=4096)
 def mode_of(text: str) -> int | None:
     if text != "-" and not _MODE.fullmatch(text):
         raise ValueError(f"bad mode {text!r}")
     return mode_bits(text)
 
 
+@functools.lru_cache(maxsize=65_536)
 def time_of(text: str) -> dt.datetime | None:
     if text in ("-", "0"):
         return None
@@ -74,6 +78,12 @@ def _checked(text: str) -> str:
 def entry_of(line: str, read_id=parse_id) -> dict:
     """Fields of an entry line without its indentation; ValueError if it is none. read_id: what becomes of
     the ID's text."""
+    if m := _USUAL_LINE.fullmatch(line):
+        mode, ts, size, name, rest = m.groups()
+        return {
+            "name": name, "is_dir": name[-1] == "/", "mode": mode_of(mode), "ts": time_of(ts), "size": None if size == "-" else int(size), "digest": None if rest == "-" else read_id(rest),
+            "target": None, "hard_link": 0, "flow_direction": "", "flow_target": None, "is_sequence": False, "pattern": None,
+        }
     m = (_SYMLINK_LINE if line.startswith("l") else _LINE).fullmatch(line)
     if not m or not m["name"]:
         raise ValueError("no entry line")

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -151,3 +152,21 @@ def test_round_trip_of_whole_manifests(spark, tmp_path, monkeypatch):
     assert paths() == {w[:2] for w in want}
     monkeypatch.setattr(codec, "indent", lambda: F.lit(""))
     assert paths() != {w[:2] for w in want}  # a writer that loses the indentation shows
+
+
+def test_usual_lines_are_read_like_others(monkeypatch):
+    """The short way to read a line gives what the grammar gives."""
+    rng = random.Random(6)
+    modes, times, sizes = ["-", "-rw-r--r--", "drwxr-xr-x", "lrwxrwxrwx", "-rwsr-x--T", "-" * 10, "-rwq------"], ["-", "0", TS, "2024-13-01T00:00:00Z", "1970-01-01T00:00:00Z", "2024-01-01T00:00:00+01:00"], ["-", "0", "12", "1,234", "007"]
+    names, ids = ["a", "d/", "-", "->", "c4", "a-b.c", "x/y", "é", "0", "->5", "<-", "a:b", "a b", "a\\ b", "[1-2]", "c4" + "1" * 88], ["-", ID, ID[:-1], "c4" + "z" * 88, "x"]
+    lines = [" ".join(map(rng.choice, (modes, times, sizes, names, ids))) for _ in range(4000)]
+
+    def read(line):
+        try:
+            return codec.entry_of(line)
+        except ValueError:
+            return None
+
+    short = [read(x) for x in lines]
+    monkeypatch.setattr(codec, "_USUAL_LINE", re.compile("(?!)"))
+    assert short == [read(x) for x in lines] and sum(x is not None for x in short) > 500
