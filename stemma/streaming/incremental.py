@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from stemma.sources.codec import decode, decode_errors
+from stemma.sources.scan import scan_rows
 from stemma.sources.store import BlobStore
 
 _BINARY = "path string, modificationTime timestamp, length long, content binary"
@@ -53,6 +54,11 @@ def changes_by_window(entries: DataFrame, width: str = "1 hour") -> DataFrame:
 
 
 def fill_store(spark: SparkSession, folder: str, store: BlobStore, checkpoint: str) -> StreamingQuery:
-    """Adds files as they appear in a folder to the store. A repeated batch adds nothing, as put is idempotent."""
+    """Adds files as they appear in a folder to the store. A repeated batch adds nothing, as put is idempotent.
+
+    Spark's file source passes over empty files, so their one content is added from a listing of the folder.
+    """
+    if not scan_rows(spark, folder.removeprefix("file://"), computeIds=False, hidden=True).where("not is_dir and target is null and size = 0").isEmpty():
+        store.put(spark.createDataFrame([(bytearray(),)], "content binary"))
     files = spark.readStream.format("binaryFile").schema(_BINARY).option("recursiveFileLookup", "true").load(folder)
     return files.select("content", "path").writeStream.foreachBatch(lambda df, _: store.put(df)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
