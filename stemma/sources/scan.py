@@ -49,6 +49,7 @@ class _Reader(DataSourceReader):
         self.contents = options.get("contents", "false").lower() == "true"
         self.per_task = int(options.get("folderspertask", "64"))
         self.spread = int(options.get("foldersspread", "4096"))
+        self.tasks = int(options.get("tasks", "256"))
         if not os.path.isdir(self.root):
             raise ValueError(f"{self.root} is no directory")
 
@@ -66,26 +67,21 @@ class _Reader(DataSourceReader):
 
     def partitions(self):
         """The driver lists folders from the top until it has enough of them to spread; what lies below the rest
-        is for their tasks."""
+        is for their tasks, each of which takes folders from all parts of the list."""
         flat, todo = [], collections.deque(["."])
         while todo and len(flat) + len(todo) < self.spread:
             flat.append(todo.popleft())
             todo.extend(self._below(flat[-1]))
         parts = [_Folders(flat[i : i + self.per_task], False) for i in range(0, len(flat), self.per_task)]
-        return parts + [_Folders([rel], True) for rel in todo]
-
-    def _listed(self, partition: _Folders) -> Iterator[str]:
-        todo = list(partition.folders)
-        while todo:
-            rel = todo.pop()
-            yield rel
-            if partition.whole:
-                todo += self._below(rel)
+        n = min(len(todo), self.tasks)
+        return parts + [_Folders(list(todo)[i::n], True) for i in range(n)]
 
     def read(self, partition: _Folders) -> Iterator[tuple]:
         import datetime as dt
 
-        for rel in self._listed(partition):
+        todo = list(partition.folders)
+        while todo:
+            rel = todo.pop()
             folder = os.path.normpath(os.path.join(self.root, rel))
             parent = "" if rel == "." else rel + "/"
             try:
@@ -100,6 +96,8 @@ class _Reader(DataSourceReader):
                     continue
                 link, folder_row = stat.S_ISLNK(st.st_mode), stat.S_ISDIR(st.st_mode)
                 slash = "/" if folder_row else ""
+                if folder_row and partition.whole:
+                    todo.append(parent + name)
                 digest, content = None, ()
                 if self.contents:
                     digest, *content = self._read_once(file) if stat.S_ISREG(st.st_mode) or (link and os.path.isfile(file)) else (None, None)
@@ -127,8 +125,8 @@ class _Reader(DataSourceReader):
 
 class ScanSource(DataSource):
     """format("stemma_scan"), options path, computeIds, hidden, followSymlinks, foldersPerTask, foldersSpread
-    (the driver lists about so many folders to spread the tree over tasks), and contents, which adds the column
-    content."""
+    (the driver lists about so many folders to spread the tree over tasks), tasks (at most so many take what lies
+    below those), and contents, which adds the column content."""
 
     @classmethod
     def name(cls) -> str:
@@ -142,10 +140,10 @@ class ScanSource(DataSource):
 
 
 def scan_rows(spark: SparkSession, path: str, **options) -> DataFrame:
-    """Rows of the tree as read, with ``file`` the absolute name. Folders are spread over tasks, so the
-    tree must lie on a file system that all executors share."""
+    """Rows of the tree as read, with ``file`` the absolute name. Folders are spread over tasks, some for each
+    core, so the tree must lie on a file system that all executors share."""
     spark.dataSource.register(ScanSource)
-    reader = spark.read.format(FORMAT).option("path", path)
+    reader = spark.read.format(FORMAT).option("path", path).option("tasks", str(8 * spark.sparkContext.defaultParallelism))
     for k, v in options.items():
         reader = reader.option(k, str(v).lower() if isinstance(v, bool) else str(v))
     return reader.load()

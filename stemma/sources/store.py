@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import configparser
+import hashlib
 import os
 
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from stemma.functions.ident import digest_of
 from stemma.schema import known_digest, latest
-from stemma.sources.codec import identified_bytes
+from stemma.sources.codec import identified, identified_bytes
 
 CONFIG = "~/.stemma.ini"
 
@@ -61,8 +62,10 @@ class BlobStore:
             rows = rows.withColumn("digest", digest_of(F.col("content")))
         rows = rows.select("content", "digest").withColumn("prefix", F.lower(F.hex(F.substring("digest", 1, 1))))
         # written first, so that what is reported is what was added
-        new = written(rows.dropDuplicates(["digest"]).join(self.digests(), ["prefix", "digest"], "left_anti"), "put")
-        new.select("digest", "content", F.length("content").cast("long").alias("size"), "prefix").write.mode("append").partitionBy("prefix").parquet(self.folder)
+        new = written(rows.dropDuplicates(["digest"]).join(self.digests().select("digest"), "digest", "left_anti"), "put")
+        rows = new.select("digest", "content", F.length("content").cast("long").alias("size"), "prefix")
+        # a prefix's rows together: else each task adds a file to every prefix
+        rows.hint("rebalance", "prefix").write.mode("append").partitionBy("prefix").parquet(self.folder)
         return new.select("digest", F.length("content").cast("long").alias("size"))
 
     def get(self, wanted: DataFrame) -> DataFrame:
@@ -113,7 +116,9 @@ class BlobStore:
                     _write_whole(file, content)
                 yield pa.RecordBatch.from_pydict({"n": pa.array([len(b)], pa.int64())})
 
-        self.get(todo).join(todo, "digest").select("place", "content").mapInArrow(run, "n long").agg(F.sum("n")).first()
+        if not todo.isEmpty():
+            found = self.table().select("digest", "content").join(todo, "digest").dropDuplicates(["digest"])
+            found.select("place", "content").mapInArrow(run, "n long").agg(F.sum("n")).first()
         return state.agg(
             F.count_if(F.expr("stored and not there")).alias("copied"),
             F.coalesce(F.sum(F.when(F.col("there"), F.col("n")).when(F.col("stored"), F.col("n") - 1)), F.lit(0)).alias("skipped"),
@@ -141,29 +146,44 @@ class BlobStore:
         """Adds files named by ID whose content has that ID; returns (copied, skipped, rejected, manifests), the
         last the names of the manifests that lie beside them (see codec.read_texts)."""
         from stemma.functions.ident import try_digest
+        from stemma.runtime import written
+
+        named = self._named_files(folder).select(try_digest("named").alias("digest"), "path")
+        # every file is read once: what is counted is what is stored
+        rows = written(named.mapInArrow(_verified, "digest binary, good boolean, content binary"), "ingest")
+        n_all, n_good = rows.agg(F.count(F.lit(1)), F.count_if("good")).first()
+        good = rows.where("good").select("content", "digest")
+        copied = 0 if self.missing(good).isEmpty() else self.put(good, identified=True).count()
+        return self.spark.createDataFrame([(copied, n_good - copied, n_all - n_good, manifests_beside(folder))], "copied long, skipped long, rejected long, manifests array<string>")
+
 
-        rows = self._named_files(folder).select(try_digest("named").alias("named"), "path").mapInArrow(_with_content, "named binary, path string, content binary")
-        # named by its bytes as they are: a file without the ending; else the file it was can have had it
-        rows = rows.withColumn("path", F.when(digest_of(F.col("content")) == F.col("named"), F.col("path")))
-        checked = rows.withColumn("own", digest_of(identified_bytes("content", "path")))
-        good = checked.where("named <=> own")
-        n_good, n_all = good.count(), checked.count()
-        copied = self.put(good.select("content", "path")).count()
-        texts = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.c4m").load("file://" + os.path.abspath(folder))
-        names = texts.agg(F.sort_array(F.collect_set(F.regexp_extract("path", "([^/]+)$", 1))).alias("manifests"))
-        return names.select(F.lit(copied).cast("long").alias("copied"), F.lit(n_good - copied).cast("long").alias("skipped"), F.lit(n_all - n_good).cast("long").alias("rejected"), "manifests")
+def manifests_beside(folder: str) -> list[str]:
+    """Names of the manifests directly in a folder, without those that Spark's readers pass over: hidden and empty
+    ones. What lies below, such as a bundle's contents, isn't listed."""
+    with os.scandir(folder) as entries:
+        names = [e.name for e in entries if e.name.endswith(".c4m") and e.is_file() and e.stat().st_size]
+    return sorted(n for n in names if n[0] != "." and (n[0] != "_" or "=" in n or n.startswith(("_metadata", "_common_metadata"))))
 
 
-def _with_content(batches):
-    """Files read whole, a few at a time."""
+def _verified(batches):
+    """(digest, good, content) of (digest, path): whether the file has that ID, and if so its content as it is
+    identified."""
+    schema = pa.schema([("digest", pa.binary()), ("good", pa.bool_()), ("content", pa.binary())])
+    held, size = [], 0
     for b in batches:
-        for lo in range(0, len(b), 16):
-            part = b.slice(lo, 16)
-            contents = []
-            for path in part.column(1).to_pylist():
-                with open(path, "rb") as f:
-                    contents.append(f.read())
-            yield part.append_column("content", pa.array(contents, pa.binary()))
+        for digest, path in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            with open(path, "rb") as f:
+                content = f.read()
+            # named by its bytes as they are: a file without the ending; else the file it was can have had it
+            content = identified(content, path if hashlib.sha512(content).digest() == digest else None)
+            good = hashlib.sha512(content).digest() == digest
+            if held and (len(held) >= 1024 or size + len(content) > 16_000_000):
+                yield pa.RecordBatch.from_pylist(held, schema=schema)
+                held, size = [], 0
+            held.append({"digest": digest, "good": good, "content": content if good else None})
+            size += len(content)
+    if held:
+        yield pa.RecordBatch.from_pylist(held, schema=schema)
 
 
 def _placed(ids: DataFrame, leaf: int | None) -> DataFrame:

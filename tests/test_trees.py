@@ -107,6 +107,36 @@ def test_bundles(spark, tmp_path):
     assert (counts.copied, counts.skipped, counts.missing) == (6, 1, 1)
 
 
+def test_many_small_folders_take_few_tasks(spark, tmp_path):
+    files = {f"{i}/{j}/{k}": b"%d" % (i * j * k) for i in range(12) for j in range(12) for k in range(2)}
+    root = build(tmp_path / "t", files)
+    for spread in (1, 20, 100):  # so many folders are listed first, the rest by the tasks
+        rows = scan_rows(spark, str(root), foldersSpread=spread)
+        folders = {f"{i}/" for i in range(12)} | {f"{i}/{j}/" for i in range(12) for j in range(12)}
+        assert sorted(r.path for r in rows.collect()) == sorted(files.keys() | folders)
+        assert scan_rows(spark, str(root), foldersSpread=spread, tasks=5).rdd.getNumPartitions() <= 5 + -(-spread // 64)
+
+
+def test_bundle_of_many_folders(spark, tmp_path):
+    texts = [b"text %d" % i for i in range(300)]
+    s = BlobStore(spark, "file://" + str(tmp_path / "store"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as with tables that aren't small
+    assert s.put(contents(spark, *texts)).count() == 300
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "store").rglob("*.parquet"))) == len({sha(t)[0] for t in texts})  # a file a prefix
+    rows = spark.createDataFrame([("m", f"f{i}", bytearray(sha(t))) for i, t in enumerate(texts)], "manifest_id string, path string, digest binary").withColumns({"name": F.col("path"), "mode": F.lit(0o100644)})
+    place = tmp_path / "bundle"
+    assert tuple(s.export(rows, str(place / "store"), leaf=1).first()) == (300, 0, 0)
+    for name in ("m.c4m", ".h.c4m", "_h.c4m", "empty.c4m"):
+        (place / name).write_bytes(b"" if name == "empty.c4m" else b"- - 1 a -\n")
+    (place / "d.c4m").mkdir()
+    (place / "d.c4m/n.c4m").write_bytes(b"")
+    t = BlobStore(spark, "file://" + str(tmp_path / "other"))
+    assert tuple(t.ingest(str(place)).first()) == (300, 0, 0, ["m.c4m"])
+    assert tuple(t.ingest(str(place)).first()) == (0, 300, 0, ["m.c4m"])
+    assert sorted(bytes(r.content) for r in t.table().collect()) == sorted(texts)
+
+
 def test_files_by_name(spark, tmp_path):
     root = build(tmp_path / "t", FILES)
     got = {os.path.basename(r.file): r.digest and bytes(r.digest) for r in identify_files(spark, [str(root / "readme.txt"), str(root / "none")]).collect()}
